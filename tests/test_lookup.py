@@ -1,0 +1,89 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from txsieve.operators import lookup as joins
+from txsieve.operators.lookup import fits_broadcast, hot_keys, left_lookup
+
+
+def _facts(spark, rows):
+    return spark.createDataFrame(rows, "tid int, a string, b string").repartition(6)
+
+
+@pytest.fixture
+def facts(spark):
+    rows = [(i, "hot", "x") for i in range(400)] + [(i, f"k{i % 50}", "y") for i in range(400, 700)]
+    rows += [(i, None, "z") for i in range(700, 900)]
+    rows += [(7, "copy", "x")] * 200
+    return _facts(spark, rows)
+
+
+@pytest.fixture
+def lookup(spark):
+    rows = [("hot", "x", 1), ("copy", "x", 2), ("hot", "other", 3)] + [(f"k{i}", "y", i) for i in range(0, 60, 2)]
+    rows += [(None, "z", 99)]
+    return spark.createDataFrame(rows, "a string, b string, v int")
+
+
+def _expected(facts, lookup):
+    found = {(r["a"], r["b"]): r["v"] for r in lookup.collect() if r["a"] is not None}
+    return Counter((r["tid"], r["a"], r["b"], found.get((r["a"], r["b"]))) for r in facts.collect())
+
+
+def _sizes(monkeypatch, small):
+    """Make ``fits_broadcast`` say yes for frames with these columns only."""
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: sorted(df.columns) in small)
+
+
+@pytest.mark.parametrize(
+    "small", [[], [["a", "b"]], [["a", "b", "v"]]], ids=["both large", "few facts", "small lookup"]
+)
+def test_all_ways_agree(facts, lookup, monkeypatch, small):
+    _sizes(monkeypatch, small)
+    out = left_lookup(facts, lookup, ["a", "b"], spread_by="tid", hot_rows=20)
+    assert out.columns == ["tid", "a", "b", "v"]
+    assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
+
+
+def test_hot_keys_are_split_by_their_size(facts):
+    found = {(r["a"], r["b"]): r["_splits"] for r in hot_keys(facts, ["a", "b"], 20).collect()}
+    assert found == {("hot", "x"): 20, (None, "z"): 10, ("copy", "x"): 10}
+
+
+def test_no_join_partition_holds_a_hot_key(spark, lookup, monkeypatch):
+    """A key of most rows, and copies of one row, spread over the partitions of the join."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in ([(i, "hot", "x") for i in range(4000)], [(7, "copy", "x")] * 4000):
+            facts = spark.createDataFrame(rows, "tid int, a string, b string").repartition(64)
+            _sizes(monkeypatch, [])
+            out = left_lookup(facts, lookup, ["a", "b"], spread_by="tid", hot_rows=40)
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 4000
+            assert max(sizes) < 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keys_beyond_the_limit_are_still_joined(facts, lookup, monkeypatch):
+    _sizes(monkeypatch, [])
+    monkeypatch.setattr(joins, "MAX_HOT_KEYS", 1)
+    out = left_lookup(facts, lookup, ["a", "b"], spread_by="tid", hot_rows=20)
+    assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
+
+
+def test_size_check(spark, folder, lookup):
+    path = folder()
+    lookup.write.parquet(path)
+    stored = spark.read.schema(lookup.schema).parquet(path)
+    assert fits_broadcast(stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        assert not fits_broadcast(stored)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert not fits_broadcast(stored)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,0 +1,117 @@
+from pyspark.sql import functions as F
+
+from txsieve.config import JobConfig
+from txsieve.functions.messages import encode_messages
+from txsieve.schema import DETECTION_SCHEMA
+from txsieve.sinks import tables as sinks
+from txsieve.sinks.tables import (
+    overwrite_table,
+    read_detections,
+    upsert_detections,
+    upsert_detections_jdbc,
+    write_batch,
+    write_text,
+)
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, DETECTION_SCHEMA)
+
+
+def _table(spark, path):
+    return sorted(read_detections(spark, path).collect())
+
+
+def test_overwrite_and_text(spark, folder):
+    path = folder()
+    overwrite_table(_frame(spark, [(1, 1), (2, 0)]), path)
+    overwrite_table(_frame(spark, [(3, 1)]), path)
+    assert spark.read.parquet(path).collect() == [(3, 1)]
+    text = folder()
+    write_text(encode_messages(_frame(spark, [(1, 1)])), text)
+    assert spark.read.text(text).collect() == [('{"tid":1,"isFraud":1}',)]
+
+
+def test_upsert_keeps_one_row_per_tid(spark, folder):
+    path = folder()
+    upsert_detections(_frame(spark, [(1, 0), (1, 1), (2, 0), (None, 1)]), 0, path)
+    upsert_detections(_frame(spark, [(2, 1), (3, 1), (3, 1), (None, 0)]), 1, path)
+    upsert_detections(_frame(spark, []), 2, path)
+    upsert_detections(_frame(spark, [(1, 0), (99, 1)]), 3, path)
+    rows = read_detections(spark, path).orderBy(F.col("tid").asc_nulls_first()).collect()
+    assert rows == [(None, 1), (1, 1), (2, 0), (3, 1), (99, 1)]
+
+
+def test_a_repeated_batch_changes_nothing(spark, folder):
+    path = folder()
+    upsert_detections(_frame(spark, [(1, 1)]), 0, path)
+    for _ in range(2):
+        upsert_detections(_frame(spark, [(1, 0), (2, 1)]), 1, path)
+        assert _table(spark, path) == [(1, 1), (2, 1)]
+
+
+def test_batch_0_empties_the_table(spark, folder):
+    path = folder()
+    upsert_detections(_frame(spark, [(1, 1)]), 0, path)
+    upsert_detections(_frame(spark, [(2, 1)]), 1, path)
+    upsert_detections(_frame(spark, [(3, 1)]), 0, path)
+    assert _table(spark, path) == [(3, 1)]
+    upsert_detections(_frame(spark, []), 0, path)
+    assert _table(spark, path) == []
+
+
+def test_write_batch_keeps_copies(spark, folder):
+    path = folder()
+    write_batch(_frame(spark, [(1, 1), (1, 1)]), 0, path)
+    write_batch(_frame(spark, [(1, 1)]), 1, path)
+    write_batch(_frame(spark, [(1, 1)]), 1, path)
+    assert _table(spark, path) == [(1, 1)] * 3
+
+
+def test_earlier_tids_are_looked_up_by_range(spark, folder, capsys):
+    path = folder()
+    upsert_detections(_frame(spark, [(i, 1) for i in range(100)]), 0, path)
+    sinks._earlier(_frame(spark, [(40, 1), (60, 1)]), 1, path).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(tid,40)" in plan and "LessThanOrEqual(tid,60)" in plan
+    assert "PartitionFilters: [isnotnull(batch_id" in plan
+
+
+def test_database_upsert_adds_only_new_tids(spark, monkeypatch):
+    """The database is replaced by a frame: what is read and what would be written is checked."""
+    known = _frame(spark, [(2, 0), (500, 1)])
+    splits, added = [], []
+    monkeypatch.setattr(sinks, "read_jdbc", lambda s, c, t, **split: splits.append(split) or known)
+    monkeypatch.setattr(sinks, "jdbc_options", lambda c, t: {})
+    monkeypatch.setattr(sinks, "overwrite_jdbc", lambda df, c, t: added.append(sorted(df.collect())))
+    real = sinks._without
+    monkeypatch.setattr(
+        sinks, "_without", lambda a, b: Captured(real(a, b), added)
+    )
+    config = JobConfig()
+    upsert_detections_jdbc(_frame(spark, [(1, 1), (2, 1)]), 0, config, "t")
+    upsert_detections_jdbc(_frame(spark, [(2, 1), (3, 1)]), 1, config, "t")
+    upsert_detections_jdbc(_frame(spark, [(7, 1)]), 2, config, "t")
+    upsert_detections_jdbc(_frame(spark, []), 3, config, "t")
+    assert added == [[(1, 1), (2, 1)], [(3, 1)], [(7, 1)]]
+    assert splits == [{"partition_column": "tid", "lower": 2, "upper": 3, "partitions": 16}, {}]
+
+
+class Captured:
+    """Stands for a frame and its writer, and keeps the rows instead of saving them."""
+
+    def __init__(self, df, rows):
+        self.df, self.rows, self.write = df, rows, self
+
+    def format(self, name):
+        return self
+
+    def options(self, **options):
+        return self
+
+    def mode(self, name):
+        assert name == "append"
+        return self
+
+    def save(self):
+        self.rows.append(sorted(self.df.collect()))

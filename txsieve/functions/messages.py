@@ -16,14 +16,10 @@ def parse_messages(messages: DataFrame, schema: StructType) -> DataFrame:
     wrong type. Fields outside the schema are ignored.
     """
     with_corrupt = StructType(schema.fields + [StructField(_CORRUPT, StringType())])
-    parsed = messages.withColumn(
-        "record",
-        F.from_json(
-            F.col("value").cast("string"),
-            with_corrupt,
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"},
-        ),
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
+    record = F.from_json(F.col("value").cast("string"), with_corrupt, options)
+    # Exploding a one-element array keeps filters on the record above it, so each value is parsed once.
+    parsed = messages.select("*", F.explode(F.array(record)).alias("record"))
     # A NULL or empty value parses to a NULL record, anything else that fails fills the corrupt text.
     return parsed.withColumn(
         "valid", F.col("record").isNotNull() & F.col(f"record.{_CORRUPT}").isNull()

@@ -30,14 +30,16 @@ def add_recurrence(transactions: DataFrame, history: DataFrame) -> DataFrame:
     return joined.select(*transactions.columns, count_to_int(F.col("pairCount")).alias("recurrence"))
 
 
-def add_dest_blacklisted(transactions: DataFrame, blacklist: DataFrame) -> DataFrame:
+def add_dest_blacklisted(
+    transactions: DataFrame, blacklist: DataFrame, keys_from: DataFrame | None = None
+) -> DataFrame:
     """Add ``destBlacklisted``: 1 if ``nameDest`` is an account in ``blacklist``, else 0."""
     listed = (
         blacklist.select(F.col("accountNumber").alias("nameDest"))
         .distinct()
         .withColumn("_listed", F.lit(1))
     )
-    joined = left_lookup(transactions, listed, ["nameDest"], spread_by="tid")
+    joined = left_lookup(transactions, listed, ["nameDest"], spread_by="tid", keys_from=keys_from)
     return joined.select(
         *transactions.columns, F.coalesce(F.col("_listed"), F.lit(0)).alias("destBlacklisted")
     )
@@ -63,8 +65,8 @@ def add_balance_errors(transactions: DataFrame) -> DataFrame:
 
 def enrich(transactions: DataFrame, history: DataFrame, blacklist: DataFrame) -> DataFrame:
     """All four features, in the order of ``ENRICHED_SCHEMA``, with any further columns after them."""
-    out = add_balance_errors(
-        add_dest_blacklisted(add_recurrence(transactions, history), blacklist)
-    )
+    counted = add_recurrence(transactions, history)
+    flagged = add_dest_blacklisted(counted, blacklist, keys_from=transactions)
+    out = add_balance_errors(flagged)
     names = ENRICHED_SCHEMA.fieldNames()
     return out.select(*names, *[c for c in transactions.columns if c not in names])

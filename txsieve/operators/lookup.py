@@ -48,31 +48,33 @@ def left_lookup(
     lookup: DataFrame,
     keys: Sequence[str],
     spread_by: str,
+    keys_from: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``facts`` left-joined to ``lookup`` on equal ``keys``.
+    """``facts`` left-joined on equal ``keys`` to ``lookup``, which has at most one row per key.
 
     A small lookup, or one joined to a stream, is left to Spark, which broadcasts it. For few facts, such
-    as a micro-batch, their keys are broadcast to cut the lookup down before it is aggregated or moved.
+    as a micro-batch, their keys are broadcast to cut the lookup down before it is aggregated or moved;
+    what remains is no larger than the keys and is broadcast too.
 
     With both sides large, hot keys of ``facts`` are dealt out over several partitions by the column
     ``spread_by``, and the lookup rows of just those keys are repeated for each. Spark's own skew
     handling would not help: it needs both join inputs straight from a shuffle, and the lookups here
-    are aggregates.
+    are aggregates. ``keys_from`` is a cheaper frame with the same rows to look for hot keys in.
     """
     keys = list(keys)
     added = [c for c in lookup.columns if c not in keys]
-    small_lookup = facts.isStreaming or fits_broadcast(lookup)
-    if not small_lookup and fits_broadcast(facts.select(*keys)):
-        wanted = facts.select(*keys).distinct()
-        lookup = lookup.join(F.broadcast(wanted), keys, "left_semi")
-        small_lookup = True
-    if small_lookup:
+    if facts.isStreaming or fits_broadcast(lookup):
         return facts.join(lookup, keys, "left").select(*facts.columns, *added)
-    hot = hot_keys(facts, keys, hot_rows)
+
+    key_rows = (facts if keys_from is None else keys_from).select(*keys)
+    if fits_broadcast(key_rows):
+        needed = lookup.join(F.broadcast(key_rows.distinct()), keys, "left_semi")
+        return facts.join(F.broadcast(needed), keys, "left").select(*facts.columns, *added)
 
     # The salt depends on the row and on the partition it is read from, so a retried task deals the
     # same way, and copies of one row still spread out.
+    hot = hot_keys(key_rows, keys, hot_rows)
     marked = facts.join(F.broadcast(hot), _same(facts, hot, keys), "left").select(facts["*"], hot[_SPLITS])
     deal = F.pmod(F.xxhash64(spread_by, F.spark_partition_id()), F.col(_SPLITS))
     salted = marked.select(
