@@ -37,29 +37,37 @@ def _sizes(monkeypatch, small):
 
 
 @pytest.mark.parametrize(
-    "small", [[], [["a", "b"]], [["a", "b", "v"]]], ids=["both large", "few facts", "small lookup"]
+    "small, hot_rows",
+    [([], 20), ([], 1000), ([["a", "b"]], 20), ([["a", "b", "v"]], 20)],
+    ids=["hot keys", "no hot keys", "few facts", "small lookup"],
 )
-def test_all_ways_agree(facts, lookup, monkeypatch, small):
+def test_all_ways_agree(facts, lookup, monkeypatch, small, hot_rows):
     _sizes(monkeypatch, small)
-    out = left_lookup(facts, lookup, ["a", "b"], spread_by="tid", hot_rows=20)
+    out = left_lookup(facts, lookup, ["a", "b"], hot_rows=hot_rows)
     assert out.columns == ["tid", "a", "b", "v"]
     assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
 
 
-def test_hot_keys_are_split_by_their_size(facts):
-    found = {(r["a"], r["b"]): r["_splits"] for r in hot_keys(facts, ["a", "b"], 20).collect()}
-    assert found == {("hot", "x"): 20, (None, "z"): 10, ("copy", "x"): 10}
+def test_hot_keys(facts):
+    assert set(hot_keys(facts, ["a", "b"], 20)) == {("hot", "x"), (None, "z"), ("copy", "x")}
+    assert hot_keys(facts, ["a", "b"]) == []
+    assert hot_keys(facts.limit(0), ["a", "b"]) == []
+
+
+def test_few_buckets_hide_no_hot_key(facts, monkeypatch):
+    monkeypatch.setattr(joins, "BUCKETS", 8)
+    assert {r["a"] for r in hot_keys(facts, ["a", "b"], 20)} == {"hot"}
 
 
 def test_no_join_partition_holds_a_hot_key(spark, lookup, monkeypatch):
-    """A key of most rows, and copies of one row, spread over the partitions of the join."""
+    """Rows of a hot key, and copies of one row, stay spread over the partitions they came in."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for rows in ([(i, "hot", "x") for i in range(4000)], [(7, "copy", "x")] * 4000):
             facts = spark.createDataFrame(rows, "tid int, a string, b string").repartition(64)
             _sizes(monkeypatch, [])
-            out = left_lookup(facts, lookup, ["a", "b"], spread_by="tid", hot_rows=40)
+            out = left_lookup(facts, lookup, ["a", "b"], hot_rows=40)
             sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
             assert sum(sizes) == 4000
             assert max(sizes) < 2000
@@ -68,13 +76,6 @@ def test_no_join_partition_holds_a_hot_key(spark, lookup, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_keys_beyond_the_limit_are_still_joined(facts, lookup, monkeypatch):
-    _sizes(monkeypatch, [])
-    monkeypatch.setattr(joins, "MAX_HOT_KEYS", 1)
-    out = left_lookup(facts, lookup, ["a", "b"], spread_by="tid", hot_rows=20)
-    assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
-
-
 def test_size_check(spark, folder, lookup):
     path = folder()
     lookup.write.parquet(path)

@@ -226,3 +226,13 @@ def test_stream_source_of_the_tables(spark, folder, live):
     )
     _ended(query)
     assert _rows(spark.read.parquet(out).select(*live.columns)) == _rows(live.select(*map(F.col, live.columns)))
+
+
+def test_a_stream_can_be_enriched_by_itself(spark, folder, past, listed, batch_result):
+    """Without a job around it, a streaming frame takes the same operators."""
+    out = folder()
+    stream = enrich(tables.raw_live_stream(spark, SF_DIR), past, listed)
+    writer = stream.writeStream.format("parquet").option("path", out)
+    writer = writer.option("checkpointLocation", folder("checkpoint")).trigger(availableNow=True)
+    _ended(writer.start())
+    assert _rows(spark.read.parquet(out).select(*batch_result.columns)) == _rows(batch_result)

@@ -26,7 +26,7 @@ def add_recurrence(transactions: DataFrame, history: DataFrame) -> DataFrame:
 
     ``history`` is either past transactions or the table :func:`pair_counts` made of them.
     """
-    joined = left_lookup(transactions, _as_pair_counts(history), PAIR, spread_by="tid")
+    joined = left_lookup(transactions, _as_pair_counts(history), PAIR)
     return joined.select(*transactions.columns, count_to_int(F.col("pairCount")).alias("recurrence"))
 
 
@@ -39,7 +39,7 @@ def add_dest_blacklisted(
         .distinct()
         .withColumn("_listed", F.lit(1))
     )
-    joined = left_lookup(transactions, listed, ["nameDest"], spread_by="tid", keys_from=keys_from)
+    joined = left_lookup(transactions, listed, ["nameDest"], keys_from=keys_from)
     return joined.select(
         *transactions.columns, F.coalesce(F.col("_listed"), F.lit(0)).alias("destBlacklisted")
     )

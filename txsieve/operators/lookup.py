@@ -6,17 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split; every split then has about this many.
+# A key with more rows than this may be hot.
 HOT_ROWS = 1_000_000
-# At most this many keys are split, so the broadcast table of hot keys stays small. Keys beyond it
-# are still joined, only unsplit.
-MAX_HOT_KEYS = 10_000
-
-_SALT = "_salt"
-_SPLITS = "_splits"
+# Rows are first counted per hash bucket of their key, so that finding hot keys moves little data.
+BUCKETS = 16_384
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -26,28 +22,27 @@ def fits_broadcast(df: DataFrame) -> bool:
     return 0 <= int(size) <= limit
 
 
-def hot_keys(facts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows and the number of splits each one needs.
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[Row]:
+    """The keys with too many rows for one task.
 
-    Rows are counted before the shuffle, so a hot key costs one row per task here.
+    Too many is over ``hot_rows`` and over twice the average bucket, so fewer than half as many keys as
+    there are buckets can come out. Runs one job that counts buckets and, only if a bucket stands out, a
+    second one that counts the keys of such buckets.
     """
-    counted = facts.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    return (
-        counted.orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias(_SPLITS))
-    )
-
-
-def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(and_, [left[c].eqNullSafe(right[c]) for c in columns])
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    sizes = {row[0]: row[1] for row in rows.groupBy(bucket).count().collect()}
+    limit = max(hot_rows, 2 * sum(sizes.values()) // BUCKETS)
+    crowded = [number for number, size in sizes.items() if size > limit]
+    if not crowded:
+        return []
+    counted = rows.filter(bucket.isin(crowded)).groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counted.filter(F.col("_n") > limit).select(*keys).collect()
 
 
 def left_lookup(
     facts: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
-    spread_by: str,
     keys_from: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -57,32 +52,28 @@ def left_lookup(
     as a micro-batch, their keys are broadcast to cut the lookup down before it is aggregated or moved;
     what remains is no larger than the keys and is broadcast too.
 
-    With both sides large, hot keys of ``facts`` are dealt out over several partitions by the column
-    ``spread_by``, and the lookup rows of just those keys are repeated for each. Spark's own skew
-    handling would not help: it needs both join inputs straight from a shuffle, and the lookups here
-    are aggregates. ``keys_from`` is a cheaper frame with the same rows to look for hot keys in.
+    With both sides large, ``facts`` are searched for hot keys, which runs a job. Rows of hot keys are
+    joined where they lie, to a broadcast of just those lookup rows, and only the others are shuffled.
+    Spark's own skew handling would not help: it needs both join inputs straight from a shuffle, and the
+    lookups here are aggregates. ``keys_from`` is a cheaper frame with the same rows to search.
     """
     keys = list(keys)
-    added = [c for c in lookup.columns if c not in keys]
+    columns = [*facts.columns, *[c for c in lookup.columns if c not in keys]]
     if facts.isStreaming or fits_broadcast(lookup):
-        return facts.join(lookup, keys, "left").select(*facts.columns, *added)
+        return facts.join(lookup, keys, "left").select(*columns)
 
     key_rows = (facts if keys_from is None else keys_from).select(*keys)
     if fits_broadcast(key_rows):
         needed = lookup.join(F.broadcast(key_rows.distinct()), keys, "left_semi")
-        return facts.join(F.broadcast(needed), keys, "left").select(*facts.columns, *added)
-
-    # The salt depends on the row and on the partition it is read from, so a retried task deals the
-    # same way, and copies of one row still spread out.
-    hot = hot_keys(key_rows, keys, hot_rows)
-    marked = facts.join(F.broadcast(hot), _same(facts, hot, keys), "left").select(facts["*"], hot[_SPLITS])
-    deal = F.pmod(F.xxhash64(spread_by, F.spark_partition_id()), F.col(_SPLITS))
-    salted = marked.select(
-        *facts.columns, F.when(F.col(_SPLITS).isNotNull(), deal).otherwise(0).cast("int").alias(_SALT)
-    )
-
-    hot_side = lookup.join(F.broadcast(hot), _same(lookup, hot, keys), "left")
-    copies = F.sequence(F.lit(0), F.coalesce(hot[_SPLITS], F.lit(1)) - 1)
-    repeated = hot_side.select(lookup["*"], F.explode(copies).alias(_SALT))
-
-    return salted.join(repeated, [*keys, _SALT], "left").select(*facts.columns, *added)
+        return facts.join(F.broadcast(needed), keys, "left").select(*columns)
+
+    found = hot_keys(key_rows, keys, hot_rows)
+    if not found:
+        return facts.join(lookup, keys, "left").select(*columns)
+    # Fewer than BUCKETS / 2 rows, and with them the lookup rows of these keys.
+    hot = F.broadcast(facts.sparkSession.createDataFrame(found, key_rows.schema))
+    needed = lookup.join(hot, keys, "left_semi")
+    is_hot = reduce(and_, [facts[key].eqNullSafe(hot[key]) for key in keys])
+    in_place = facts.join(hot, is_hot, "left_semi").join(F.broadcast(needed), keys, "left")
+    shuffled = facts.join(hot, is_hot, "left_anti").join(lookup, keys, "left")
+    return in_place.select(*columns).union(shuffled.select(*columns))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txsieve.operators.enrich import enrich
+from txsieve.sources.messages import FILES_PER_TRIGGER
 
 _SCHEMAS = {
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
@@ -81,6 +82,7 @@ def raw_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = (
         spark.readStream.schema(_SCHEMAS["events"])
         .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", FILES_PER_TRIGGER)
         .parquet(sf_dir)
         .filter(f"ts >= {_LIVE_FROM}")
     )

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from txsieve.config import JobConfig
 from txsieve.schema import MESSAGE_SCHEMA
 
+# A replay from the start comes in batches of this size instead of as one.
+MESSAGES_PER_TRIGGER = 100_000_000
+FILES_PER_TRIGGER = 1_000
+
 
 def kafka_read_options(
-    config: JobConfig, topic: str, starting: str = "earliest", max_per_trigger: int | None = None
+    config: JobConfig,
+    topic: str,
+    starting: str = "earliest",
+    max_per_trigger: int = MESSAGES_PER_TRIGGER,
 ) -> dict[str, str]:
     config.require("kafka_servers")
-    options = {
+    return {
         "kafka.bootstrap.servers": config.kafka_servers,
         "subscribe": topic,
         "startingOffsets": starting,
         "failOnDataLoss": str(config.fail_on_data_loss).lower(),
+        "maxOffsetsPerTrigger": str(max_per_trigger),
     }
-    if max_per_trigger:
-        options["maxOffsetsPerTrigger"] = str(max_per_trigger)
-    return options
 
 
 def read_kafka(spark: SparkSession, config: JobConfig, topic: str, **options) -> DataFrame:
@@ -34,21 +40,22 @@ def _as_messages(df: DataFrame) -> DataFrame:
     return df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+def _reader(
+    spark: SparkSession, stream: bool, files_per_trigger: int
+) -> DataFrameReader | DataStreamReader:
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
+
+
 def read_json_lines(
-    spark: SparkSession, folder: str, stream: bool = False, files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, stream: bool = False, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
     """Each line of the text files in ``folder`` as a message without a key."""
-    reader = spark.readStream if stream else spark.read
-    if stream and files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(folder).select(F.lit(None).cast("string").alias("key"), "value")
+    return _reader(spark, stream, files_per_trigger).text(folder).select(F.lit(None).cast("string").alias("key"), "value")
 
 
 def read_message_table(
-    spark: SparkSession, folder: str, stream: bool = False, files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, stream: bool = False, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
     """Messages kept as a Parquet folder."""
-    reader = spark.readStream if stream else spark.read
-    if stream and files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    reader = _reader(spark, stream, files_per_trigger)
     return reader.schema(MESSAGE_SCHEMA).parquet(folder).select("key", "value")

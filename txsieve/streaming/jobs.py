@@ -60,8 +60,9 @@ def start_enrichment(
         parsed = parse_messages(batch, RAW_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
         # Counting fills the cache, from which Spark then knows how large the batch is.
         parsed.count()
-        valid = records(parsed, RAW_SCHEMA, fill_missing=True)
-        enriched = enrich(valid, history(), blacklist()).persist(StorageLevel.MEMORY_AND_DISK)
+        enriched = enrich(records(parsed, RAW_SCHEMA, fill_missing=True), history(), blacklist())
+        if len(outputs) > 1:
+            enriched = enriched.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for write in outputs:
                 write(enriched, batch_id)
