@@ -1,3 +1,6 @@
+import pytest
+
+from txsieve.operators import lookup as joins
 from txsieve.operators.enrich import (
     add_balance_errors,
     add_dest_blacklisted,
@@ -62,3 +65,21 @@ def test_enrich_keeps_all_rows_and_further_columns(spark, raw):
     ]
     more = enrich(live.selectExpr("*", "1 AS isFraud"), live, blacklist)
     assert more.columns == [*ENRICHED_SCHEMA.fieldNames(), "isFraud"]
+
+
+@pytest.mark.parametrize("hot_rows", [0, 2, 10**6])
+def test_history_enriched_by_itself(spark, raw, monkeypatch, hot_rows):
+    """The same frame on both sides, whatever counts as a hot key."""
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    blacklist = spark.createDataFrame([("M1",), ("M8",)], "accountNumber string")
+    past = raw(
+        *[{"tid": i} for i in range(5)],
+        {"tid": 5, "nameDest": "M7"},
+        {"tid": 6, "nameOrig": None},
+        *[{"tid": 7 + i, "nameOrig": None, "nameDest": None} for i in range(4)],
+    )
+    expected = {i: (5, 1) for i in range(5)} | {5: (1, 0), 6: (0, 1)} | {7 + i: (0, 0) for i in range(4)}
+    out = enrich(past, past, blacklist)
+    assert out.count() == 11
+    assert _by_tid(out, "recurrence", "destBlacklisted") == expected

@@ -43,31 +43,35 @@ def _sizes(monkeypatch, small):
 )
 def test_all_ways_agree(facts, lookup, monkeypatch, small, hot_rows):
     _sizes(monkeypatch, small)
-    out = left_lookup(facts, lookup, ["a", "b"], hot_rows=hot_rows)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    out = left_lookup(facts, lookup, ["a", "b"])
     assert out.columns == ["tid", "a", "b", "v"]
     assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
 
 
-def test_hot_keys(facts):
-    assert set(hot_keys(facts, ["a", "b"], 20)) == {("hot", "x"), (None, "z"), ("copy", "x")}
+def test_hot_keys(facts, monkeypatch):
     assert hot_keys(facts, ["a", "b"]) == []
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    assert set(hot_keys(facts, ["a", "b"])) == {("hot", "x"), (None, "z"), ("copy", "x")}
     assert hot_keys(facts.limit(0), ["a", "b"]) == []
 
 
 def test_few_buckets_hide_no_hot_key(facts, monkeypatch):
     monkeypatch.setattr(joins, "BUCKETS", 8)
-    assert {r["a"] for r in hot_keys(facts, ["a", "b"], 20)} == {"hot"}
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    assert {r["a"] for r in hot_keys(facts, ["a", "b"])} == {"hot"}
 
 
 def test_no_join_partition_holds_a_hot_key(spark, lookup, monkeypatch):
     """Rows of a hot key, and copies of one row, stay spread over the partitions they came in."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 40)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for rows in ([(i, "hot", "x") for i in range(4000)], [(7, "copy", "x")] * 4000):
             facts = spark.createDataFrame(rows, "tid int, a string, b string").repartition(64)
             _sizes(monkeypatch, [])
-            out = left_lookup(facts, lookup, ["a", "b"], hot_rows=40)
+            out = left_lookup(facts, lookup, ["a", "b"])
             sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
             assert sum(sizes) == 4000
             assert max(sizes) < 2000

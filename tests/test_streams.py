@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from txsieve.functions.messages import decode_messages, encode_messages
-from txsieve.operators import model, rules
+from txsieve.operators import lookup, model, rules
 from txsieve.operators.enrich import enrich, pair_counts
 from txsieve.plans import tables
 from txsieve.plans.sample_rules import sample_rules
@@ -236,3 +236,26 @@ def test_a_stream_can_be_enriched_by_itself(spark, folder, past, listed, batch_r
     writer = writer.option("checkpointLocation", folder("checkpoint")).trigger(availableNow=True)
     _ended(writer.start())
     assert _rows(spark.read.parquet(out).select(*batch_result.columns)) == _rows(batch_result)
+
+
+def test_a_small_batch_cuts_a_large_history_down(spark, json_files, batch_result, folder, monkeypatch):
+    """With a history taken for large, the batch is still joined without a search."""
+    real = lookup.fits_broadcast
+
+    def search(*_):
+        raise AssertionError("searched for hot keys")
+
+    monkeypatch.setattr(lookup, "hot_keys", search)
+    monkeypatch.setattr(lookup, "fits_broadcast", lambda df: "pairCount" not in df.columns and real(df))
+    out = folder()
+    _ended(
+        jobs.start_enrichment(
+            read_json_lines(spark, json_files, stream=True, files_per_trigger=2),
+            history=lambda: tables.raw_history(spark, SF_DIR),
+            blacklist=lambda: tables.blacklist(spark, SF_DIR),
+            outputs=[RecordTable(out).write_records],
+            checkpoint=folder("checkpoint"),
+            available_now=True,
+        )
+    )
+    assert _rows(read_table(spark, out, ENRICHED_SCHEMA).drop("batch_id")) == _rows(batch_result)

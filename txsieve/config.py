@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
 class JobConfig:
     kafka_servers: str = "localhost:9092"
-    raw_topic: str = "transactions_raw"
-    enriched_topic: str = "transactions"
-    rule_topic: str = "detections_rules"
-    model_topic: str = "detections_model"
-    clean_rule_topic: str = "clean_rules"
-    clean_model_topic: str = "clean_model"
     fail_on_data_loss: bool = True
     jdbc_url: str = ""
     jdbc_driver: str = ""
     jdbc_user: str = ""
     jdbc_password: str = field(default="", repr=False)
 
+    @classmethod
+    def from_json(cls, path: str) -> JobConfig:
+        with open(path, encoding="utf-8") as file:
+            return cls(**json.load(file))
+
     def require(self, *names: str) -> JobConfig:
         """Raise unless the named settings are filled in."""
         missing = [name for name in names if not getattr(self, name)]

@@ -22,16 +22,16 @@ def fits_broadcast(df: DataFrame) -> bool:
     return 0 <= int(size) <= limit
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[Row]:
+def hot_keys(rows: DataFrame, keys: Sequence[str]) -> list[Row]:
     """The keys with too many rows for one task.
 
-    Too many is over ``hot_rows`` and over twice the average bucket, so fewer than half as many keys as
+    Too many is over ``HOT_ROWS`` and over twice the average bucket, so fewer than half as many keys as
     there are buckets can come out. Runs one job that counts buckets and, only if a bucket stands out, a
     second one that counts the keys of such buckets.
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
     sizes = {row[0]: row[1] for row in rows.groupBy(bucket).count().collect()}
-    limit = max(hot_rows, 2 * sum(sizes.values()) // BUCKETS)
+    limit = max(HOT_ROWS, 2 * sum(sizes.values()) // BUCKETS)
     crowded = [number for number, size in sizes.items() if size > limit]
     if not crowded:
         return []
@@ -40,11 +40,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
 
 
 def left_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    keys_from: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], keys_from: DataFrame | None = None
 ) -> DataFrame:
     """``facts`` left-joined on equal ``keys`` to ``lookup``, which has at most one row per key.
 
@@ -67,7 +63,7 @@ def left_lookup(
         needed = lookup.join(F.broadcast(key_rows.distinct()), keys, "left_semi")
         return facts.join(F.broadcast(needed), keys, "left").select(*columns)
 
-    found = hot_keys(key_rows, keys, hot_rows)
+    found = hot_keys(key_rows, keys)
     if not found:
         return facts.join(lookup, keys, "left").select(*columns)
     # Fewer than BUCKETS / 2 rows, and with them the lookup rows of these keys.
