@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,11 @@ from txsieve.session import build_session, new_run_folder  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4"
+        "tests",
+        "local[4]",
+        spark__ui__enabled="false",
+        spark__sql__shuffle__partitions="4",
+        spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="run-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -2,13 +2,15 @@ import pytest
 
 from txsieve.operators import lookup as joins
 from txsieve.operators.enrich import (
+    PAIR,
     add_balance_errors,
     add_dest_blacklisted,
     add_recurrence,
     enrich,
     pair_counts,
 )
-from txsieve.schema import ENRICHED_SCHEMA
+from txsieve.schema import ENRICHED_SCHEMA, RAW_SCHEMA
+from txsieve.sinks.tables import save_bucketed
 
 
 def _by_tid(df, *columns):
@@ -83,3 +85,21 @@ def test_history_enriched_by_itself(spark, raw, monkeypatch, hot_rows):
     out = enrich(past, past, blacklist)
     assert out.count() == 11
     assert _by_tid(out, "recurrence", "destBlacklisted") == expected
+
+
+def test_bucketed_counts_are_not_shuffled(spark, raw, folder, monkeypatch, capsys):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    history = raw(*[{"nameDest": f"M{i % 7}"} for i in range(20)])
+    save_bucketed(pair_counts(history), "pair_counts_of_a_test", PAIR, 4)
+    path = folder()
+    raw(*[{"tid": i, "nameDest": f"M{i}"} for i in range(9)]).write.parquet(path)
+    live = spark.read.schema(RAW_SCHEMA).parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = add_recurrence(live, spark.table("pair_counts_of_a_test"))
+        out.explain()
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+        assert _by_tid(out, "recurrence") == {i: (3 if i < 6 else 2 if i < 7 else 0,) for i in range(9)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE pair_counts_of_a_test")

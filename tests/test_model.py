@@ -84,3 +84,47 @@ def test_save_and_load(history, live, folder):
     fitted, path = model.train(history), folder("model")
     model.save(fitted, path)
     assert sorted(model.score(model.load(path), live).collect()) == sorted(model.score(fitted, live).collect())
+
+
+def _leaf(nodes, values):
+    """The leaf of one saved tree that a feature vector falls into."""
+    node = nodes[0]
+    while node["leftChild"] >= 0:
+        split = node["split"]
+        value, bound = values[split["featureIndex"]], split["leftCategoriesOrThreshold"]
+        goes_left = value <= bound[0] if split["numCategories"] < 0 else value in bound
+        node = nodes[node["leftChild"] if goes_left else node["rightChild"]]
+    return node
+
+
+def _forest_verdict(trees, weights, values):
+    frauds = 0.0
+    for number, nodes in trees.items():
+        clean, fraud = _leaf(nodes, values)["impurityStats"]
+        frauds += weights[number] * (fraud / (clean + fraud))
+    return int(frauds > sum(weights) / 2)
+
+
+def _boosted_verdict(trees, weights, values):
+    return int(sum(weights[n] * _leaf(nodes, values)["prediction"] for n, nodes in trees.items()) > 0)
+
+
+@pytest.mark.parametrize("name, verdict", [("RANDOM_FOREST", _forest_verdict), ("GBT", _boosted_verdict)])
+def test_scores_equal_walking_the_trees(spark, history, live, folder, name, verdict):
+    """Each transaction is dropped through the saved trees by hand."""
+    fitted, path = model.train(history, name), folder("model")
+    model.save(fitted, path)
+    trees = {}
+    for row in spark.read.parquet(f"{path}/stages/3_{fitted.stages[-1].uid}/data").collect():
+        trees.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
+    weights = fitted.stages[-1].treeWeights
+    assert len(trees) == len(weights) == {"RANDOM_FOREST": 20, "GBT": 5}[name]
+
+    types = {label: i for i, label in enumerate(fitted.stages[0].labels)}
+    expected = {}
+    for row in live.collect():
+        onehot = [float(types[row["type"]] == i) for i in range(len(types) - 1)]
+        values = onehot + [float(row[c]) for c in model.NUMERIC_FEATURES]
+        expected[row["tid"]] = verdict(trees, weights, values)
+    assert {r["tid"]: r["isFraud"] for r in model.score(fitted, live).collect()} == expected
+    assert 0 < sum(expected.values()) < len(expected)

@@ -1,7 +1,8 @@
 """The jobs as commands: ``spark-submit run_job.py JOB ...``.
 
 Messages are named ``kafka:TOPIC``, ``lines:FOLDER`` (JSON lines) or a folder of Parquet messages.
-Tables are a Parquet folder, ``jdbc:TABLE``, or ``jdbc:TABLE@COLUMN:LOW:HIGH:PARTS`` for a split scan.
+Tables are a Parquet folder, ``table:NAME`` of the catalog, ``jdbc:TABLE``, or
+``jdbc:TABLE@COLUMN:LOW:HIGH:PARTS`` for a split scan.
 """
 
 from __future__ import annotations
@@ -14,12 +15,18 @@ from pyspark.sql.types import StructType
 
 from txsieve.config import JobConfig
 from txsieve.operators import evaluate, model
-from txsieve.operators.enrich import pair_counts
+from txsieve.operators.enrich import PAIR, pair_counts
 from txsieve.operators.rules import RuleSet
 from txsieve.schema import DETECTION_SCHEMA, LABELLED_SCHEMA
 from txsieve.session import build_session
 from txsieve.sinks.messages import KafkaTopic, MessageFolder
-from txsieve.sinks.tables import overwrite_jdbc, overwrite_table, upsert_detections_jdbc, write_batch
+from txsieve.sinks.tables import (
+    overwrite_jdbc,
+    overwrite_table,
+    save_bucketed,
+    upsert_detections_jdbc,
+    write_batch,
+)
 from txsieve.sources.messages import read_json_lines, read_kafka, read_message_table
 from txsieve.sources.rules import load_rule_table, load_rule_xml
 from txsieve.sources.tables import read_jdbc, read_table
@@ -50,6 +57,8 @@ class _Places:
 
     def table(self, name: str, schema: StructType | str) -> DataFrame:
         kind, _, rest = name.partition(":")
+        if kind == "table":
+            return self.spark.table(rest)
         if kind != "jdbc":
             return read_table(self.spark, name, schema)
         table, _, split = rest.partition("@")
@@ -116,7 +125,12 @@ def _keep(at: _Places, args: argparse.Namespace) -> None:
 
 
 def _pair_counts(at: _Places, args: argparse.Namespace) -> None:
-    at.overwrite(pair_counts(at.table(args.history, "nameOrig string, nameDest string")), args.to)
+    counts = pair_counts(at.table(args.history, "nameOrig string, nameDest string"))
+    kind, _, table = args.to.partition(":")
+    if kind == "table":
+        save_bucketed(counts, table, PAIR, args.buckets)
+    else:
+        at.overwrite(counts, args.to)
 
 
 def _evaluate(at: _Places, args: argparse.Namespace) -> None:
@@ -168,6 +182,7 @@ def _parser() -> argparse.ArgumentParser:
     counts.set_defaults(run=_pair_counts)
     counts.add_argument("--history", required=True)
     counts.add_argument("--to", required=True)
+    counts.add_argument("--buckets", type=int, default=1024, help="of a table:NAME, which is kept in buckets")
 
     judge = commands.add_parser("evaluate", help="detections against expected labels")
     judge.set_defaults(run=_evaluate)
