@@ -29,6 +29,8 @@ def test_recurrence(raw):
     expected = {1: (3,), 2: (1,), 3: (0,), 4: (0,), 5: (0,)}
     assert _by_tid(add_recurrence(live, history), "recurrence") == expected
     assert _by_tid(add_recurrence(live, pair_counts(history)), "recurrence") == expected
+    appended = pair_counts(history.limit(2)).union(pair_counts(history.offset(2)))
+    assert _by_tid(add_recurrence(live, appended), "recurrence") == expected
 
 
 def test_blacklist_entries_listed_twice_count_once(spark, raw):

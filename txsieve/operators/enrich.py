@@ -18,13 +18,17 @@ def pair_counts(history: DataFrame) -> DataFrame:
 
 
 def _as_pair_counts(history: DataFrame) -> DataFrame:
-    return history if "pairCount" in history.columns else pair_counts(history)
+    if "pairCount" not in history.columns:
+        return pair_counts(history)
+    # Adding up lets new counts be appended to such a table.
+    return history.groupBy(*PAIR).agg(F.sum("pairCount").alias("pairCount"))
 
 
 def add_recurrence(transactions: DataFrame, history: DataFrame) -> DataFrame:
     """Add ``recurrence``: past transactions between the same two accounts, 0 if none.
 
-    ``history`` is either past transactions or the table :func:`pair_counts` made of them.
+    ``history`` is either past transactions or a table :func:`pair_counts` made of them, to which counts
+    of later transactions may have been appended.
     """
     joined = left_lookup(transactions, _as_pair_counts(history), PAIR)
     return joined.select(*transactions.columns, count_to_int(F.col("pairCount")).alias("recurrence"))
