@@ -24,13 +24,15 @@ def _as_pair_counts(history: DataFrame) -> DataFrame:
     return history.groupBy(*PAIR).agg(F.sum("pairCount").alias("pairCount"))
 
 
-def add_recurrence(transactions: DataFrame, history: DataFrame) -> DataFrame:
+def add_recurrence(
+    transactions: DataFrame, history: DataFrame, keys_from: DataFrame | None = None
+) -> DataFrame:
     """Add ``recurrence``: past transactions between the same two accounts, 0 if none.
 
     ``history`` is either past transactions or a table :func:`pair_counts` made of them, to which counts
     of later transactions may have been appended.
     """
-    joined = left_lookup(transactions, _as_pair_counts(history), PAIR)
+    joined = left_lookup(transactions, _as_pair_counts(history), PAIR, keys_from)
     return joined.select(*transactions.columns, count_to_int(F.col("pairCount")).alias("recurrence"))
 
 
@@ -43,7 +45,7 @@ def add_dest_blacklisted(
         .distinct()
         .withColumn("_listed", F.lit(1))
     )
-    joined = left_lookup(transactions, listed, ["nameDest"], keys_from=keys_from)
+    joined = left_lookup(transactions, listed, ["nameDest"], keys_from)
     return joined.select(
         *transactions.columns, F.coalesce(F.col("_listed"), F.lit(0)).alias("destBlacklisted")
     )
@@ -67,10 +69,16 @@ def add_balance_errors(transactions: DataFrame) -> DataFrame:
     )
 
 
-def enrich(transactions: DataFrame, history: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """All four features, in the order of ``ENRICHED_SCHEMA``, with any further columns after them."""
-    counted = add_recurrence(transactions, history)
-    flagged = add_dest_blacklisted(counted, blacklist, keys_from=transactions)
+def enrich(
+    transactions: DataFrame, history: DataFrame, blacklist: DataFrame, keys_from: DataFrame | None = None
+) -> DataFrame:
+    """All four features, in the order of ``ENRICHED_SCHEMA``, with any further columns after them.
+
+    ``keys_from`` may name a frame that gives the account columns of the same transactions more cheaply.
+    """
+    keys_from = transactions if keys_from is None else keys_from
+    counted = add_recurrence(transactions, history, keys_from)
+    flagged = add_dest_blacklisted(counted, blacklist, keys_from)
     out = add_balance_errors(flagged)
     names = ENRICHED_SCHEMA.fieldNames()
     return out.select(*names, *[c for c in transactions.columns if c not in names])

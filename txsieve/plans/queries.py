@@ -77,7 +77,8 @@ def encode_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, past = tables.raw_live(spark, sf_dir), tables.raw_history(spark, sf_dir)
-    return enriching.add_recurrence(live, past).select("tid", "recurrence")
+    accounts = tables.live_accounts(spark, sf_dir)
+    return enriching.add_recurrence(live, past, accounts).select("tid", "recurrence")
 
 
 def dest_blacklisted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _past(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").filter(f"ts < {_LIVE_FROM}")
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").filter(f"ts >= {_LIVE_FROM}")
+
+
+def _k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def _orig() -> Column:
+    return F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("nameOrig")
+
+
+def _dest(k: Column) -> Column:
+    return F.concat(F.lit("M"), k.cast("string")).alias("nameDest")
+
+
+def _accounts(events: DataFrame) -> DataFrame:
+    """The accounts of each event alone, without the joins."""
+    return events.select(_orig(), _dest(_k()))
+
+
 def _transactions(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts = read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"),
@@ -40,10 +65,10 @@ def _transactions(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
             F.greatest(F.col("s_acctbal"), F.lit(0.0)).alias("destBalance"),
         )
     )
-    k = F.get_json_object("props", "$.k").cast("int")
     since = F.col("ts") - F.expr(_START)
+    # Events and customers come straight from their scans, so adaptive execution can split hot users.
     joined = (
-        events.withColumn("k", k)
+        events.withColumn("k", _k())
         .withColumn("merchant", F.col("k") % 10)
         .join(accounts, "user_id")
         .join(F.broadcast(merchants), "merchant")
@@ -53,10 +78,10 @@ def _transactions(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
         (F.extract(F.lit("DAYS"), since) * 24 + F.extract(F.lit("HOURS"), since)).cast("int").alias("step"),
         F.upper("event_type").alias("type"),
         F.col("value").cast("float").alias("amount"),
-        F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("nameOrig"),
+        _orig(),
         F.col("origBalance").cast("float").alias("oldBalanceOrig"),
         F.greatest(F.col("origBalance") - F.col("value"), F.lit(0.0)).cast("float").alias("newBalanceOrig"),
-        F.concat(F.lit("M"), F.col("k").cast("string")).alias("nameDest"),
+        _dest(F.col("k")),
         F.col("destBalance").cast("float").alias("oldBalanceDest"),
         F.when(F.col("event_type") == "error", F.col("destBalance"))
         .otherwise(F.col("destBalance") + F.col("value"))
@@ -67,14 +92,17 @@ def _transactions(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
 
 def raw_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Past transactions without features or labels."""
-    events = read(spark, sf_dir, "events").filter(f"ts < {_LIVE_FROM}")
-    return _transactions(events, spark, sf_dir)
+    return _transactions(_past(spark, sf_dir), spark, sf_dir)
 
 
 def raw_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transactions to screen."""
-    events = read(spark, sf_dir, "events").filter(f"ts >= {_LIVE_FROM}")
-    return _transactions(events, spark, sf_dir)
+    return _transactions(_live(spark, sf_dir), spark, sf_dir)
+
+
+def live_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounts of the transactions to screen."""
+    return _accounts(_live(spark, sf_dir))
 
 
 def raw_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +130,8 @@ def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(raw_live(spark, sf_dir), raw_history(spark, sf_dir), blacklist(spark, sf_dir))
+    live, past = raw_live(spark, sf_dir), raw_history(spark, sf_dir)
+    return enrich(live, past, blacklist(spark, sf_dir), live_accounts(spark, sf_dir))
 
 
 def _label() -> Column:
@@ -114,7 +143,8 @@ def _label() -> Column:
 def labelled_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Past transactions with features and the fraud label, the training table."""
     past = raw_history(spark, sf_dir)
-    return enrich(past, past, blacklist(spark, sf_dir)).withColumn("isFraud", _label())
+    accounts = _accounts(_past(spark, sf_dir))
+    return enrich(past, past, blacklist(spark, sf_dir), accounts).withColumn("isFraud", _label())
 
 
 def expected_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
