@@ -44,9 +44,9 @@ trdata AS (SELECT * FROM labelled WHERE step >= 360),
 types AS (
   SELECT type, CAST(row_number() OVER (ORDER BY count(*) DESC, type) - 1 AS DOUBLE) AS typeIndex
   FROM trhistory GROUP BY type),
--- The L1 penalty, regParam * elasticNetParam = 0.24, is above the deviation of the label,
--- sqrt(p * (1 - p)), which bounds every gradient at zero. So all coefficients are 0 and the
--- model predicts the more frequent label throughout.
+-- At zero coefficients no gradient exceeds the label's deviation sqrt(p * (1 - p)), where p is the
+-- share of frauds. The L1 penalty, regParam * elasticNetParam = 0.24, is above that while p < 0.061,
+-- so all coefficients are 0 and the model predicts the more frequent label throughout.
 byPrior AS (
   SELECT tid, CASE WHEN (SELECT avg(isFraud) FROM trhistory) > 0.5 THEN 1 ELSE 0 END AS isFraud
   FROM trdata)
@@ -88,6 +88,8 @@ FROM ({actual}) a JOIN trdata e ON e.tid = a.tid"""
 
 
 _VERDICTS = "SELECT tid, byRules AS isFraud FROM trdata"
+_EVAL_PAIRS = f"""SELECT a.tid, e.isFraud AS expected, a.isFraud AS actual
+FROM ({_VERDICTS}) a JOIN trdata e ON e.tid = a.tid"""
 _BY_PRIOR = "SELECT tid, isFraud FROM byPrior"
 
 
@@ -118,6 +120,7 @@ def _json_of_enriched() -> str:
 _BODIES = {
     "scan_transactions": f"SELECT {_RAW} FROM live",
     "scan_history": f"SELECT {_ENRICHED}, isFraud FROM trhistory",
+    "scan_json_lines": f"SELECT {_RAW} FROM live",
     "decode_json": f"SELECT {_RAW} FROM live",
     "decode_quarantine": "SELECT tid, CASE WHEN type = 'ERROR' THEN 1 ELSE 0 END AS quarantined FROM live",
     "decode_detection": _VERDICTS,
@@ -157,8 +160,7 @@ _BODIES = {
     "score_lr": _BY_PRIOR,
     "undetected_scored": f"SELECT {_ENRICHED} FROM trdata JOIN (SELECT tid FROM byPrior"
     " WHERE byPrior.isFraud = 0) p USING (tid)",
-    "eval_join": f"SELECT a.tid, e.isFraud AS expected, a.isFraud AS actual FROM ({_VERDICTS}) a"
-    " JOIN trdata e ON e.tid = a.tid",
+    "eval_join": _EVAL_PAIRS,
     "eval_confusion": _confusion(_VERDICTS),
     "eval_metrics": _metrics(_VERDICTS),
     "eval_metrics_scored": _metrics(_BY_PRIOR),
@@ -170,6 +172,7 @@ _BODIES = {
     f" UNION ALL SELECT tid, isFraud, 'model' AS detector FROM ({_BY_PRIOR}) m",
     "stream_score": _BY_PRIOR,
     "sink_overwrite": _DET_PRIM,
+    "sink_eval_pairs": _EVAL_PAIRS,
     "sink_text": f"SELECT {_DETECTION_JSON} AS value FROM trdata WHERE byRules = 1",
 }
 

@@ -19,7 +19,8 @@ from txsieve.schema import DETECTION_SCHEMA, ENRICHED_SCHEMA, RAW_SCHEMA
 from txsieve.session import new_run_folder
 from txsieve.sinks import tables as sinks
 from txsieve.sinks.messages import MessageFolder, RecordTable
-from txsieve.sources.messages import read_message_table
+from txsieve.sources.messages import read_json_lines, read_message_table
+from txsieve.sources.rules import load_rule_table
 from txsieve.sources.tables import read_table
 from txsieve.streaming import jobs
 
@@ -47,6 +48,16 @@ def decode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(decode_messages(messages, RAW_SCHEMA, fill_missing=True))
 
 
+def scan_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions written as JSON lines and read as a stream of messages."""
+    lines, folder = new_run_folder(spark, "lines"), new_run_folder(spark, "records")
+    sinks.write_text(encode_messages(tables.raw_live(spark, sf_dir)), lines)
+    decoded = decode_messages(read_json_lines(spark, lines, stream=True), RAW_SCHEMA, fill_missing=True)
+    writer = decoded.writeStream.option("checkpointLocation", new_run_folder(spark, "checkpoint"))
+    writer.trigger(availableNow=True).start(folder).awaitTermination()
+    return _doubles(read_table(spark, folder, RAW_SCHEMA))
+
+
 def decode_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of failed transactions give ``tid`` as text and so are invalid."""
     live = tables.raw_live(spark, sf_dir)
@@ -139,7 +150,9 @@ def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_table_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loaded = RuleSet.from_table(sample_rule_table(spark))
+    folder = new_run_folder(spark, "rules")
+    sample_rule_table(spark).write.json(folder)
+    loaded = load_rule_table(spark, folder, "json")
     return _doubles(rules.matching(tables.enriched_live(spark, sf_dir), loaded))
 
 
@@ -318,6 +331,12 @@ def sink_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, folder, DETECTION_SCHEMA)
 
 
+def sink_eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_run_folder(spark, "pairs")
+    sinks.overwrite_table(eval_join(spark, sf_dir), folder)
+    return read_table(spark, folder, "tid int, expected int, actual int")
+
+
 def sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_run_folder(spark, "text")
     sinks.write_text(encode_detection(spark, sf_dir), folder)
@@ -327,6 +346,7 @@ def sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "scan_transactions": scan_transactions,
     "scan_history": scan_history,
+    "scan_json_lines": scan_json_lines,
     "decode_json": decode_json,
     "decode_quarantine": decode_quarantine,
     "decode_detection": decode_detection,
@@ -361,5 +381,6 @@ QUERIES: dict[str, Query] = {
     "stream_screening": stream_screening,
     "stream_score": stream_score,
     "sink_overwrite": sink_overwrite,
+    "sink_eval_pairs": sink_eval_pairs,
     "sink_text": sink_text,
 }
