@@ -52,7 +52,8 @@ def main(sf: str, wanted: list[str]) -> int:
             else:
                 expected_columns, expected = duckdb_rows(sf_dir, oracles[name])
                 same = columns == expected_columns and rows == expected
-                outcome = "ok" if same else f"DIFFERS {(rows - expected).most_common(2)} {(expected - rows).most_common(2)}"
+                extra, missing = (rows - expected).most_common(2), (expected - rows).most_common(2)
+                outcome = "ok" if same else f"DIFFERS extra {extra} missing {missing}"
             failed += outcome.startswith("DIFFERS")
         except Exception as e:
             took, rows, failed = time.time() - start, Counter(), failed + 1

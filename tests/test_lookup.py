@@ -80,6 +80,19 @@ def test_no_join_partition_holds_a_hot_key(spark, lookup, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_few_facts_cut_the_lookup_down_at_its_scan(spark, folder, facts, monkeypatch, capsys):
+    """The keys filter the rows that are counted, and the facts are not shuffled."""
+    path = folder()
+    facts.write.parquet(path)
+    stored = spark.read.schema(facts.schema).parquet(path)
+    counted = stored.groupBy("a", "b").agg(F.count("*").alias("v"))
+    _sizes(monkeypatch, [["a", "b"]])
+    left_lookup(stored, counted, ["a", "b"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("partial_count") < plan.index("LeftSemi") < plan.rindex("FileScan")
+
+
 def test_size_check(spark, folder, lookup):
     path = folder()
     lookup.write.parquet(path)

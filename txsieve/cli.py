@@ -32,7 +32,8 @@ from txsieve.sources.rules import load_rule_table, load_rule_xml
 from txsieve.sources.tables import read_jdbc, read_table
 from txsieve.streaming import jobs
 
-_PAIR_COUNTS = "nameOrig string, nameDest string, pairCount long"
+_ACCOUNTS = "nameOrig string, nameDest string"
+_PAIR_COUNTS = f"{_ACCOUNTS}, pairCount long"
 
 
 class _Places:
@@ -84,11 +85,10 @@ class _Places:
 
 def _enrich(at: _Places, args: argparse.Namespace) -> None:
     quarantine = args.quarantine
+    past = (args.pair_counts, _PAIR_COUNTS) if args.pair_counts else (args.history, _ACCOUNTS)
     jobs.start_enrichment(
         at.messages(args.source),
-        history=lambda: at.table(
-            args.pair_counts or args.history, _PAIR_COUNTS if args.pair_counts else "nameOrig string, nameDest string"
-        ),
+        history=lambda: at.table(*past),
         blacklist=lambda: at.table(args.blacklist, "accountNumber string"),
         outputs=[at.sink(args.to).write_records],
         quarantine=(lambda df, batch_id: write_batch(df, batch_id, quarantine)) if quarantine else None,
@@ -116,16 +116,20 @@ def _send(at: _Places, args: argparse.Namespace, messages: DataFrame) -> None:
 
 def _keep(at: _Places, args: argparse.Namespace) -> None:
     kind, _, table = args.to.partition(":")
-    if kind == "jdbc":
-        write = lambda batch, batch_id: upsert_detections_jdbc(batch, batch_id, at.config, table)
-    else:
-        write = jobs.detection_table(args.to)
+    in_files = jobs.detection_table(args.to)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if kind == "jdbc":
+            upsert_detections_jdbc(batch, batch_id, at.config, table)
+        else:
+            in_files(batch, batch_id)
+
     source = at.messages(args.source, args.starting)
     jobs.start_detection_sink(source, write, args.checkpoint, args.available_now).awaitTermination()
 
 
 def _pair_counts(at: _Places, args: argparse.Namespace) -> None:
-    counts = pair_counts(at.table(args.history, "nameOrig string, nameDest string"))
+    counts = pair_counts(at.table(args.history, _ACCOUNTS))
     kind, _, table = args.to.partition(":")
     if kind == "table":
         save_bucketed(counts, table, PAIR, args.buckets)

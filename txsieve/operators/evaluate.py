@@ -67,6 +67,7 @@ def metrics(detections: DataFrame, expected: DataFrame) -> DataFrame:
 def report_lines(measured: DataFrame) -> list[str]:
     """The eight lines of the evaluation report, from a frame made by :func:`metrics`."""
     row = measured.first()
+    # The wording and order of the lines.
     return [
         f"Processed {row['processed']} records.",
         *(f"{name.upper()}: {row[name]}" for name in ("tp", "tn", "fp", "fn")),

@@ -60,7 +60,7 @@ def left_lookup(
 
     key_rows = (facts if keys_from is None else keys_from).select(*keys)
     if fits_broadcast(key_rows):
-        needed = lookup.join(F.broadcast(key_rows.distinct()), keys, "left_semi")
+        needed = lookup.join(F.broadcast(key_rows), keys, "left_semi")
         return facts.join(F.broadcast(needed), keys, "left").select(*columns)
 
     found = hot_keys(key_rows, keys)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import FloatType, IntegerType, StringType, StructField, StructType
 
+# The names, order and types of the columns.
 RAW_SCHEMA = StructType(
     [
         StructField("tid", IntegerType()),

@@ -50,7 +50,8 @@ def read_json_lines(
     spark: SparkSession, folder: str, stream: bool = False, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
     """Each line of the text files in ``folder`` as a message without a key."""
-    return _reader(spark, stream, files_per_trigger).text(folder).select(F.lit(None).cast("string").alias("key"), "value")
+    lines = _reader(spark, stream, files_per_trigger).text(folder)
+    return lines.select(F.lit(None).cast("string").alias("key"), "value")
 
 
 def read_message_table(

@@ -10,6 +10,7 @@ from txsieve.operators.rules import RULE_TABLE_SCHEMA, Compound, Rule, RuleSet
 # XML documents are read with a fixed nesting; deeper ones are refused.
 XML_DEPTH = 8
 
+# The elements of a rule besides its id and its parts.
 _TEXT = ("ruleType", "connector", "attribute", "operator", "value", "valueType")
 
 
