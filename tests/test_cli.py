@@ -55,6 +55,13 @@ def test_the_whole_way(spark, folder, capsys):
     expected_rows = rules.detections(enriched, sample_rules())
     assert sorted(read_detections(spark, kept).collect()) == sorted(expected_rows.collect())
 
+    by_rules, by_model = folder("by-rules"), folder("by-model")
+    main(["screen", "--from", f"lines:{lines}", "--checkpoint", folder(), "--available-now",
+          "--pair-counts", counts, "--blacklist", listed, "--rules", rule_file, "--rules-to", by_rules,
+          "--model", "GBT", "--labelled", labelled, "--model-to", by_model])
+    assert sorted(read_detections(spark, by_rules).collect()) == sorted(expected_rows.collect())
+    assert read_detections(spark, by_model).count() == 480
+
     expected, pairs = folder("expected"), folder("pairs")
     tables.expected_detections(spark, SF_DIR).write.parquet(expected)
     capsys.readouterr()
@@ -68,6 +75,8 @@ def test_bad_arguments(folder):
     for arguments in (
         [],
         ["enrich", "--from", "a", "--to", "b", "--checkpoint", "c", "--blacklist", "d"],
+        ["screen", "--from", "a", "--checkpoint", "c", "--history", "d", "--blacklist", "e"],
+        ["screen", "--from", "a", "--checkpoint", "c", "--history", "d", "--blacklist", "e", "--rules", "f"],
         ["score", "--from", "a", "--to", "b", "--checkpoint", "c", "--history", "d", "--model", "OTHER"],
     ):
         with pytest.raises(SystemExit):

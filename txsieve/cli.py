@@ -75,6 +75,12 @@ class _Places:
                 return load_rule_table(self.spark, path, suffix)
         return load_rule_xml(self.spark, path)
 
+    def detection_table(self, name: str) -> jobs.WriteBatch:
+        kind, _, table = name.partition(":")
+        if kind != "jdbc":
+            return jobs.detection_table(name)
+        return lambda batch, batch_id: upsert_detections_jdbc(batch, batch_id, self.config, table)
+
     def overwrite(self, df: DataFrame, name: str) -> None:
         kind, _, rest = name.partition(":")
         if kind == "jdbc":
@@ -83,20 +89,37 @@ class _Places:
             overwrite_table(df, name)
 
 
-def _enrich(at: _Places, args: argparse.Namespace) -> None:
+def _run_enrichment(at: _Places, args: argparse.Namespace, outputs: list[jobs.WriteBatch]) -> None:
     quarantine = args.quarantine
     past = (args.pair_counts, _PAIR_COUNTS) if args.pair_counts else (args.history, _ACCOUNTS)
     jobs.start_enrichment(
         at.messages(args.source),
         history=lambda: at.table(*past),
         blacklist=lambda: at.table(args.blacklist, "accountNumber string"),
-        outputs=[at.sink(args.to).write_records],
+        outputs=outputs,
         quarantine=(lambda df, batch_id: write_batch(df, batch_id, quarantine)) if quarantine else None,
         checkpoint=args.checkpoint,
         available_now=args.available_now,
     ).awaitTermination()
 
 
+def _enrich(at: _Places, args: argparse.Namespace) -> None:
+    _run_enrichment(at, args, [at.sink(args.to).write_records])
+
+
+def _screen(at: _Places, args: argparse.Namespace) -> None:
+    outputs = []
+    if args.rules:
+        outputs.append(jobs.rule_output(at.rules(args.rules), at.detection_table(args.rules_to)))
+    if args.model:
+        history = at.table(args.labelled, LABELLED_SCHEMA)
+        fitted = model.train(history, args.model, handle_invalid=args.handle_invalid)
+        outputs.append(jobs.model_output(fitted, at.detection_table(args.model_to)))
+    if args.to:
+        outputs.append(at.sink(args.to).write_records)
+    _run_enrichment(at, args, outputs)
+
+
 def _rules(at: _Places, args: argparse.Namespace) -> None:
     build = jobs.clean_rule_messages if args.clean else jobs.rule_messages
     _send(at, args, build(at.messages(args.source), at.rules(args.rules)))
@@ -115,16 +138,7 @@ def _send(at: _Places, args: argparse.Namespace, messages: DataFrame) -> None:
 
 
 def _keep(at: _Places, args: argparse.Namespace) -> None:
-    kind, _, table = args.to.partition(":")
-    in_files = jobs.detection_table(args.to)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        if kind == "jdbc":
-            upsert_detections_jdbc(batch, batch_id, at.config, table)
-        else:
-            in_files(batch, batch_id)
-
-    source = at.messages(args.source, args.starting)
+    source, write = at.messages(args.source, args.starting), at.detection_table(args.to)
     jobs.start_detection_sink(source, write, args.checkpoint, args.available_now).awaitTermination()
 
 
@@ -153,21 +167,32 @@ def _parser() -> argparse.ArgumentParser:
     parser.add_argument("--master", help="Spark master, when not submitted with one")
     commands = parser.add_subparsers(dest="job", required=True)
 
-    def stream(name: str, run, text: str) -> argparse.ArgumentParser:
+    def stream(name: str, run, text: str, to: bool = True) -> argparse.ArgumentParser:
         command = commands.add_parser(name, help=text)
         command.set_defaults(run=run)
         command.add_argument("--from", dest="source", required=True, help="messages to read")
-        command.add_argument("--to", required=True, help="where the results go")
+        command.add_argument("--to", required=to, help="where the results go")
         command.add_argument("--checkpoint", required=True, help="folder of this job's progress")
         command.add_argument("--available-now", action="store_true", help="end after what is there now")
         return command
 
-    enrich = stream("enrich", _enrich, "raw messages to enriched ones")
-    past = enrich.add_mutually_exclusive_group(required=True)
-    past.add_argument("--history", help="table of past transactions")
-    past.add_argument("--pair-counts", help="table made by the job pair-counts")
-    enrich.add_argument("--blacklist", required=True)
-    enrich.add_argument("--quarantine", help="folder for invalid messages")
+    def lookups(command: argparse.ArgumentParser) -> None:
+        past = command.add_mutually_exclusive_group(required=True)
+        past.add_argument("--history", help="table of past transactions")
+        past.add_argument("--pair-counts", help="table made by the job pair-counts")
+        command.add_argument("--blacklist", required=True)
+        command.add_argument("--quarantine", help="folder for invalid messages")
+
+    lookups(stream("enrich", _enrich, "raw messages to enriched ones"))
+
+    screen = stream("screen", _screen, "raw messages to both detectors' tables in one job", to=False)
+    lookups(screen)
+    screen.add_argument("--rules", help="as for the job rules")
+    screen.add_argument("--rules-to", help="table of the rules' detections")
+    screen.add_argument("--model", choices=model.MODELS)
+    screen.add_argument("--labelled", help="labelled history to train the model on")
+    screen.add_argument("--model-to", help="table of the model's verdicts")
+    screen.add_argument("--handle-invalid", default="error", choices=("error", "keep"))
 
     rules = stream("rules", _rules, "detections of a rule set")
     rules.add_argument("--rules", required=True, help="XML document or rule table (.json, .csv, .parquet)")
@@ -198,7 +223,15 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
-    args = _parser().parse_args(arguments)
+    parser = _parser()
+    args = parser.parse_args(arguments)
+    if args.job == "screen":
+        if not (args.rules or args.model):
+            parser.error("screen needs --rules or --model")
+        if bool(args.rules) != bool(args.rules_to):
+            parser.error("--rules goes with --rules-to")
+        if not bool(args.model) == bool(args.model_to) == bool(args.labelled):
+            parser.error("--model goes with --labelled and --model-to")
     config = JobConfig.from_json(args.config) if args.config else JobConfig()
     spark = build_session(f"txsieve-{args.job}", args.master)
     args.run(_Places(spark, config), args)

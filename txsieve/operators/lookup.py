@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # A key with more rows than this may be hot.
@@ -39,6 +39,10 @@ def hot_keys(rows: DataFrame, keys: Sequence[str]) -> list[Row]:
     return counted.filter(F.col("_n") > limit).select(*keys).collect()
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(and_, [left[key].eqNullSafe(right[key]) for key in keys])
+
+
 def left_lookup(
     facts: DataFrame, lookup: DataFrame, keys: Sequence[str], keys_from: DataFrame | None = None
 ) -> DataFrame:
@@ -54,7 +58,8 @@ def left_lookup(
     lookups here are aggregates. ``keys_from`` is a cheaper frame with the same rows to search.
     """
     keys = list(keys)
-    columns = [*facts.columns, *[c for c in lookup.columns if c not in keys]]
+    added = [c for c in lookup.columns if c not in keys]
+    columns = [*facts.columns, *added]
     if facts.isStreaming or fits_broadcast(lookup):
         return facts.join(lookup, keys, "left").select(*columns)
 
@@ -66,10 +71,10 @@ def left_lookup(
     found = hot_keys(key_rows, keys)
     if not found:
         return facts.join(lookup, keys, "left").select(*columns)
-    # Fewer than BUCKETS / 2 rows, and with them the lookup rows of these keys.
-    hot = F.broadcast(facts.sparkSession.createDataFrame(found, key_rows.schema))
-    needed = lookup.join(hot, keys, "left_semi")
-    is_hot = reduce(and_, [facts[key].eqNullSafe(hot[key]) for key in keys])
-    in_place = facts.join(hot, is_hot, "left_semi").join(F.broadcast(needed), keys, "left")
-    shuffled = facts.join(hot, is_hot, "left_anti").join(lookup, keys, "left")
-    return in_place.select(*columns).union(shuffled.select(*columns))
+    # Fewer than BUCKETS / 2 rows, with or without what the lookup has for them.
+    hot = facts.sparkSession.createDataFrame(found, key_rows.schema)
+    needed = lookup.join(F.broadcast(hot), keys, "left_semi")
+    answers = hot.join(F.broadcast(needed), keys, "left")
+    in_place = facts.join(F.broadcast(answers), _same(facts, answers, keys))
+    shuffled = facts.join(F.broadcast(hot), _same(facts, hot, keys), "left_anti").join(lookup, keys, "left")
+    return in_place.select(facts["*"], *[answers[c] for c in added]).union(shuffled.select(*columns))
