@@ -16,6 +16,8 @@ VALID = [
     '{"TID":3}',
     ' {"tid":2} ',
     '{"tid":1,"amount":5}',
+    '{"tid":1,"_corrupt_record":"x"}',
+    '{"tid":1,"amount":"NaN"}',
 ]
 INVALID = [
     '{"tid":"12"}',
@@ -23,6 +25,9 @@ INVALID = [
     '{"tid":99999999999}',
     '{"tid":1,"amount":"3.5"}',
     "{'tid':1}",
+    "{tid:1}",
+    '{"tid":01}',
+    '{"tid":true}',
     "garbage",
     '{"tid":1',
     '[{"tid":1}]',

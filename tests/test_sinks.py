@@ -60,6 +60,16 @@ def test_batch_0_empties_the_table(spark, folder):
     assert _table(spark, path) == []
 
 
+def test_a_table_can_be_merged_while_its_stream_is_stopped(spark, folder):
+    """The rows move to batch 0 of a new folder, with which the stream goes on."""
+    old, new = folder(), folder()
+    for batch_id, rows in enumerate([[(1, 1)], [(2, 1)], [(3, 1)]]):
+        upsert_detections(_frame(spark, rows), batch_id, old)
+    write_batch(read_detections(spark, old), 0, new)
+    upsert_detections(_frame(spark, [(2, 0), (4, 1)]), 3, new)
+    assert _table(spark, new) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
 def test_write_batch_keeps_copies(spark, folder):
     path = folder()
     write_batch(_frame(spark, [(1, 1), (1, 1)]), 0, path)
