@@ -48,14 +48,18 @@ def left_lookup(
 ) -> DataFrame:
     """``facts`` left-joined on equal ``keys`` to ``lookup``, which has at most one row per key.
 
-    A small lookup, or one joined to a stream, is left to Spark, which broadcasts it. For few facts, such
-    as a micro-batch, their keys are broadcast to cut the lookup down before it is aggregated or moved;
-    what remains is no larger than the keys and is broadcast too.
+    A small lookup is left to Spark, which broadcasts it. So is any lookup joined to a streaming frame, which
+    cannot be searched; the enrichment job joins batches instead. For few facts, such as a micro-batch, their
+    keys are broadcast to cut the lookup down before it is aggregated or moved; what remains is no larger
+    than the keys and is broadcast too.
 
     With both sides large, ``facts`` are searched for hot keys, which runs a job. Rows of hot keys are
     joined where they lie, to a broadcast of just those lookup rows, and only the others are shuffled.
     Spark's own skew handling would not help: it needs both join inputs straight from a shuffle, and the
-    lookups here are aggregates. ``keys_from`` is a cheaper frame with the same rows to search.
+    lookups here are aggregates.
+
+    ``facts`` are read more than once and must give the same rows each time: cache them if their source may
+    change. ``keys_from`` is a cheaper frame to take the keys from, with every key of ``facts``.
     """
     keys = list(keys)
     added = [c for c in lookup.columns if c not in keys]
