@@ -5,7 +5,7 @@ import pytest
 from txsieve.config import JobConfig
 from txsieve.operators.rules import Compound, Rule
 from txsieve.plans.sample_rules import sample_rule_table, sample_rules
-from txsieve.sinks.messages import KafkaTopic, MessageFolder, kafka_write_options
+from txsieve.sinks.messages import kafka_write_options
 from txsieve.sources.messages import kafka_read_options, read_json_lines
 from txsieve.sources.rules import XML_DEPTH, load_rule_table, load_rule_xml
 from txsieve.sources.tables import jdbc_options, jdbc_read_options
@@ -45,12 +45,6 @@ def test_jdbc_options():
         jdbc_options(JobConfig(), "t")
 
 
-def test_topics_and_folders():
-    assert KafkaTopic(JobConfig(), "t").topic == "t"
-    with pytest.raises(ValueError):
-        MessageFolder("x", "text").write_records(None, 0)
-
-
 def test_json_lines(spark, folder):
     path = folder()
     spark.createDataFrame([('{"tid":1}',), ("x",)], "value string").write.text(path)

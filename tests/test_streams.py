@@ -68,6 +68,23 @@ def test_enrichment_equals_batch(spark, json_files, past, listed, batch_result,
         assert _rows(read_table(spark, out, ENRICHED_SCHEMA).drop("batch_id")) == _rows(batch_result)
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "text"])
+def test_enriched_messages_into_a_folder(spark, json_files, past, listed, batch_result, folder, fmt):
+    out = folder()
+    _ended(
+        jobs.start_enrichment(
+            read_json_lines(spark, json_files, stream=True, files_per_trigger=2),
+            history=lambda: past,
+            blacklist=lambda: listed,
+            outputs=[MessageFolder(out, fmt).write_records],
+            checkpoint=folder("checkpoint"),
+            available_now=True,
+        )
+    )
+    sent = read_message_table(spark, out) if fmt == "parquet" else read_json_lines(spark, out)
+    assert _rows(decode_messages(sent, ENRICHED_SCHEMA)) == _rows(batch_result)
+
+
 def test_bad_messages_are_kept_apart(spark, past, listed, folder):
     lines, good, bad = folder(), folder(), folder()
     values = [('{"tid":1,"type":"VIEW"}',), ("junk",), ('{"tid":"2"}',)]

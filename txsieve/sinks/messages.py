@@ -40,15 +40,15 @@ class MessageFolder:
     path: str
     fmt: str = "parquet"
 
+    def _columns(self) -> list[str]:
+        return ["value"] if self.fmt == "text" else ["key", "value"]
+
     def attach(self, messages: DataFrame) -> DataStreamWriter:
-        columns = ["value"] if self.fmt == "text" else ["key", "value"]
-        return messages.select(*columns).writeStream.format(self.fmt).option("path", self.path)
+        return messages.select(*self._columns()).writeStream.format(self.fmt).option("path", self.path)
 
     def write_records(self, records: DataFrame, batch_id: int) -> None:
-        """Only the Parquet form can take the batches of a job that writes by itself."""
-        if self.fmt != "parquet":
-            raise ValueError("records of a batch are kept as parquet")
-        write_batch(encode_messages(records, keep_nulls=True), batch_id, self.path)
+        messages = encode_messages(records, keep_nulls=True).select(*self._columns())
+        write_batch(messages, batch_id, self.path, self.fmt)
 
 
 @dataclass(frozen=True)

@@ -35,17 +35,17 @@ def write_text(messages: DataFrame, path: str) -> None:
     messages.select("value").write.mode("overwrite").text(path)
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    """Write one batch of a stream into its own part of a Parquet table.
+def write_batch(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
+    """Write one batch of a stream into its own part of a table of files.
 
     A repeated batch replaces what it wrote before. Batch 0, the first of a new checkpoint, empties the
     table; a restarted stream goes on with later numbers and keeps it.
     """
     if batch_id == 0:
         writer = df.withColumn("batch_id", F.lit(0)).write.partitionBy("batch_id")
-        writer.option("partitionOverwriteMode", "static").mode("overwrite").parquet(path)
+        writer.option("partitionOverwriteMode", "static").mode("overwrite").format(fmt).save(path)
     else:
-        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
 
 
 def upsert_detections(batch: DataFrame, batch_id: int, path: str) -> None:
