@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txsieve.llm.common import crc_mod, slices, table, text_bytes
-from txsieve.llm.packing import BUCKET_BITS, grams, hash_words, pack, unpack, words_of
+from txsieve.llm.packing import BUCKET_BITS, grams, hash_words, pack, pack_counts, unpack, unpack_counts, words_of
 
 ORDER = 2
 #: Pseudo-count of the shorter context's distribution in every context.
 PRIOR = 4.0
 BLOCK_TOKENS = 1 << 20
-KEY_BYTES = 7  # of a 64-bit key, its bucket gives the rest
+BUCKETS = 1 << BUCKET_BITS
+#: Bits of a key and the bytes of it that are moved, as its bucket gives the rest: of single words, and of longer n-grams.
+KEYS = ((64, 7), (48, 5))
 _END = np.array([0x0E2D0F7E47], np.uint64)
-_LOW = np.uint64((1 << 64 - BUCKET_BITS) - 1)
 
 
 class Block:
@@ -40,7 +41,7 @@ class Block:
         for n in range(1, order + 1):
             at = np.full(len(tokens), -1, np.int64)
             whole = np.flatnonzero(place >= n - 1)
-            keys, at[whole] = np.unique(grams(hashes, n)[whole - n + 1], return_inverse=True)
+            keys, at[whole] = np.unique(grams(hashes, n)[whole - n + 1] if n > 1 else hashes, return_inverse=True)
             self.grams.append(keys)
             self.at.append(at)
 
@@ -51,14 +52,14 @@ class Block:
         return cls(words, tokens.astype(np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)), order)
 
     def pack(self) -> bytes:
-        tokens = zlib.compress(pack(self.tokens.astype(np.uint64), 4), 1)
-        return b"".join((len(self.words).to_bytes(8, "little"), self.words.tobytes(), tokens))
+        """The tokens alone; the words are the single-word keys in their order."""
+        planes = np.ascontiguousarray(self.tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        return zlib.compress(planes.tobytes(), 1)
 
     @classmethod
-    def unpack(cls, data: bytes, lengths: np.ndarray, order: int) -> Block:
-        size = int.from_bytes(data[:8], "little")
-        words = np.frombuffer(data, np.uint64, size, 8)
-        return cls(words, unpack(zlib.decompress(data[8 + 8 * size :]), 4).astype(np.int64), lengths, order)
+    def unpack(cls, data: bytes, words: np.ndarray, lengths: np.ndarray, order: int) -> Block:
+        planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+        return cls(words, np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64), lengths, order)
 
 
 _COUNTS = "bucket long, block long, keys binary, counts binary, ids array<long>, held array<boolean>, lengths array<long>, tokens binary"
@@ -75,11 +76,14 @@ def _counted(block: Block, held: np.ndarray) -> list[np.ndarray]:
     return [np.bincount(at[learns & (at >= 0)], minlength=len(keys)) for keys, at in zip(block.grams, block.at, strict=True)]
 
 
-def _merged(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of all orders in the order of their keys: (keys, where each comes from in the arrays one after the other)."""
-    keys = np.concatenate(arrays)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], order
+def _kinds(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of single words and of all longer n-grams: (keys in order, which of them each is when counted as they come in the block)."""
+    out = []
+    for (bits, _), arrays in zip(KEYS, (block.grams[:1], block.grams[1:]), strict=True):
+        keys = np.concatenate([np.zeros(0, np.uint64), *arrays]) >> np.uint64(64 - bits)
+        order = np.argsort(keys, kind="stable")
+        out.append((keys[order], order))
+    return out
 
 
 def _count_rows(order: int, whole: bool):
@@ -95,14 +99,16 @@ def _count_rows(order: int, whole: bool):
         def emit() -> pa.RecordBatch:
             nonlocal number, texts, ids, held, tokens
             block = Block.of(texts, order)
-            keys, source = _merged(block.grams)
-            counts = np.concatenate(_counted(block, np.array(held, bool)))[source]
-            edges = np.searchsorted(keys, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)).tolist()
-            out = [
-                {"bucket": b, "block": number, "keys": pack(keys[i:j] & _LOW, KEY_BYTES), "counts": zlib.compress(pack(counts[i:j].astype(np.uint64), 4), 1)}
-                for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True))
-                if j > i
-            ]
+            counted = _counted(block, np.array(held, bool))
+            out = []
+            for kind, ((keys, source), counts) in enumerate(zip(_kinds(block), (counted[:1], counted[1:]), strict=True)):
+                counts = np.concatenate([np.zeros(0, np.int64), *counts])[source]
+                bits, width = KEYS[kind]
+                edges = np.searchsorted(keys, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(bits - BUCKET_BITS)).tolist()
+                for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
+                    if j > i:
+                        row = {"bucket": kind * BUCKETS + b, "block": number, "keys": pack(keys[i:j], width), "counts": pack_counts(counts[i:j])}
+                        out.append(row)
             if whole:
                 out.append({"bucket": -1 - number, "block": number, "ids": ids, "held": held, "lengths": block.lengths.tolist(), "tokens": block.pack()})
             number, texts, ids, held, tokens = number + 1, [], [], [], 0
@@ -126,22 +132,30 @@ _ANSWERS = "block long, keys binary, counts binary, ids array<long>, held array<
 
 
 def _bucket_sums(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    parts = [unpack(k, KEY_BYTES) for k in rows.column("keys").to_pylist()]
+    width = KEYS[rows.column("bucket")[0].as_py() // BUCKETS][1]
+    parts = [unpack(k, width) for k in rows.column("keys").to_pylist()]
     keys, number = np.unique(np.concatenate(parts), return_inverse=True)
-    counts = np.concatenate([unpack(zlib.decompress(c), 4) for c in rows.column("counts").to_pylist()])
+    counts = np.concatenate([unpack_counts(c, len(p)) for c, p in zip(rows.column("counts").to_pylist(), parts, strict=True)])
     return parts, number, np.bincount(number, counts.astype(np.float64), len(keys)).astype(np.int64)
 
 
 def _answer_rows(rows: pa.Table) -> pa.Table:
-    """Of one bucket each n-gram's count over all blocks, given back to every block that asked; the blocks' own rows pass through."""
-    if rows.column("bucket")[0].as_py() < 0:
+    """Of one bucket each n-gram's count over all blocks, given back to every block that asked; the blocks' own rows pass through.
+
+    Single words go back with their keys, which the blocks' own rows lack.
+    """
+    bucket = rows.column("bucket")[0].as_py()
+    if bucket < 0:
         return rows.select(_NAMES)
     parts, number, total = _bucket_sums(rows)
     ends = np.cumsum([len(p) for p in parts])
-    answer = [zlib.compress(pack(total[number[e - len(p) : e]].astype(np.uint64), 5), 1) for e, p in zip(ends, parts, strict=True)]
-    bucket = pa.array([bytes([rows.column("bucket")[0].as_py()])] * rows.num_rows, pa.binary())
+    words = [b""] * len(parts) if bucket >= BUCKETS else [pack(p, KEYS[0][1]) for p in parts]
+    answer = [
+        len(p).to_bytes(8, "big") + w + pack_counts(total[number[e - len(p) : e]]) for e, p, w in zip(ends, parts, words, strict=True)
+    ]
+    named = pa.array([bucket.to_bytes(4, "big")] * rows.num_rows, pa.binary())
     empty = [pa.nulls(rows.num_rows, _COUNT_FIELDS.field(n).type) for n in _NAMES[3:]]
-    return pa.table([rows.column("block"), bucket, pa.array(answer, pa.binary()), *empty], names=_NAMES)
+    return pa.table([rows.column("block"), named, pa.array(answer, pa.binary()), *empty], names=_NAMES)
 
 
 def _size_rows(rows: pa.Table) -> pa.Table:
@@ -209,13 +223,19 @@ def _score_rows(order: int, words: int, tokens: int, prior: float):
     def scores(rows: pa.Table) -> pa.Table:
         head = rows.filter(pc.is_valid(rows.column("tokens")))
         lengths = np.array(head.column("lengths")[0].as_py(), np.int64)
-        block = Block.unpack(head.column("tokens")[0].as_py(), lengths, order)
         answers = rows.filter(pc.is_valid(rows.column("counts")))
-        by_bucket = sorted(zip(answers.column("keys").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-        found = np.concatenate([unpack(zlib.decompress(c), 5) for _, c in by_bucket]).astype(np.int64)
-        _, source = _merged(block.grams)
-        counts = np.empty(len(found), np.int64)
-        counts[source] = found
+        words_, found = [], []
+        for name, data in sorted(zip(answers.column("keys").to_pylist(), answers.column("counts").to_pylist(), strict=True)):
+            bucket, size = int.from_bytes(name, "big"), int.from_bytes(data[:8], "big")
+            end = 8
+            if bucket < BUCKETS:
+                end += KEYS[0][1] * size
+                words_.append(unpack(data[8:end], KEYS[0][1]) | np.uint64(bucket << 64 - BUCKET_BITS))
+            found.append(unpack_counts(data[end:], size))
+        block = Block.unpack(head.column("tokens")[0].as_py(), np.concatenate(words_), lengths, order)
+        sources = [source for _, source in _kinds(block)]
+        counts = np.empty(sum(map(len, found)), np.int64)
+        counts[np.concatenate([sources[0], len(sources[0]) + sources[1]])] = np.concatenate(found)
         counts = np.split(counts, np.cumsum([len(g) for g in block.grams])[:-1])
         automaton = Automaton(block, counts, words, tokens, prior)
         edges = np.concatenate([[0], np.cumsum(lengths)])
@@ -244,7 +264,8 @@ def score_documents(documents: DataFrame, held_out: Column, order: int = ORDER,
 
     The model is as large as the corpus, so no task holds it. A task packs the distinct n-grams of about a million tokens and their counts by
     key bucket; each bucket sums its n-grams over all tasks and gives every block the counts of its own. With them a block builds the part of the automaton
-    that its texts can meet. Frequent n-grams come once from each block, so none is a hot key. N-grams are told apart by 64 bits of their hash.
+    that its texts can meet. Frequent n-grams come once from each block, so none is a hot key. Words are told apart by 64 bits of their hash,
+    longer n-grams by 48.
     Null and empty texts have one token, the end; base_score takes the counts alone. Rows with equal ids each count and get a row.
     Without rows to learn from, every token is unknown and has probability 1.
     """

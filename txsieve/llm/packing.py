@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import xxhash
 
@@ -47,7 +49,14 @@ def unpack(data: bytes, n_bytes: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def bucket_edges(keys: np.ndarray, key_bits: int, bucket_bits: int) -> np.ndarray:
-    """Where each bucket of the high bits begins in sorted keys, with the end."""
-    firsts = np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(key_bits - bucket_bits)
-    return np.append(np.searchsorted(keys, firsts), len(keys))
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, most of which are small: a byte each, and the large ones after them, compressed."""
+    large = np.flatnonzero(counts >= 255)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes(), 1)
+
+
+def unpack_counts(data: bytes, size: int) -> np.ndarray:
+    data = zlib.decompress(data)
+    counts = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", offset=size)
+    return counts
