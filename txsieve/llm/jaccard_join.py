@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from txsieve.llm.common import cut, slices, table, text_bytes
 from txsieve.llm.packing import BUCKET_BITS, grams, hash_words, pack, unpack, words_of
@@ -20,7 +19,7 @@ PERCENT = 80
 KEY_BITS = 48
 KEY_BYTES = 5  # of a key, its bucket gives the rest
 BLOCK_TOKENS = 4 << 20
-HOT = 100_000  # members of a posting list that one task orders
+HUB_ROUNDS = 1
 _LOW = np.uint64((1 << (KEY_BITS - BUCKET_BITS)) - 1)
 
 
@@ -163,25 +162,32 @@ def _set_rows(percent: int):
     return sets
 
 
-_PREFIX = "name binary, size long, code long, place long"
+_PREFIX = "name binary, size long, code long, place long, alone long"
 
 
 def _prefix_rows(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The n-grams of each set's prefix, with their places in its rare-first order; those no other set has come before all of these."""
         for batch in batches:
-            names, sizes, codes, places = [], [], [], []
+            names, sizes, codes, places, alones = [], [], [], [], []
             for name, size, own in zip(*(batch.column(c).to_pylist() for c in ("name", "size", "codes")), strict=True):
                 alone = size - len(own) // 8
                 prefix = np.frombuffer(own, np.int64)[: max(0, prefix_length(size, percent) - alone)]
                 names += [name] * len(prefix)
                 sizes += [size] * len(prefix)
+                alones += [alone] * len(prefix)
                 codes.append(prefix)
                 places.append(alone + np.arange(len(prefix)))
             none = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.concatenate([none, *codes])), pa.array(np.concatenate([none, *places]))],
-                ["name", "size", "code", "place"],
+                [
+                    pa.array(names, pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(np.concatenate([none, *codes])),
+                    pa.array(np.concatenate([none, *places])),
+                    pa.array(alones, pa.int64()),
+                ],
+                ["name", "size", "code", "place", "alone"],
             )
 
     return rows
@@ -221,11 +227,13 @@ def _links(percent: int):
 
 
 def _can_link(percent: int):
-    """Length and positional filters of a pair of prefix rows x and y with a common code."""
+    """Length and positional filters of a pair of prefix rows x and y with a common code.
+
+    The positional filter counts no earlier common codes. It is right for the first common code of a pair, at which every link therefore passes.
+    """
     least = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent))
-    most = F.least("x.place", "y.place") + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    lengths = (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-    return lengths & (most >= least)
+    lengths = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    return lengths & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= least)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,7 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == state or not found[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            pairs = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            return pairs.unionByName(pairs.select(F.col("comp").alias("node"), "comp").distinct())
         state = found
 
 
@@ -257,40 +266,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(_links(percent), "a binary, b binary")
 
 
-def class_links(sets: DataFrame, percent: int) -> DataFrame:
+def _hub_pairs(member: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each set b the hub a, of another component, that it meets in most lists.
+
+    A list's hub is the set in it with the smallest share of n-grams of its own: the least changed of a group of copies. So there are no more pairs
+    than sets, however long a list is.
+    """
+    own = F.struct(F.col("alone") / F.col("size"), "name")
+    hubs = member.groupBy("code").agg(F.min_by(F.struct("name", "size", "place", "comp"), own).alias("x"))
+    met = member.alias("y").join(cut(hubs, "join-hubs"), "code").filter((F.col("x.comp") != F.col("y.comp")) & _can_link(percent))
+    count = met.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count("*").alias("n"))
+    return count.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+
+
+def _open_lists(member: DataFrame) -> DataFrame:
+    """The members of the lists that still have sets of different components, with the list's largest component."""
+    count = member.groupBy("code", "comp").agg(F.count("*").alias("n"))
+    main = count.groupBy("code").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return cut(member.join(cut(main, "join-main"), "code"), "join-open")
+
+
+def class_links(sets: DataFrame, percent: int, rounds: int = HUB_ROUNDS) -> DataFrame:
     """Links (a, b) between distinct sets, enough to join all that any link joins, and no pair that isn't one.
 
-    Sets meet where their prefixes share an n-gram. First each set is compared with its best neighbour in the posting lists' order of size,
-    which joins large groups of near copies by as many pairs as they have members. Then all pairs of one list that are still in
-    different components, and pass the length and positional filters, are compared. Pairs within a component need no comparison.
-    In a list, the members of its largest component are not paired with each other.
+    Sets meet where their prefixes share an n-gram. In the first rounds each set is compared with one hub, which joins large groups of near copies
+    by as many pairs as they have members. Then all pairs of one list that are still in different components, and pass the length and
+    positional filters, are compared, each pair once. Pairs within a component need no comparison, and members of a list's largest component
+    are not paired with each other.
     """
     prefix = cut(sets.mapInArrow(_prefix_rows(percent), _PREFIX), "join-prefix")
-    lists = cut(prefix.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"), "join-lists")
-    prefix = cut(prefix.join(lists, "code"), "join-postings")
-    salt = F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / HOT))
-    order = Window.partitionBy("code", "salt").orderBy("size", "name")
-    before = prefix.withColumn("salt", salt).select(
-        F.struct("size", "place").alias("y"), F.lag(F.struct("size", "place")).over(order).alias("x"), F.col("name").alias("b"), F.lag("name").over(order).alias("a")
-    )
-    near = before.filter(F.col("a").isNotNull() & _can_link(percent)).groupBy("a", "b").agg(F.count("*").alias("n"))
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    first = cut(_verified(best, sets, percent), "join-first")
-    groups = components(first)
-    member = prefix.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-    member = cut(member.select("code", "name", "size", "place", "comp"), "join-members")
-    count = member.groupBy("code", "comp").agg(F.count("*").alias("n"))
-    main = cut(count.groupBy("code").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("n")).filter("n > 1").drop("n"), "join-main")
-    open_lists = cut(member.join(main, "code"), "join-open")
+    lists = cut(prefix.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code"), "join-lists")
+    member = cut(prefix.join(lists, "code").withColumn("comp", F.col("name")), "join-members")
+    links = None
+    for _ in range(rounds):
+        found = _verified(_hub_pairs(member, percent), sets, percent)
+        links = cut(links.unionByName(found) if links is not None else found, "join-links")
+        groups = components(links).withColumnRenamed("node", "name").withColumnRenamed("comp", "now")
+        member = member.join(groups, "name", "left").withColumn("comp", F.coalesce("now", "name")).drop("now", "main")
+        member = _open_lists(cut(member, "join-members"))
     pairs = (
-        open_lists.filter("comp <> main").alias("x")
-        .join(open_lists.alias("y"), "code")
+        member.filter("comp <> main").alias("x")
+        .join(member.alias("y"), "code")
         .filter(F.expr("x.comp <> y.comp AND (y.comp = y.main OR x.name < y.name)") & _can_link(percent))
         .select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
         .distinct()
     )
-    second = _verified(cut(pairs, "join-pairs"), sets, percent)
-    return first.unionByName(second)
+    return links.unionByName(_verified(cut(pairs, "join-pairs"), sets, percent))
 
 
 def near_duplicates(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
