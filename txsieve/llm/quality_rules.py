@@ -137,9 +137,12 @@ def _apply_rules(ratios: np.ndarray, least_ratio: float):
 
 
 def trusted_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose labels all mark quality 1. Rows of one id count each; null ids and labels don't match."""
+    """The documents whose labels all mark quality 1. Rows of one id count each; null ids and labels don't match.
+
+    Labels grow with the documents, so both are always dealt by id, at any size.
+    """
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("good"))
-    return documents.join(good.filter("good = 1"), documents["doc_id"] == F.col("id"), "left_semi")
+    return documents.join(good.filter("good = 1").hint("merge"), documents["doc_id"] == F.col("id"), "left_semi")
 
 
 def apply_rules(documents: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
