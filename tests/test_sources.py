@@ -1,3 +1,5 @@
+import os
+import time
 import json
 
 import pytest
@@ -118,3 +120,16 @@ def test_rule_json_fields_are_checked(spark, folder):
     spark.createDataFrame([(json.dumps(row),)], "value string").write.text(path)
     with pytest.raises(Exception):
         load_rule_table(spark, path)
+
+
+def test_old_files_are_read(spark, folder):
+    lines, out = folder("lines"), folder("out")
+    os.makedirs(lines)
+    for name, age in (("old", 30 * 86_400), ("new", 0)):
+        with open(f"{lines}/{name}.json", "w") as file:
+            file.write('{"tid":1}\n')
+        os.utime(f"{lines}/{name}.json", (time.time() - age,) * 2)
+    stream = read_json_lines(spark, lines, stream=True, files_per_trigger=1)
+    query = stream.writeStream.option("path", out).option("checkpointLocation", folder("state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.schema(stream.schema).parquet(out).count() == 2

@@ -12,6 +12,8 @@ from txsieve.schema import MESSAGE_SCHEMA
 # A replay from the start comes in batches of this size instead of as one.
 MESSAGES_PER_TRIGGER = 100_000_000
 FILES_PER_TRIGGER = 1_000
+# Spark's file streams pass over files that are older than this against the newest one; none is too old here.
+NEVER_TOO_OLD = "36500d"
 
 
 def kafka_read_options(
@@ -43,7 +45,9 @@ def _as_messages(df: DataFrame) -> DataFrame:
 def _reader(
     spark: SparkSession, stream: bool, files_per_trigger: int
 ) -> DataFrameReader | DataStreamReader:
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
+    if not stream:
+        return spark.read
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("maxFileAge", NEVER_TOO_OLD)
 
 
 def read_json_lines(
