@@ -18,8 +18,8 @@ from txsieve.llm.common import slices, table
 
 # Fixed value: the pre-tokenisation pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered by a task at most, before it starts again with none.
-REMEMBERED = 1_000_000
+#: Words that a Python worker remembers at most, before it starts again with none.
+REMEMBERED = 500_000
 _NEVER = 1 << 60
 
 
@@ -158,7 +158,7 @@ class Vocabulary:
                 tokens.append(states[at])
                 at -= sizes[at]
             tokens.reverse()
-        if len(fits) > 4 * REMEMBERED:
+        if len(fits) > 2 * REMEMBERED:
             fits.clear()
         return out
 
@@ -201,7 +201,7 @@ class TrieCoder:
 
 
 class UnitTable:
-    """Encodes texts by their distinct units, which a task encodes once each.
+    """Encodes texts by their distinct units, which are encoded once each.
 
     A unit is white space and the other characters up to the next white space. No pattern word, merge or special token reaches from a character into
     the white space after it, so a text's encoding is that of its units one after the other.
@@ -247,15 +247,30 @@ class UnitTable:
         return self.flat[at], np.diff(totals)
 
 
+def trie_units(text: str) -> UnitTable:
+    return UnitTable(TrieCoder(text))
+
+
+def kept(stored, build: Callable[[str], UnitTable]) -> UnitTable:
+    """What ``build`` makes of a broadcast vocabulary, made once for all tasks of a Python worker.
+
+    A worker keeps the broadcast's dictionary from task to task. The table in it only saves work: it has a bound, and any worker can make it anew.
+    """
+    made = stored.value
+    if build.__name__ not in made:
+        made[build.__name__] = build(made["text"])
+    return made[build.__name__]
+
+
 CODED_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _encoded(stored, build=TrieCoder):
+def _encoded(stored):
     """Batches with a text column to (batch, tokens of each text), slice by slice."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, UnitTable, list[np.ndarray]]]:
-        coder = build(stored.value)
-        units = UnitTable(coder)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, TrieCoder, list[np.ndarray]]]:
+        units = kept(stored, trie_units)
+        coder = units.encode_units
         for batch in slices(batches, max_bytes=4 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             flat, counts = units.encode(texts)
@@ -296,7 +311,7 @@ def _id_rows(stored):
 
 def _text_rows(stored):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(stored.value)
+        vocabulary = kept(stored, trie_units).encode_units.vocabulary
         for batch in batches:
             texts = [vocabulary.decode(i or []) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
@@ -305,9 +320,9 @@ def _text_rows(stored):
 
 
 def shared_vocabulary(spark, path: str | None = None):
-    """The vocabulary file's text as a broadcast of its fixed size, so that executors need no copy of the file."""
+    """The vocabulary file's text as a broadcast of its fixed size, so that executors need no copy of the file; see :func:`kept`."""
     with open(path or vocabulary_path(), encoding="utf-8") as file:
-        return spark.sparkContext.broadcast(file.read())
+        return spark.sparkContext.broadcast({"text": file.read()})
 
 
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txsieve.llm.bpe import UnitTable, Vocabulary, shared_vocabulary
+from txsieve.llm.bpe import UnitTable, Vocabulary, kept, shared_vocabulary
 from txsieve.llm.common import parts_for, range_of, range_starts, slices, table
 from txsieve.session import new_run_folder
 
@@ -168,9 +168,13 @@ class LibraryCoder:
         return np.concatenate(flat), counts
 
 
+def library_units(text: str) -> UnitTable:
+    return UnitTable(LibraryCoder(text))
+
+
 def _archive_rows(stored):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = UnitTable(LibraryCoder(stored.value))
+        units = kept(stored, library_units)
         span, part, start, held = -1, 0, 0, 0
         pending: list[tuple[np.ndarray, np.ndarray, list]] = []
 
