@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -147,25 +148,19 @@ class LibraryCoder:
         joined = [u for u, s in zip(units, spaced, strict=True) if s]
         encoding = self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0]
         ids = np.array(encoding.ids, np.uint32)
-        ends = np.cumsum(np.fromiter((len(u.encode()) for u in joined), np.int64, len(joined)))
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, joined)), np.int64, len(joined)))
         stops = np.searchsorted(np.cumsum(self.size[ids]), ends, side="left") + 1
         if len(joined) and (stops[-1] != len(ids) or int(self.size[ids].sum()) != int(ends[-1])):
             raise ValueError("the units of a text don't encode apart")
         spaced = np.array(spaced, bool)
         counts[spaced] = np.diff(stops, prepend=0)
-        others = self.tokenizer.encode_batch_fast([u for u, s in zip(units, spaced, strict=True) if not s], add_special_tokens=False)
-        apart = iter(others)
-        counts[~spaced] = [len(e.ids) for e in others]
-        if not len(others):
-            return ids, counts
-        flat, at = [], 0
-        for is_spaced, count in zip(spaced, counts, strict=True):
-            if is_spaced:
-                flat.append(ids[at : at + count])
-                at += count
-            else:
-                flat.append(np.array(next(apart).ids, np.uint32))
-        return np.concatenate(flat), counts
+        others = self.tokenizer.encode_batch_fast([units[i] for i in np.flatnonzero(~spaced)], add_special_tokens=False)
+        apart = [e.ids for e in others]
+        counts[~spaced] = list(map(len, apart))
+        flat, of_spaced = np.empty(int(counts.sum()), np.uint32), np.repeat(spaced, counts)
+        flat[of_spaced] = ids
+        flat[~of_spaced] = np.fromiter(chain.from_iterable(apart), np.uint32, len(flat) - len(ids))
+        return flat, counts
 
 
 def library_units(text: str) -> UnitTable:
