@@ -61,8 +61,8 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
-    """Uncompressed WARC files of at most ``RECORDS_PER_FILE`` records: each row a record, ended as the format asks."""
-    writer = records(pages).write.option("lineSep", GAP).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE)
+    """Gzipped WARC files of at most ``RECORDS_PER_FILE`` records: each row a record, ended as the format asks."""
+    writer = records(pages).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
     writer.text(folder)
 
 
@@ -166,7 +166,7 @@ def _chain(pieces: pd.DataFrame) -> pd.DataFrame:
 def read_archives(spark, folder: str) -> DataFrame:
     """(page_id, record_type, refers_to, digest, bytes) of every record of the archives, with true boundaries only.
 
-    Files are split by bytes among tasks, which cut at every magic and emit each piece's header as a candidate record whose length leads
+    Files are dealt to tasks, uncompressed ones split by bytes; tasks cut at every magic and emit each piece's header as a candidate record whose length leads
     to its successor. A file's candidates, a row of numbers each, meet in one group; jumping from the file's start keeps those that real
     records lead to. A payload with the magic in it comes in several pieces: they are read again and put together for that
     record alone. Records that end in the middle of a file, or after a broken one, are not reached.
