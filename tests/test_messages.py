@@ -16,13 +16,14 @@ VALID = [
     '{"TID":3}',
     ' {"tid":2} ',
     '{"tid":1,"amount":5}',
+    '{"tid":3000000000}',
     '{"tid":1,"_corrupt_record":"x"}',
     '{"tid":1,"amount":"NaN"}',
 ]
 INVALID = [
     '{"tid":"12"}',
     '{"tid":12.7}',
-    '{"tid":99999999999}',
+    '{"tid":99999999999999999999}',
     '{"tid":1,"amount":"3.5"}',
     "{'tid':1}",
     "{tid:1}",
@@ -57,6 +58,12 @@ def test_every_message_is_either_decoded_or_quarantined(messages):
     assert {r["value"] for r in out.collect()} == set(INVALID)
 
 
+def test_strict_decoding_fails_on_an_invalid_message(messages):
+    assert decode_messages(messages(*VALID), RAW_SCHEMA, strict=True).count() == len(VALID)
+    with pytest.raises(Exception, match="invalid message: garbage"):
+        decode_messages(messages(*VALID, "garbage"), RAW_SCHEMA, strict=True).collect()
+
+
 def test_missing_numbers(messages):
     given = messages('{"tid":5}')
     plain = decode_messages(given, RAW_SCHEMA).first()

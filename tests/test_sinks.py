@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from txsieve.config import JobConfig
@@ -39,7 +41,7 @@ def test_upsert_keeps_one_row_per_tid(spark, folder):
     upsert_detections(_frame(spark, []), 2, path)
     upsert_detections(_frame(spark, [(1, 0), (99, 1)]), 3, path)
     rows = read_detections(spark, path).orderBy(F.col("tid").asc_nulls_first()).collect()
-    assert rows == [(None, 1), (1, 1), (2, 0), (3, 1), (99, 1)]
+    assert rows == [(None, 1), (1, 1), (2, 1), (3, 1), (99, 1)]
 
 
 def test_a_repeated_batch_changes_nothing(spark, folder):
@@ -75,36 +77,39 @@ def test_write_batch_keeps_copies(spark, folder):
     write_batch(_frame(spark, [(1, 1), (1, 1)]), 0, path)
     write_batch(_frame(spark, [(1, 1)]), 1, path)
     write_batch(_frame(spark, [(1, 1)]), 1, path)
-    assert _table(spark, path) == [(1, 1)] * 3
+    assert spark.read.parquet(path).select("tid", "isFraud").collect() == [(1, 1)] * 3
 
 
-def test_earlier_tids_are_looked_up_by_range(spark, folder, capsys):
-    path = folder()
-    upsert_detections(_frame(spark, [(i, 1) for i in range(100)]), 0, path)
-    sinks._earlier(_frame(spark, [(40, 1), (60, 1)]), 1, path).explain("formatted")
-    plan = capsys.readouterr().out
-    assert "GreaterThanOrEqual(tid,40)" in plan and "LessThanOrEqual(tid,60)" in plan
-    assert "PartitionFilters: [isnotnull(batch_id" in plan
+def test_any_cut_into_batches_gives_the_same_table(spark, folder):
+    rows = [(tid, verdict) for tid in (1, 2, 3_000_000_000, None) for verdict in (0, 1, 0)] + [(5, 0)]
+    expected = [(None, 1), (1, 1), (2, 1), (5, 0), (3_000_000_000, 1)]
+    for seed in range(3):
+        draw = random.Random(seed)
+        draw.shuffle(rows)
+        path, cuts = folder(), sorted(draw.sample(range(1, len(rows)), 3))
+        for batch_id, (begin, end) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+            upsert_detections(_frame(spark, rows[begin:end]), batch_id, path)
+        assert read_detections(spark, path).orderBy(F.col("tid").asc_nulls_first()).collect() == expected
 
 
-def test_database_upsert_adds_only_new_tids(spark, monkeypatch):
+def test_database_upsert_adds_what_exceeds(spark, monkeypatch):
     """The database is replaced by a frame: what is read and what would be written is checked."""
     known = _frame(spark, [(2, 0), (500, 1)])
     splits, added = [], []
     monkeypatch.setattr(sinks, "read_jdbc", lambda s, c, t, **split: splits.append(split) or known)
     monkeypatch.setattr(sinks, "jdbc_options", lambda c, t: {})
     monkeypatch.setattr(sinks, "overwrite_jdbc", lambda df, c, t: added.append(sorted(df.collect())))
-    real = sinks._without
+    real = sinks._exceeding
     monkeypatch.setattr(
-        sinks, "_without", lambda a, b: Captured(real(a, b), added)
+        sinks, "_exceeding", lambda a, b: Captured(real(a, b), added)
     )
     config = JobConfig()
     upsert_detections_jdbc(_frame(spark, [(1, 1), (2, 1)]), 0, config, "t")
-    upsert_detections_jdbc(_frame(spark, [(2, 1), (3, 1)]), 1, config, "t")
+    upsert_detections_jdbc(_frame(spark, [(2, 1), (3, 1), (500, 1), (500, 0)]), 1, config, "t")
     upsert_detections_jdbc(_frame(spark, [(7, 1)]), 2, config, "t")
     upsert_detections_jdbc(_frame(spark, []), 3, config, "t")
-    assert added == [[(1, 1), (2, 1)], [(3, 1)], [(7, 1)]]
-    assert splits == [{"partition_column": "tid", "lower": 2, "upper": 3, "partitions": 16}, {}]
+    assert added == [[(1, 1), (2, 1)], [(2, 1), (3, 1)], [(7, 1)]]
+    assert splits == [{"partition_column": "tid", "lower": 2, "upper": 500, "partitions": 16}, {}]
 
 
 class Captured:

@@ -105,6 +105,22 @@ def test_bad_messages_are_kept_apart(spark, past, listed, folder):
     assert {r["value"] for r in read_table(spark, bad, MESSAGE_SCHEMA).collect()} == {"junk", '{"tid":"2"}'}
 
 
+def test_without_a_quarantine_a_bad_message_fails_each_job(spark, past, listed, folder):
+    lines = folder()
+    spark.createDataFrame([("junk",)], "value string").write.text(lines)
+    source = read_json_lines(spark, lines, stream=True)
+    enriching = jobs.start_enrichment(
+        source, lambda: past, lambda: listed, [RecordTable(folder()).write_records], folder(), available_now=True
+    )
+    screening = jobs.start_messages(
+        jobs.rule_messages(source, sample_rules()), MessageFolder(folder()), folder(), available_now=True
+    )
+    keeping = jobs.start_detection_sink(source, jobs.detection_table(folder()), folder(), available_now=True)
+    for query in (enriching, screening, keeping):
+        with pytest.raises(Exception, match="invalid message: junk"):
+            _ended(query)
+
+
 def test_fan_out_to_both_detectors(spark, json_files, past, listed, batch_result, folder):
     history = tables.labelled_history(spark, SF_DIR)
     fitted = model.train(history)

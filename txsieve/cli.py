@@ -11,13 +11,14 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from txsieve.config import JobConfig
 from txsieve.operators import evaluate, model
 from txsieve.operators.enrich import PAIR, pair_counts
 from txsieve.operators.rules import RuleSet
-from txsieve.schema import DETECTION_SCHEMA, LABELLED_SCHEMA
+from txsieve.schema import DETECTION_SCHEMA, ENRICHED_SCHEMA, LABELLED_SCHEMA
 from txsieve.session import build_session
 from txsieve.sinks.messages import KafkaTopic, MessageFolder
 from txsieve.sinks.tables import (
@@ -122,24 +123,45 @@ def _screen(at: _Places, args: argparse.Namespace) -> None:
 
 def _rules(at: _Places, args: argparse.Namespace) -> None:
     build = jobs.clean_rule_messages if args.clean else jobs.rule_messages
-    _send(at, args, build(at.messages(args.source), at.rules(args.rules)))
+    _send(at, args, build(at.messages(args.source), at.rules(args.rules), strict=not args.quarantine))
 
 
 def _score(at: _Places, args: argparse.Namespace) -> None:
     history = at.table(args.history, LABELLED_SCHEMA)
     fitted = model.train(history, args.model, handle_invalid=args.handle_invalid)
     build = jobs.clean_model_messages if args.clean else jobs.model_messages
-    _send(at, args, build(at.messages(args.source), fitted))
+    _send(at, args, build(at.messages(args.source), fitted, strict=not args.quarantine))
 
 
 def _send(at: _Places, args: argparse.Namespace, messages: DataFrame) -> None:
+    at.spark.streams.resetTerminated()
     query = jobs.start_messages(messages, at.sink(args.to), args.checkpoint, args.available_now)
-    query.awaitTermination()
+    _finish(at, args, query, at.messages(args.source), ENRICHED_SCHEMA)
+
+
+def _finish(
+    at: _Places, args: argparse.Namespace, query: StreamingQuery, source: DataFrame, schema: StructType
+) -> None:
+    """Wait for the job and for the second query that keeps its invalid messages; one that fails ends both."""
+    queries = [query]
+    if args.quarantine:
+        checkpoint = args.checkpoint.rstrip("/") + "-quarantine"
+        sink = MessageFolder(args.quarantine)
+        queries.append(jobs.start_quarantine(source, schema, sink, checkpoint, args.available_now))
+    while any(q.isActive for q in queries):
+        at.spark.streams.awaitAnyTermination()
+        at.spark.streams.resetTerminated()
+    for ended in queries:
+        ended.awaitTermination()
 
 
 def _keep(at: _Places, args: argparse.Namespace) -> None:
     source, write = at.messages(args.source, args.starting), at.detection_table(args.to)
-    jobs.start_detection_sink(source, write, args.checkpoint, args.available_now).awaitTermination()
+    at.spark.streams.resetTerminated()
+    query = jobs.start_detection_sink(
+        source, write, args.checkpoint, args.available_now, strict=not args.quarantine
+    )
+    _finish(at, args, query, source, DETECTION_SCHEMA)
 
 
 def _pair_counts(at: _Places, args: argparse.Namespace) -> None:
@@ -174,6 +196,7 @@ def _parser() -> argparse.ArgumentParser:
         command.add_argument("--to", required=to, help="where the results go")
         command.add_argument("--checkpoint", required=True, help="folder of this job's progress")
         command.add_argument("--available-now", action="store_true", help="end after what is there now")
+        command.add_argument("--quarantine", help="folder for invalid messages, which fail the job without one")
         return command
 
     def lookups(command: argparse.ArgumentParser) -> None:
@@ -181,7 +204,6 @@ def _parser() -> argparse.ArgumentParser:
         past.add_argument("--history", help="table of past transactions")
         past.add_argument("--pair-counts", help="table made by the job pair-counts")
         command.add_argument("--blacklist", required=True)
-        command.add_argument("--quarantine", help="folder for invalid messages")
 
     lookups(stream("enrich", _enrich, "raw messages to enriched ones"))
 

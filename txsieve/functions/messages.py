@@ -26,14 +26,26 @@ def parse_messages(messages: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
-def decode_messages(messages: DataFrame, schema: StructType, fill_missing: bool = False) -> DataFrame:
-    """The records of the valid messages; ``fill_missing`` turns absent numbers into 0."""
-    return records(parse_messages(messages, schema), schema, fill_missing)
+def decode_messages(
+    messages: DataFrame, schema: StructType, fill_missing: bool = False, strict: bool = False
+) -> DataFrame:
+    """The records of the valid messages; ``fill_missing`` turns absent numbers into 0.
+
+    Invalid messages are left to :func:`quarantined_messages`; if ``strict``, the first one fails the job.
+    """
+    return records(parse_messages(messages, schema), schema, fill_missing, strict)
 
 
-def records(parsed: DataFrame, schema: StructType, fill_missing: bool = False) -> DataFrame:
+def records(
+    parsed: DataFrame, schema: StructType, fill_missing: bool = False, strict: bool = False
+) -> DataFrame:
     """The valid records of a frame that :func:`parse_messages` made."""
-    return parsed.filter("valid").select(*[_field(f, fill_missing) for f in schema.fields])
+    valid = F.col("valid")
+    if strict:
+        shown = F.coalesce(F.substring(F.col("value").cast("string"), 1, 200), F.lit("NULL"))
+        refused = F.raise_error(F.concat(F.lit("invalid message: "), shown)).cast("boolean")
+        valid = F.when(valid, True).otherwise(refused)
+    return parsed.filter(valid).select(*[_field(f, fill_missing) for f in schema.fields])
 
 
 def _field(field: StructField, fill_missing: bool) -> Column:

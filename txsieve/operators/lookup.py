@@ -50,8 +50,8 @@ def left_lookup(
 
     A small lookup is left to Spark, which broadcasts it. So is any lookup joined to a streaming frame, which
     cannot be searched; the enrichment job joins batches instead. For few facts, such as a micro-batch, their
-    keys are broadcast to cut the lookup down before it is aggregated or moved; what remains is no larger
-    than the keys and is broadcast too.
+    distinct keys cut the lookup down before it is aggregated or moved; what remains has no more rows than they. Estimates
+    say little of well-compressed facts, so adaptive execution broadcasts either only by its real size.
 
     With both sides large, ``facts`` are searched for hot keys, which runs a job. Rows of hot keys are
     joined where they lie, to a broadcast of just those lookup rows, and only the others are shuffled.
@@ -69,8 +69,8 @@ def left_lookup(
 
     key_rows = (facts if keys_from is None else keys_from).select(*keys)
     if fits_broadcast(key_rows):
-        needed = lookup.join(F.broadcast(key_rows), keys, "left_semi")
-        return facts.join(F.broadcast(needed), keys, "left").select(*columns)
+        needed = lookup.join(key_rows.distinct(), keys, "left_semi")
+        return facts.join(needed, keys, "left").select(*columns)
 
     found = hot_keys(key_rows, keys)
     if not found:

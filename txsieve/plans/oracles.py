@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _TABLES = """
 WITH tx AS (
-  SELECT CAST(e.event_id AS INT) AS tid,
+  SELECT CAST(e.event_id AS BIGINT) AS tid,
     CAST(floor(epoch(e.ts - TIMESTAMP '2024-01-01 00:00:00') / 3600) AS INT) AS step,
     upper(e.event_type) AS type,
     CAST(e.value AS FLOAT) AS amount,
@@ -87,6 +87,7 @@ def _confusion(actual: str) -> str:
 FROM ({actual}) a JOIN trdata e ON e.tid = a.tid"""
 
 
+_QUARANTINE = "SELECT tid, CASE WHEN type = 'ERROR' THEN 1 ELSE 0 END AS quarantined FROM live"
 _VERDICTS = "SELECT tid, byRules AS isFraud FROM trdata"
 _EVAL_PAIRS = f"""SELECT a.tid, e.isFraud AS expected, a.isFraud AS actual
 FROM ({_VERDICTS}) a JOIN trdata e ON e.tid = a.tid"""
@@ -122,7 +123,7 @@ _BODIES = {
     "scan_history": f"SELECT {_ENRICHED}, isFraud FROM trhistory",
     "scan_json_lines": f"SELECT {_RAW} FROM live",
     "decode_json": f"SELECT {_RAW} FROM live",
-    "decode_quarantine": "SELECT tid, CASE WHEN type = 'ERROR' THEN 1 ELSE 0 END AS quarantined FROM live",
+    "decode_quarantine": _QUARANTINE,
     "decode_detection": _VERDICTS,
     "encode_detection": f"SELECT CAST(tid AS VARCHAR) AS key, {_DETECTION_JSON} AS value"
     " FROM trdata WHERE byRules = 1",
@@ -166,6 +167,9 @@ _BODIES = {
     "eval_metrics_scored": _metrics(_BY_PRIOR),
     "stream_enrich": f"SELECT {_ENRICHED} FROM trdata",
     "stream_rule_filter": _DET_PRIM,
+    "stream_quarantine": _QUARANTINE,
+    "stream_rule_quarantine": _QUARANTINE,
+    "stream_keep_quarantine": "SELECT tid, byRules AS quarantined FROM trdata",
     "stream_undetected": _UNDETECTED,
     "stream_sink_upsert": _DET_PRIM,
     "stream_screening": f"SELECT tid, isFraud, 'rules' AS detector FROM ({_DET_PRIM}) r"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
+from pyspark.sql.types import FloatType, StructType
 
 from txsieve.functions.messages import decode_messages, encode_messages, parse_messages
 from txsieve.operators import enrich as enriching
@@ -15,7 +15,7 @@ from txsieve.operators import evaluate, model, rules
 from txsieve.operators.rules import Compound, Rule, RuleSet
 from txsieve.plans import tables
 from txsieve.plans.sample_rules import sample_rule_table, sample_rules
-from txsieve.schema import DETECTION_SCHEMA, ENRICHED_SCHEMA, RAW_SCHEMA
+from txsieve.schema import DETECTION_SCHEMA, ENRICHED_SCHEMA, MESSAGE_SCHEMA, RAW_SCHEMA
 from txsieve.session import new_run_folder
 from txsieve.sinks import tables as sinks
 from txsieve.sinks.messages import MessageFolder, RecordTable
@@ -58,15 +58,18 @@ def scan_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(read_table(spark, folder, RAW_SCHEMA))
 
 
-def decode_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of failed transactions give ``tid`` as text and so are invalid."""
-    live = tables.raw_live(spark, sf_dir)
-    others = [c for c in live.columns if c != "tid"]
+def _partly_invalid(records: DataFrame, bad: Column) -> DataFrame:
+    """Messages of the records; the ``bad`` ones give ``tid`` as text and so are invalid."""
+    others = [c for c in records.columns if c != "tid"]
     as_text = F.struct(F.col("tid").cast("string").alias("tid"), *others)
-    value = F.when(F.col("type") == "ERROR", F.to_json(as_text)).otherwise(F.to_json(F.struct("*")))
-    messages = live.select(F.col("tid").cast("string").alias("key"), value.alias("value"))
+    value = F.when(bad, F.to_json(as_text)).otherwise(F.to_json(F.struct("*")))
+    return records.select(F.col("tid").cast("string").alias("key"), value.alias("value"))
+
+
+def decode_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _partly_invalid(tables.raw_live(spark, sf_dir), F.col("type") == "ERROR")
     return parse_messages(messages, RAW_SCHEMA).select(
-        F.col("key").cast("int").alias("tid"), (~F.col("valid")).cast("int").alias("quarantined")
+        F.col("key").cast("long").alias("tid"), (~F.col("valid")).cast("int").alias("quarantined")
     )
 
 
@@ -303,6 +306,64 @@ def stream_sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_detections(spark, table)
 
 
+def _both(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """What a job wrote and the messages it set aside."""
+    kept = good.select("tid", F.lit(0).alias("quarantined"))
+    return kept.unionByName(bad.select(F.col("key").cast("long").alias("tid"), F.lit(1).alias("quarantined")))
+
+
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enrichment job on messages of which those of failed transactions are invalid."""
+    good, bad = new_run_folder(spark, "enriched"), new_run_folder(spark, "invalid")
+    jobs.start_enrichment(
+        _partly_invalid(tables.raw_live_stream(spark, sf_dir), F.col("type") == "ERROR"),
+        history=lambda: tables.raw_history(spark, sf_dir),
+        blacklist=lambda: tables.blacklist(spark, sf_dir),
+        outputs=[RecordTable(good).write_records],
+        quarantine=RecordTable(bad).write_records,
+        checkpoint=new_run_folder(spark, "checkpoint"),
+        available_now=True,
+    ).awaitTermination()
+    return _both(read_table(spark, good, ENRICHED_SCHEMA), read_table(spark, bad, MESSAGE_SCHEMA))
+
+
+def _set_aside(spark: SparkSession, topic: str, schema: StructType) -> DataFrame:
+    """The invalid messages of a topic, as the query beside a job keeps them."""
+    bad = new_run_folder(spark, "invalid")
+    source = read_message_table(spark, topic, stream=True)
+    checkpoint = new_run_folder(spark, "checkpoint")
+    jobs.start_quarantine(source, schema, MessageFolder(bad), checkpoint, available_now=True).awaitTermination()
+    return read_message_table(spark, bad)
+
+
+def stream_rule_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rule jobs, detections and the rest, on enriched messages of which failed transactions' are invalid."""
+    topic = new_run_folder(spark, "topic")
+    sinks.overwrite_table(_partly_invalid(tables.enriched_live(spark, sf_dir), F.col("type") == "ERROR"), topic)
+    source = read_message_table(spark, topic, stream=True)
+    sent = [
+        _send(spark, build(source, sample_rules(), strict=False))
+        for build in (jobs.rule_messages, jobs.clean_rule_messages)
+    ]
+    found, clean = [decode_messages(read_message_table(spark, folder), DETECTION_SCHEMA) for folder in sent]
+    return _both(found.unionByName(clean), _set_aside(spark, topic, ENRICHED_SCHEMA))
+
+
+def stream_keep_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job that keeps detections, on verdicts of which the frauds' are invalid."""
+    topic, table = new_run_folder(spark, "topic"), new_run_folder(spark, "detections")
+    found = rules.verdicts(tables.enriched_live(spark, sf_dir), sample_rules())
+    sinks.overwrite_table(_partly_invalid(found, F.col("isFraud") == 1), topic)
+    jobs.start_detection_sink(
+        read_message_table(spark, topic, stream=True),
+        jobs.detection_table(table),
+        new_run_folder(spark, "checkpoint"),
+        available_now=True,
+        strict=False,
+    ).awaitTermination()
+    return _both(sinks.read_detections(spark, table), _set_aside(spark, topic, DETECTION_SCHEMA))
+
+
 def stream_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One job that enriches each batch once and keeps the verdicts of both detectors."""
     fitted = model.train(tables.labelled_history(spark, sf_dir), "LOGISTIC_REGRESSION")
@@ -334,7 +395,7 @@ def sink_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_run_folder(spark, "pairs")
     sinks.overwrite_table(eval_join(spark, sf_dir), folder)
-    return read_table(spark, folder, "tid int, expected int, actual int")
+    return read_table(spark, folder, "tid long, expected int, actual int")
 
 
 def sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,6 +439,9 @@ QUERIES: dict[str, Query] = {
     "stream_rule_filter": stream_rule_filter,
     "stream_undetected": stream_undetected,
     "stream_sink_upsert": stream_sink_upsert,
+    "stream_quarantine": stream_quarantine,
+    "stream_rule_quarantine": stream_rule_quarantine,
+    "stream_keep_quarantine": stream_keep_quarantine,
     "stream_screening": stream_screening,
     "stream_score": stream_score,
     "sink_overwrite": sink_overwrite,

@@ -74,7 +74,7 @@ def _transactions(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
         .join(F.broadcast(merchants), "merchant")
     )
     return joined.select(
-        F.col("event_id").cast("int").alias("tid"),
+        F.col("event_id").alias("tid"),
         (F.extract(F.lit("DAYS"), since) * 24 + F.extract(F.lit("HOURS"), since)).cast("int").alias("step"),
         F.upper("event_type").alias("type"),
         F.col("value").cast("float").alias("amount"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import FloatType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 # The names, order and types of the columns.
 RAW_SCHEMA = StructType(
     [
-        StructField("tid", IntegerType()),
+        StructField("tid", LongType()),
         StructField("step", IntegerType()),
         StructField("type", StringType()),
         StructField("amount", FloatType()),
@@ -32,6 +32,6 @@ ENRICHED_SCHEMA = StructType(
 
 LABELLED_SCHEMA = StructType(ENRICHED_SCHEMA.fields + [StructField("isFraud", IntegerType())])
 
-DETECTION_SCHEMA = StructType([StructField("tid", IntegerType()), StructField("isFraud", IntegerType())])
+DETECTION_SCHEMA = StructType([StructField("tid", LongType()), StructField("isFraud", IntegerType())])
 
 MESSAGE_SCHEMA = StructType([StructField("key", StringType()), StructField("value", StringType())])

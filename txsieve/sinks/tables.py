@@ -49,18 +49,12 @@ def write_batch(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -
 
 
 def upsert_detections(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Add a batch of ``(tid, isFraud)`` to a Parquet table that keeps one row per ``tid``.
+    """Add a batch of ``(tid, isFraud)`` to a Parquet table that :func:`read_detections` reads.
 
-    A ``tid`` an earlier batch wrote is left as it is. Within a batch the larger ``isFraud`` counts.
+    A batch is written without a look at earlier ones, so that its cost does not grow with the table. Of all rows
+    of a ``tid`` the largest ``isFraud`` counts, however the stream is cut into batches.
     """
-    fresh = _one_per_tid(batch).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if batch_id > 0:
-            write_batch(_without(fresh, _earlier(fresh, batch_id, path)), batch_id, path)
-        else:
-            write_batch(fresh, batch_id, path)
-    finally:
-        fresh.unpersist()
+    write_batch(_one_per_tid(batch), batch_id, path)
 
 
 def _one_per_tid(batch: DataFrame) -> DataFrame:
@@ -72,36 +66,25 @@ def _tid_range(fresh: DataFrame) -> tuple[int, int] | None:
     return None if lowest is None else (lowest, highest)
 
 
-def _earlier(fresh: DataFrame, batch_id: int, path: str) -> DataFrame:
-    """The tids of earlier batches, as far as they can be in this one.
-
-    The range goes to the scan, which then skips the files of other tids.
-    """
-    written = (
-        fresh.sparkSession.read.schema("tid int, isFraud int, batch_id long")
-        .parquet(path)
-        .filter(F.col("batch_id") < batch_id)
-    )
-    bounds = _tid_range(fresh)
-    inside = F.col("tid").between(*bounds) if bounds else F.lit(False)
-    return written.filter(inside | F.col("tid").isNull()).select("tid")
-
-
-def _without(fresh: DataFrame, earlier: DataFrame) -> DataFrame:
-    return fresh.join(earlier, fresh["tid"].eqNullSafe(earlier["tid"]), "left_anti")
+def _exceeding(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``fresh`` whose ``tid`` is not known with the same or a larger ``isFraud``."""
+    same = fresh["tid"].eqNullSafe(known["tid"])
+    covered = F.coalesce(known["isFraud"] >= fresh["isFraud"], fresh["isFraud"].isNull())
+    return fresh.join(known, same & covered, "left_anti")
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a table written by :func:`upsert_detections`."""
-    return spark.read.schema("tid int, isFraud int, batch_id long").parquet(path).select("tid", "isFraud")
+    """One row per ``tid`` of a table written by :func:`upsert_detections`."""
+    stored = spark.read.schema("tid long, isFraud int, batch_id long").parquet(path)
+    return _one_per_tid(stored.select("tid", "isFraud"))
 
 
 def upsert_detections_jdbc(
     batch: DataFrame, batch_id: int, config: JobConfig, table: str, partitions: int = 16
 ) -> None:
-    """:func:`upsert_detections` into a database table.
+    """:func:`upsert_detections` into a database table, where the largest ``isFraud`` of a ``tid`` counts as well.
 
-    Rows that a failed attempt at the same batch left behind are found by ``tid`` and not added again.
+    Only rows that exceed what the table has for their ``tid`` are added, so a repeated attempt adds nothing.
     """
     fresh = _one_per_tid(batch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -112,8 +95,8 @@ def upsert_detections_jdbc(
             low, high = bounds
             split = {"partition_column": "tid", "lower": low, "upper": high, "partitions": partitions}
             known = read_jdbc(fresh.sparkSession, config, table, **(split if low < high else {}))
-            known = known.filter(F.col("tid").between(low, high)).select("tid")
-            new = _without(fresh, known)
+            known = known.filter(F.col("tid").between(low, high)).select("tid", "isFraud")
+            new = _exceeding(fresh, known)
             new.write.format("jdbc").options(**jdbc_options(config, table)).mode("append").save()
     finally:
         fresh.unpersist()

@@ -9,8 +9,15 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-
-from txsieve.functions.messages import decode_messages, encode_messages, parse_messages, records
+from pyspark.sql.types import StructType
+
+from txsieve.functions.messages import (
+    decode_messages,
+    encode_messages,
+    parse_messages,
+    quarantined_messages,
+    records,
+)
 from txsieve.operators import model as scoring
 from txsieve.operators import rules as screening
 from txsieve.operators.enrich import enrich
@@ -40,6 +47,16 @@ def start_messages(
     return _start(sink.attach(messages), checkpoint, available_now)
 
 
+def start_quarantine(
+    messages: DataFrame, schema: StructType, sink: MessageSink, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Send the messages that do not fit ``schema`` to a topic or folder of their own, as they came.
+
+    It stands beside a job that reads the same messages with ``strict=False``: each message goes to one of them.
+    """
+    return start_messages(quarantined_messages(messages, schema), sink, checkpoint, available_now)
+
+
 def start_enrichment(
     messages: DataFrame,
     history: LoadTable,
@@ -53,14 +70,16 @@ def start_enrichment(
 
     With several outputs, such as a topic, a rule detector and a model, the batch is enriched once. An
     output gets a batch again when a failed one is repeated. ``history`` may load past transactions or,
-    better for a large history, a table of their pair counts. Invalid messages go to ``quarantine``.
+    better for a large history, a table of their pair counts. Invalid messages go to ``quarantine``;
+    without one they fail the job.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_messages(batch, RAW_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
         # Counting fills the cache, from which Spark then knows how large the batch is.
         parsed.count()
-        enriched = enrich(records(parsed, RAW_SCHEMA, fill_missing=True), history(), blacklist())
+        valid = records(parsed, RAW_SCHEMA, fill_missing=True, strict=quarantine is None)
+        enriched = enrich(valid, history(), blacklist())
         if len(outputs) > 1:
             enriched = enriched.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -85,34 +104,41 @@ def model_output(model: PipelineModel, write: WriteBatch) -> WriteBatch:
     return lambda batch, batch_id: write(scoring.score(model, batch), batch_id)
 
 
-def rule_messages(messages: DataFrame, rules: RuleSet) -> DataFrame:
+# The message jobs fail on an invalid message, unless ``strict`` is off and :func:`start_quarantine` takes it.
+
+
+def rule_messages(messages: DataFrame, rules: RuleSet, strict: bool = True) -> DataFrame:
     """Messages with the rule set's detections among enriched messages."""
-    return encode_messages(screening.detections(decode_messages(messages, ENRICHED_SCHEMA), rules))
+    enriched = decode_messages(messages, ENRICHED_SCHEMA, strict=strict)
+    return encode_messages(screening.detections(enriched, rules))
 
 
-def clean_rule_messages(messages: DataFrame, rules: RuleSet) -> DataFrame:
+def clean_rule_messages(messages: DataFrame, rules: RuleSet, strict: bool = True) -> DataFrame:
     """Messages with the transactions the rule set leaves."""
-    return encode_messages(screening.undetected(decode_messages(messages, ENRICHED_SCHEMA), rules))
+    enriched = decode_messages(messages, ENRICHED_SCHEMA, strict=strict)
+    return encode_messages(screening.undetected(enriched, rules))
 
 
-def model_messages(messages: DataFrame, model: PipelineModel) -> DataFrame:
+def model_messages(messages: DataFrame, model: PipelineModel, strict: bool = True) -> DataFrame:
     """Messages with the model's verdict on each enriched message."""
-    return encode_messages(scoring.score(model, decode_messages(messages, ENRICHED_SCHEMA)))
+    enriched = decode_messages(messages, ENRICHED_SCHEMA, strict=strict)
+    return encode_messages(scoring.score(model, enriched))
 
 
-def clean_model_messages(messages: DataFrame, model: PipelineModel) -> DataFrame:
+def clean_model_messages(messages: DataFrame, model: PipelineModel, strict: bool = True) -> DataFrame:
     """Messages with the transactions the model finds clean."""
-    return encode_messages(scoring.undetected_scored(model, decode_messages(messages, ENRICHED_SCHEMA)))
+    enriched = decode_messages(messages, ENRICHED_SCHEMA, strict=strict)
+    return encode_messages(scoring.undetected_scored(model, enriched))
 
 
 def detection_table(path: str) -> WriteBatch:
-    """Keeps detections in a Parquet table, one row per ``tid``."""
+    """Keeps detections in a Parquet table, read as one row per ``tid``."""
     return lambda batch, batch_id: upsert_detections(batch, batch_id, path)
 
 
 def start_detection_sink(
-    messages: DataFrame, write: WriteBatch, checkpoint: str, available_now: bool = False
+    messages: DataFrame, write: WriteBatch, checkpoint: str, available_now: bool = False, strict: bool = True
 ) -> StreamingQuery:
     """Keep a stream of detection messages in a table, such as :func:`detection_table`."""
-    detections = decode_messages(messages, DETECTION_SCHEMA, fill_missing=True)
+    detections = decode_messages(messages, DETECTION_SCHEMA, fill_missing=True, strict=strict)
     return _start(detections.writeStream.foreachBatch(write), checkpoint, available_now)
