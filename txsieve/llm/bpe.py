@@ -209,7 +209,7 @@ class UnitTable:
 
     def __init__(self, encode_units: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode_units = encode_units
-        self.odd = regex.compile(r"\s ")
+        self.odd = regex.compile(r"\s[ \n]")
         self.units = regex.compile(r"\s*\S+|\s+")
         self._forget()
 
@@ -219,10 +219,11 @@ class UnitTable:
         self.flat, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _keys(self, text: str) -> list[str]:
-        """Units after one space are named without it, others with a space before them."""
+        """Units after one space are named without it, those from a new line on as they are, others with a space before them."""
         if self.odd.search(text):
-            return [u[1:] if u[0] == " " and len(u) > 1 and not u[1].isspace() else " " + u for u in self.units.findall(text)]
-        keys = text.split(" ")
+            units = self.units.findall(text)
+            return [u if u[0] == "\n" else u[1:] if u[0] == " " and len(u) > 1 and not u[1].isspace() else " " + u for u in units]
+        keys = text.replace("\n", " \n").split(" ")
         keys[0] = " " + keys[0]
         return keys if keys[0] != " " else keys[1:]
 
@@ -235,7 +236,7 @@ class UnitTable:
         sizes = np.fromiter(map(len, keys), np.int64, len(keys))
         codes = np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, int(sizes.sum()))
         if len(self.number) > known:
-            fresh = [k[1:] if k[:1] == " " else " " + k for k in islice(self.number, known, None)]
+            fresh = [k if k[:1] == "\n" else k[1:] if k[:1] == " " else " " + k for k in islice(self.number, known, None)]
             flat, counts = self.encode_units(fresh)
             self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
         starts = np.cumsum(self.counts) - self.counts

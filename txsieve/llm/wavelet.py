@@ -126,7 +126,7 @@ ARCHIVE_SCHEMA = (
 
 
 class LibraryCoder:
-    """Encodes units of text with the tokenizers library; units that begin with their space are encoded as one text."""
+    """Encodes units of text with the tokenizers library; units that begin with one space or new line are encoded as one text."""
 
     def __init__(self, text: str):
         import os
@@ -144,7 +144,7 @@ class LibraryCoder:
 
     def __call__(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(units), np.int64)
-        spaced = [u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in units]
+        spaced = [u[0] in " \n" and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in units]
         joined = [u for u, s in zip(units, spaced, strict=True) if s]
         encoding = self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0]
         ids = np.array(encoding.ids, np.uint32)
