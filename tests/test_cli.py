@@ -50,6 +50,12 @@ def test_the_whole_way(spark, folder, capsys):
     _stream("score", topic, scored, folder(), "--history", labelled, "--model", "RANDOM_FOREST")
     assert decode_messages(read_message_table(spark, scored), DETECTION_SCHEMA).count() == 480
 
+    saved, again = folder("saved"), folder("again")
+    main(["train", "--history", labelled, "--model", "RANDOM_FOREST", "--to", saved])
+    _stream("score", topic, again, folder(), "--model-path", saved)
+    verdicts = [sorted(read_message_table(spark, made).collect()) for made in (scored, again)]
+    assert verdicts[0] == verdicts[1]
+
     kept = folder("kept")
     _stream("keep", found, kept, folder())
     expected_rows = rules.detections(enriched, sample_rules())
@@ -78,6 +84,8 @@ def test_bad_arguments(folder):
         ["screen", "--from", "a", "--checkpoint", "c", "--history", "d", "--blacklist", "e"],
         ["screen", "--from", "a", "--checkpoint", "c", "--history", "d", "--blacklist", "e", "--rules", "f"],
         ["score", "--from", "a", "--to", "b", "--checkpoint", "c", "--history", "d", "--model", "OTHER"],
+        ["score", "--from", "a", "--to", "b", "--checkpoint", "c", "--model", "GBT"],
+        ["score", "--from", "a", "--to", "b", "--checkpoint", "c", "--history", "d", "--model", "GBT", "--model-path", "e"],
     ):
         with pytest.raises(SystemExit):
             main(arguments)

@@ -129,6 +129,10 @@ GOOD = {
         {"value_type": "date"},
         {"value": "1.5"},
         {"value": "abc", "value_type": "float"},
+        {"value": "1_000"},
+        {"value": "2147483648"},
+        {"value": "nan", "value_type": "float"},
+        {"rule_id": None},
         {"value": None},
         {"rule_type": "other"},
         {"rule_type": "compound", "connector": "AND"},
@@ -162,6 +166,14 @@ def test_large_sets_compile(enriched):
     assert _tids(matching(enriched({"tid": 1, "step": 1499}, {"tid": 2, "step": 1500}), rules)) == [1]
 
 
+def test_large_rule_table_loads(spark):
+    row = "CAST(id AS INT) AS rule_id, CAST(NULL AS INT) AS parent_id, CAST(id AS INT) AS ordinal, 'basic' AS rule_type"
+    rest = "NULL AS connector, 'step' AS attribute, 'equalTo' AS operator, CAST(id AS STRING) AS value, 'int' AS value_type"
+    loaded = RuleSet.from_table(spark.range(20_000).selectExpr(*f"{row}, {rest}".split(", ")))
+    assert loaded.rule_count == 20_000
+    assert [rule.value for rule in loaded.rules] == [str(i) for i in range(20_000)]
+
+
 # Random rule trees against a plain evaluation with SQL's three-valued logic.
 
 _COMPARE = {

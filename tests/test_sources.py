@@ -9,7 +9,7 @@ from txsieve.operators.rules import Compound, Rule
 from txsieve.plans.sample_rules import sample_rule_table, sample_rules
 from txsieve.sinks.messages import kafka_write_options
 from txsieve.sources.messages import kafka_read_options, read_json_lines
-from txsieve.sources.rules import XML_DEPTH, load_rule_table, load_rule_xml
+from txsieve.sources.rules import load_rule_table, load_rule_xml
 from txsieve.sources.tables import jdbc_options, jdbc_read_options
 
 
@@ -106,14 +106,27 @@ def test_xml_value_types(xml):
 
 
 def test_bad_xml(xml):
-    deep = _basic(1)
-    for i in range(XML_DEPTH):
-        deep = _compound(10 + i, deep, _basic(100 + i))
-    for rules in ([], [deep], [_compound(1, _basic(2))], [_basic("x")], [_basic(1, value="abc")]):
-        with pytest.raises(Exception):
+    refused = [[], [_compound(1, _basic(2))], [_basic("x")], [_basic("")], [_basic(1), _basic(1)]]
+    for rules in [*refused, [_basic(1, value="abc")], ["<rule>"]]:
+        with pytest.raises(ValueError):
             xml(*rules)
 
 
+def test_deep_xml(xml):
+    deep, expected = _basic(1), Rule(1, "amount", "lessThan", "1", "int")
+    for i in range(40):
+        deep = _compound(10 + i, deep, _basic(100 + i), connector=("AND", "OR")[i % 2])
+        expected = Compound(10 + i, ("AND", "OR")[i % 2], expected, Rule(100 + i, "amount", "lessThan", "1", "int"))
+    assert xml(deep).rules == (expected,)
+
+
+def test_any_root_element(spark, folder):
+    path = folder("rules")
+    document = f'<?xml version="1.0" encoding="UTF-8"?><other>{_basic(1)}</other>'
+    spark.createDataFrame([(document,)], "value string").coalesce(1).write.text(path)
+    assert load_rule_xml(spark, path).rules == (Rule(1, "amount", "lessThan", "1", "int"),)
+
+
 def test_rule_json_fields_are_checked(spark, folder):
     path = folder()
     row = {"rule_id": "not a number", "rule_type": "basic"}

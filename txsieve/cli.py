@@ -10,6 +10,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -112,23 +113,32 @@ def _screen(at: _Places, args: argparse.Namespace) -> None:
     outputs = []
     if args.rules:
         outputs.append(jobs.rule_output(at.rules(args.rules), at.detection_table(args.rules_to)))
-    if args.model:
-        history = at.table(args.labelled, LABELLED_SCHEMA)
-        fitted = model.train(history, args.model, handle_invalid=args.handle_invalid)
+    if args.model_to:
+        fitted = _fitted(at, args, args.labelled)
         outputs.append(jobs.model_output(fitted, at.detection_table(args.model_to)))
     if args.to:
         outputs.append(at.sink(args.to).write_records)
     _run_enrichment(at, args, outputs)
 
 
+def _fitted(at: _Places, args: argparse.Namespace, history: str | None) -> PipelineModel:
+    """The saved model, the same at every restart, or one trained now."""
+    if args.model_path:
+        return model.load(args.model_path)
+    return model.train(at.table(history, LABELLED_SCHEMA), args.model, handle_invalid=args.handle_invalid)
+
+
+def _train(at: _Places, args: argparse.Namespace) -> None:
+    model.save(_fitted(at, args, args.history), args.to)
+
+
 def _rules(at: _Places, args: argparse.Namespace) -> None:
     build = jobs.clean_rule_messages if args.clean else jobs.rule_messages
     _send(at, args, build(at.messages(args.source), at.rules(args.rules), strict=not args.quarantine))
 
 
 def _score(at: _Places, args: argparse.Namespace) -> None:
-    history = at.table(args.history, LABELLED_SCHEMA)
-    fitted = model.train(history, args.model, handle_invalid=args.handle_invalid)
+    fitted = _fitted(at, args, args.history)
     build = jobs.clean_model_messages if args.clean else jobs.model_messages
     _send(at, args, build(at.messages(args.source), fitted, strict=not args.quarantine))
 
@@ -212,6 +222,7 @@ def _parser() -> argparse.ArgumentParser:
     screen.add_argument("--rules", help="as for the job rules")
     screen.add_argument("--rules-to", help="table of the rules' detections")
     screen.add_argument("--model", choices=model.MODELS)
+    screen.add_argument("--model-path", help="a model saved by the job train, instead of --model and --labelled")
     screen.add_argument("--labelled", help="labelled history to train the model on")
     screen.add_argument("--model-to", help="table of the model's verdicts")
     screen.add_argument("--handle-invalid", default="error", choices=("error", "keep"))
@@ -221,11 +232,19 @@ def _parser() -> argparse.ArgumentParser:
     rules.add_argument("--clean", action="store_true", help="the transactions left instead")
 
     score = stream("score", _score, "verdicts of a model")
-    score.add_argument("--history", required=True, help="labelled history to train on")
-    score.add_argument("--model", required=True, choices=model.MODELS)
+    score.add_argument("--model-path", help="a model saved by the job train, instead of --history and --model")
+    score.add_argument("--history", help="labelled history to train on")
+    score.add_argument("--model", choices=model.MODELS)
     score.add_argument("--handle-invalid", default="error", choices=("error", "keep"))
     score.add_argument("--clean", action="store_true", help="the transactions found clean instead")
 
+    train = commands.add_parser("train", help="a model of labelled history, saved for score and screen")
+    train.set_defaults(run=_train, model_path=None)
+    train.add_argument("--history", required=True)
+    train.add_argument("--model", required=True, choices=model.MODELS)
+    train.add_argument("--to", required=True, help="folder of the model, replaced if it exists")
+    train.add_argument("--handle-invalid", default="error", choices=("error", "keep"))
+
     keep = stream("keep", _keep, "detection messages into a table")
     keep.add_argument("--starting", default="earliest", choices=("earliest", "latest"))
 
@@ -248,12 +267,17 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser = _parser()
     args = parser.parse_args(arguments)
     if args.job == "screen":
-        if not (args.rules or args.model):
-            parser.error("screen needs --rules or --model")
+        if not (args.rules or args.model or args.model_path):
+            parser.error("screen needs --rules, --model or --model-path")
         if bool(args.rules) != bool(args.rules_to):
             parser.error("--rules goes with --rules-to")
-        if not bool(args.model) == bool(args.model_to) == bool(args.labelled):
-            parser.error("--model goes with --labelled and --model-to")
+        if bool(args.model or args.model_path) != bool(args.model_to):
+            parser.error("--model and --model-path go with --model-to")
+    if args.job in ("score", "screen"):
+        history = args.history if args.job == "score" else args.labelled
+        wanted = args.job == "score" or args.model_to
+        if bool(args.model) != bool(history) or wanted and bool(args.model) == bool(args.model_path):
+            parser.error("give --model-path, or --model with the labelled history")
     config = JobConfig.from_json(args.config) if args.config else JobConfig()
     spark = build_session(f"txsieve-{args.job}", args.master)
     args.run(_Places(spark, config), args)

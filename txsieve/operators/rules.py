@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType, StringType, StructType
 
@@ -28,8 +29,17 @@ RULE_TABLE_SCHEMA = (
     "attribute string, operator string, value string, value_type string"
 )
 
-# A rule set is job configuration; a table beyond this size is a mistake.
-MAX_RULES = 10_000
+_NUMBERS = {
+    "int": re.compile(r"[+-]?[0-9]+"),
+    "float": re.compile(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"),
+}
+
+
+def reads_as(kind: str, text: str) -> bool:
+    """Whether a text is a plain decimal literal of the kind "int", of 32 bits, or "float"."""
+    if not _NUMBERS[kind].fullmatch(text):
+        return False
+    return kind == "float" or -(2**31) <= int(text) < 2**31
 
 
 @dataclass(frozen=True)
@@ -52,14 +62,11 @@ class Rule:
         self._literal()
 
     def _literal(self) -> int | float | str:
-        try:
-            if self.value_type == "int":
-                return int(self.value)
-            if self.value_type == "float":
-                return float(self.value)
-        except ValueError:
-            raise ValueError(f"rule {self.rule_id}: {self.value!r} is no {self.value_type}") from None
-        return self.value
+        if self.value_type not in _NUMBERS:
+            return self.value
+        if not reads_as(self.value_type, self.value):
+            raise ValueError(f"rule {self.rule_id}: {self.value!r} is no {self.value_type}")
+        return int(self.value) if self.value_type == "int" else float(self.value)
 
     def to_column(self, schema: StructType) -> Column:
         left_type = _attribute_type(self, self.attribute, schema)
@@ -121,6 +128,8 @@ class RuleSet:
         ids = set()
         count = 0
         for row in rows:
+            if row["rule_id"] is None:
+                raise ValueError("a rule has no id")
             children.setdefault(row["parent_id"], []).append(row)
             ids.add(row["rule_id"])
             count += 1
@@ -150,11 +159,8 @@ class RuleSet:
 
     @classmethod
     def from_table(cls, table: DataFrame) -> RuleSet:
-        """Build from a rule table read by Spark."""
-        rows = table.take(MAX_RULES + 1)
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules")
-        return cls.from_rows(row.asDict() for row in rows)
+        """Build from a rule table read by Spark, which is job configuration and so goes whole to the driver."""
+        return cls.from_rows(row.asDict() for row in table.collect())
 
 
 def _attribute_type(rule: Rule, name: str, schema: StructType) -> DataType:
@@ -179,6 +185,11 @@ def matching(transactions: DataFrame, rules: RuleSet) -> DataFrame:
     return transactions.filter(rules.to_column(transactions.schema))
 
 
+def matching_view(spark: SparkSession, name: str, rules: RuleSet) -> DataFrame:
+    """The rows of a table or view, given by its name, that some rule matches."""
+    return matching(spark.table(name), rules)
+
+
 def detections(transactions: DataFrame, rules: RuleSet) -> DataFrame:
     """``(tid, isFraud = 1)`` for each transaction some rule matches."""
     return matching(transactions, rules).select("tid", F.lit(1).alias("isFraud"))

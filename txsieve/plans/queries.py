@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,13 +162,7 @@ def rule_table_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_view_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.enriched_live(spark, sf_dir).createOrReplaceTempView("trdata")
-    found = spark.sql(
-        "SELECT * FROM trdata WHERE newBalanceOrig < :low"
-        " OR (newBalanceOrig < :middle AND newBalanceOrig > :low)"
-        " OR destBlacklisted = 1 OR (recurrence = 0 AND newBalanceOrig < :high)",
-        args={"low": 200, "middle": 300, "high": 1000},
-    )
-    return _doubles(found)
+    return _doubles(rules.matching_view(spark, "trdata", sample_rules()))
 
 
 def det_prim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +220,51 @@ def undetected_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(model.undetected_scored(fitted, tables.enriched_live(spark, sf_dir)))
 
 
+# The models on a label that one input decides, so that SQL can say what each must find
+
+_TWO_TYPES = "type IN ('VIEW', 'CLICK')"
+
+
+def _train_on_types(spark: SparkSession, sf_dir: str, name: str) -> PipelineModel:
+    """Learns to tell views from clicks, which about half of the training rows are."""
+    history = tables.labelled_history(spark, sf_dir).filter(_TWO_TYPES)
+    return model.train(history.withColumn("isFraud", (F.col("type") == "VIEW").cast("int")), name)
+
+
+def _types_query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        live = tables.enriched_live(spark, sf_dir).filter(_TWO_TYPES)
+        return model.score(_train_on_types(spark, sf_dir, name), live)
+
+    return run
+
+
+def det_sec_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = _train_on_types(spark, sf_dir, "RANDOM_FOREST")
+    enriched = encode_messages(tables.enriched_live(spark, sf_dir).filter(_TWO_TYPES))
+    return decode_messages(jobs.model_messages(enriched, fitted), DETECTION_SCHEMA, fill_missing=True)
+
+
+def undetected_scored_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = tables.enriched_live(spark, sf_dir).filter(_TWO_TYPES)
+    return _doubles(model.undetected_scored(_train_on_types(spark, sf_dir, "LOGISTIC_REGRESSION"), live))
+
+
+def eval_metrics_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _types_query("GBT")(spark, sf_dir)
+    return evaluate.metrics(found, tables.expected_detections(spark, sf_dir))
+
+
+def stream_score_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring job on a topic, with a model that was saved and loaded as a restarted job does."""
+    path, topic = new_run_folder(spark, "model"), new_run_folder(spark, "topic")
+    model.save(_train_on_types(spark, sf_dir, "LOGISTIC_REGRESSION"), path)
+    sinks.overwrite_table(encode_messages(tables.enriched_live(spark, sf_dir).filter(_TWO_TYPES)), topic)
+    source = read_message_table(spark, topic, stream=True)
+    sent = _send(spark, jobs.model_messages(source, model.load(path)))
+    return decode_messages(read_message_table(spark, sent), DETECTION_SCHEMA)
+
+
 # Evaluation
 
 
@@ -431,6 +471,13 @@ QUERIES: dict[str, Query] = {
     "score_lr": _score_query("LOGISTIC_REGRESSION"),
     "det_sec": det_sec,
     "undetected_scored": undetected_scored,
+    "score_rf_types": _types_query("RANDOM_FOREST"),
+    "score_gbt_types": _types_query("GBT"),
+    "score_lr_types": _types_query("LOGISTIC_REGRESSION"),
+    "det_sec_types": det_sec_types,
+    "undetected_scored_types": undetected_scored_types,
+    "eval_metrics_types": eval_metrics_types,
+    "stream_score_types": stream_score_types,
     "eval_join": eval_join,
     "eval_confusion": eval_confusion,
     "eval_metrics": eval_metrics,

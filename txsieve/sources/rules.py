@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from collections.abc import Iterator
+from typing import Any
+from xml.etree import ElementTree
 
-from txsieve.operators.rules import RULE_TABLE_SCHEMA, Compound, Rule, RuleSet
+from pyspark.sql import SparkSession
 
-# XML documents are read with a fixed nesting; deeper ones are refused.
-XML_DEPTH = 8
+from txsieve.operators.rules import RULE_TABLE_SCHEMA, RuleSet, reads_as
 
-# The elements of a rule besides its id and its parts.
-_TEXT = ("ruleType", "connector", "attribute", "operator", "value", "valueType")
+# The elements of a rule besides its id and its parts, and the columns of a rule table they go to.
+_TEXT = {
+    "ruleType": "rule_type",
+    "connector": "connector",
+    "attribute": "attribute",
+    "operator": "operator",
+    "value": "value",
+    "valueType": "value_type",
+}
 
 
 def load_rule_table(spark: SparkSession, path: str, fmt: str = "json", **options: str) -> RuleSet:
@@ -20,49 +27,40 @@ def load_rule_table(spark: SparkSession, path: str, fmt: str = "json", **options
     return RuleSet.from_table(table.format(fmt).load(path))
 
 
-def _rule_schema(depth: int) -> StructType:
-    fields = [StructField("ruleId", IntegerType())] + [StructField(n, StringType()) for n in _TEXT]
-    nested = _rule_schema(depth - 1) if depth > 1 else StringType()
-    return StructType([*fields, StructField("rule", ArrayType(nested))])
+def load_rule_xml(spark: SparkSession, path: str) -> RuleSet:
+    """A rule set from an XML document whose root, of any name, holds ``<rule>`` elements, compound rules holding two more.
 
-
-def load_rule_xml(spark: SparkSession, path: str, row_tag: str = "ruleset") -> RuleSet:
-    """A rule set from an XML document of ``<rule>`` elements, compound rules holding two more.
-
-    A value of any other type than int, float or string is a number if it reads as one, else it names
-    an attribute.
+    Rules may nest to any depth. A document is job configuration and is read whole, from any store Spark
+    reads. A value of any other type than int, float or string is a number if it reads as one, else it
+    names an attribute.
     """
-    schema = StructType([StructField("rule", ArrayType(_rule_schema(XML_DEPTH)))])
-    options = {"rowTag": row_tag, "mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}
-    documents = spark.read.schema(schema).options(**options).format("xml").load(path).take(2)
+    documents = spark.read.option("wholetext", "true").text(path).take(2)
     if len(documents) != 1:
-        raise ValueError(f"{path} must hold one <{row_tag}>, found {len(documents)}")
-    return RuleSet(tuple(_rule(element) for element in documents[0]["rule"] or []))
-
-
-def _rule(element: Row | str) -> Rule | Compound:
-    if isinstance(element, str):
-        raise ValueError(f"rules are nested more than {XML_DEPTH} deep")
-    rule_id, kind = element["ruleId"], element["ruleType"]
-    if kind == "basic":
-        value = element["value"] or ""
-        value_type = _value_type(element["valueType"], value)
-        return Rule(rule_id, element["attribute"], element["operator"], value, value_type)
-    if kind == "compound":
-        parts = element["rule"] or []
-        if len(parts) != 2:
-            raise ValueError(f"rule {rule_id}: a compound rule has two parts, not {len(parts)}")
-        return Compound(rule_id, element["connector"], _rule(parts[0]), _rule(parts[1]))
-    raise ValueError(f"rule {rule_id}: unknown rule type {kind!r}")
+        raise ValueError(f"{path} must hold one document, found {len(documents)}")
+    try:
+        root = ElementTree.fromstring(documents[0]["value"].encode())
+    except ElementTree.ParseError as error:
+        raise ValueError(f"{path} is no XML document: {error}") from None
+    return RuleSet.from_rows(_rows(root))
+
+
+def _rows(root: ElementTree.Element) -> Iterator[dict[str, Any]]:
+    """The document's rules as rows of a rule table."""
+    waiting = [(element, None, place) for place, element in enumerate(root.findall("rule"))]
+    while waiting:
+        element, parent, place = waiting.pop()
+        row: dict[str, Any] = {column: element.findtext(name) for name, column in _TEXT.items()}
+        if row["rule_type"] == "basic":
+            row["value"] = row["value"] or ""
+            row["value_type"] = _value_type(row["value_type"], row["value"])
+        rule_id = (element.findtext("ruleId") or "").strip()
+        if not reads_as("int", rule_id):
+            raise ValueError(f"rule id {rule_id!r} is no int")
+        yield {**row, "rule_id": int(rule_id), "parent_id": parent, "ordinal": place}
+        waiting += [(part, int(rule_id), i) for i, part in enumerate(element.findall("rule"))]
 
 
 def _value_type(declared: str | None, value: str) -> str:
     if declared in ("int", "float", "string"):
         return declared
-    for name, convert in (("int", int), ("float", float)):
-        try:
-            convert(value)
-        except ValueError:
-            continue
-        return name
-    return "column"
+    return next((name for name in ("int", "float") if reads_as(name, value)), "column")
