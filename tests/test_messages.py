@@ -39,6 +39,35 @@ INVALID = [
 ]
 
 
+TRAILING = [
+    '{"tid":2} {"tid":3}',
+    '{"tid":2}{"tid":3}',
+    '{"tid":2},{"tid":3}',
+    '{"tid":2}\n{"tid":3}\n',
+    '{"tid":2} garbage',
+    '{"tid":2} null',
+    '{"tid":2},',
+    '{"tid":2},"tid":3',
+    '{"tid":2}}',
+    '{"tid":2}]',
+    '{"tid":2}]}',
+    '{"tid":2},{"_end":"x"}]}',
+    '{"tid":2} /* x */',
+    '{"tid":2}\xa0',
+    '{"tid":2}\x00',
+    '"" {"tid":2}',
+    '{"tid":2} {"tid":',
+]
+WHOLE = [
+    '{"tid":2}\n\t\r ',
+    '{"tid":1,"tid":2}',
+    '{"tid":1,"amount":NaN}',
+    '{"tid":1,"x":Infinity}',
+    '{"tid":1,"x":[{"y":"}] {"}]}',
+    '{"tid":1,"_end":5,"all":[]}',
+]
+
+
 @pytest.fixture
 def messages(spark):
     return lambda *values: spark.createDataFrame([("k", v) for v in values], MESSAGE_SCHEMA)
@@ -58,6 +87,14 @@ def test_every_message_is_either_decoded_or_quarantined(messages):
     assert {r["value"] for r in out.collect()} == set(INVALID)
 
 
+def test_nothing_may_follow_the_object(messages):
+    given = messages(*TRAILING, *WHOLE)
+    assert {r["value"] for r in quarantined_messages(given, RAW_SCHEMA).collect()} == set(TRAILING)
+    assert sorted(r["tid"] for r in decode_messages(given, RAW_SCHEMA).collect()) == [1, 1, 1, 1, 2, 2]
+    with pytest.raises(Exception, match="invalid message: "):
+        decode_messages(messages(TRAILING[0]), RAW_SCHEMA, strict=True).collect()
+
+
 def test_strict_decoding_fails_on_an_invalid_message(messages):
     assert decode_messages(messages(*VALID), RAW_SCHEMA, strict=True).count() == len(VALID)
     with pytest.raises(Exception, match="invalid message: garbage"):

@@ -4,26 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, NumericType, StringType, StructField, StructType
 
 _CORRUPT = "_corrupt_record"
+_END = "_end"
 
 
 def parse_messages(messages: DataFrame, schema: StructType) -> DataFrame:
     """Add ``record`` (the parsed value) and ``valid`` to each message.
 
-    A message is invalid when its value is NULL, is no JSON object, or gives a field a value of the
-    wrong type. Fields outside the schema are ignored.
+    A message is invalid when its value is NULL, is no JSON object, has anything but white space around its
+    object, or gives a field a value of the wrong type. Fields outside the schema are ignored.
     """
-    with_corrupt = StructType(schema.fields + [StructField(_CORRUPT, StringType())])
+    # Spark's parsers ignore what follows the first JSON value. So the value is parsed as the first of two
+    # elements: the second one, which holds a digest of the value that the value itself can't hold, is
+    # found in its place only if nothing else stands between.
+    value = F.col("value").cast("string")
+    end = F.md5(value.cast("binary"))
+    whole = F.concat(F.lit('{"all":['), value, F.lit(',{"' + _END + '":"'), end, F.lit('"}]}'))
+    element = StructType(schema.fields + [StructField(_END, StringType())])
+    shape = StructType([StructField("all", ArrayType(element)), StructField(_CORRUPT, StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
-    record = F.from_json(F.col("value").cast("string"), with_corrupt, options)
     # Exploding a one-element array keeps filters on the record above it, so each value is parsed once.
-    parsed = messages.select("*", F.explode(F.array(record)).alias("record"))
-    # A NULL or empty value parses to a NULL record, anything else that fails fills the corrupt text.
-    return parsed.withColumn(
-        "valid", F.col("record").isNotNull() & F.col(f"record.{_CORRUPT}").isNull()
-    )
+    parsed = messages.select("*", F.explode(F.array(F.from_json(whole, shape, options))).alias("_parsed"))
+    found = F.col("_parsed.all")
+    record = F.get(found, F.lit(0))
+    alone = (F.size(found) == 2) & (F.get(found, F.lit(1))[_END] == end)
+    # A NULL value parses to a NULL, anything else that fails fills the corrupt text.
+    valid = F.col(f"_parsed.{_CORRUPT}").isNull() & record.isNotNull() & alone
+    return parsed.select(*messages.columns, record.alias("record"), F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
 def decode_messages(

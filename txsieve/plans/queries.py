@@ -60,10 +60,13 @@ def scan_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _partly_invalid(records: DataFrame, bad: Column) -> DataFrame:
-    """Messages of the records; the ``bad`` ones give ``tid`` as text and so are invalid."""
+    """Messages of the records; the ``bad`` ones are invalid: ``tid`` as text, two objects, or an object and garbage."""
     others = [c for c in records.columns if c != "tid"]
-    as_text = F.struct(F.col("tid").cast("string").alias("tid"), *others)
-    value = F.when(bad, F.to_json(as_text)).otherwise(F.to_json(F.struct("*")))
+    as_text = F.to_json(F.struct(F.col("tid").cast("string").alias("tid"), *others))
+    good = F.to_json(F.struct("*"))
+    way = F.pmod("tid", F.lit(3))
+    invalid = F.when(way == 0, as_text).when(way == 1, F.concat_ws(" ", good, good)).otherwise(F.concat(good, F.lit(" x")))
+    value = F.when(bad, invalid).otherwise(good)
     return records.select(F.col("tid").cast("string").alias("key"), value.alias("value"))
 
 
