@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from txsieve.llm import bpe, fingerprints, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, toxicity, warc, wavelet
-from txsieve.llm.common import crc_mod
+from txsieve.llm.common import crc_mod, labelled
 from txsieve.session import new_run_folder
 
 WORDS = "the of and to in is that for was with tion ther".split()
@@ -193,6 +193,21 @@ def test_models_on_held_out_rows(spark):
     assert right > 0.85
 
 
+def test_draws_come_from_usable_documents(spark):
+    """Of 90 labelled ids a class, ten have a row that is short enough; two of them have two rows."""
+    rows = [(i, "x" * 100) for i in range(40)] + [(i, f"t{i}") for i in range(20)] + [(0, "s0"), (1, "t1"), (None, "t")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(180)] + [(None, 1), (2, None)], "doc_id long, toxic int")
+    allowed = crc_mod("doc_id", 3) != 1
+    usable = {i: i % 2 for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1}
+    wanted = {(i, b"s0" if i == 0 else f"t{i}".encode(), y) for i, y in usable.items()}
+    got = [(r.doc_id, bytes(r.text), r.label) for r in labelled(documents, labels, "toxic", allowed, 20, 2, 8).collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+    few = [r.label for r in labelled(documents, labels, "toxic", allowed, 3, 2, 8).collect()]
+    assert sorted(few) == [0, 0, 0, 1, 1, 1]
+    assert labelled(documents, labels, "toxic", allowed, 20, 2).count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40))
+
+
 def test_empty_tables(spark, documents):
     none, labels = documents.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for frame in (

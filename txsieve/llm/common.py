@@ -82,11 +82,14 @@ def parts_for(df: DataFrame, column: Column, size: int) -> tuple[int, int]:
     return max(1, math.ceil(total / size)), total
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int, seed: int) -> DataFrame:
+def labelled(
+    documents: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int, seed: int, most_bytes: int | None = None
+) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` labelled documents of each class, drawn by a seeded hash of doc_id.
 
-    Repeated labels of one document count once, as 1 if any is 1; null ids and labels are left out. Only the labels' own
-    columns are moved before the draw; its result has a fixed bound, so that it can be broadcast.
+    Only labels of ``documents`` are drawn from, and with ``most_bytes`` only those of texts that are no longer. Repeated labels of one
+    document count once, as 1 if any is 1, and so do its repeated rows, by their least text; null ids and labels are left out. Only ids are
+    moved before the draw; its result has one row an id, so that it can be broadcast.
     """
     one = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -94,10 +97,14 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, allowed: Colum
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).filter("doc_id IS NOT NULL")
+    if most_bytes is not None:
+        texts = texts.filter(F.octet_length("text") <= most_bytes)
+    usable = cut(texts.select("doc_id").join(one, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label")), "labelled")
     draws = [
-        one.filter(F.col("label") == value).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class)
+        usable.filter(F.col("label") == value).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class)
         for value in (0, 1)
     ]
     drawn = draws[0].unionByName(draws[1])
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    return texts.join(F.broadcast(drawn), "doc_id")
+    found = texts.join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

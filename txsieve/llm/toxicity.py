@@ -256,8 +256,8 @@ def fit(
 
 
 def train(documents: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS, most_bytes: int = TRAIN_BYTES) -> ToxicityModel | None:
-    """A model from at most ``per_class`` labelled rows of each class; of those drawn, longer texts than ``most_bytes`` are left out."""
-    sample = labelled(documents, labels, "toxic", allowed, per_class, 2).filter(F.length("text") <= most_bytes)
+    """A model from at most ``per_class`` labelled documents of each class, drawn from those of at most ``most_bytes`` of text."""
+    sample = labelled(documents, labels, "toxic", allowed, per_class, 2, most_bytes)
     found = sample.select("text", "label").toArrow()
     pairs = sorted(zip(found.column("text").to_pylist(), found.column("label").to_pylist(), strict=True))
     return fit([t for t, _ in pairs], [y for _, y in pairs])
