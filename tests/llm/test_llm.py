@@ -193,6 +193,23 @@ def test_models_on_held_out_rows(spark):
     assert right > 0.85
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a + " more"), (5, b), (6, c), (6, c), (6, c), (None, c), (None, d), (None, d), (8, ""), (8, ""), (None, None)]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    kept = jaccard_join.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (5, b), (6, c), (None, d), (8, ""), (8, ""), (None, None)])
+
+
+def test_rows_of_one_id_or_none_draw_by_themselves(spark):
+    """Source a has target 1,200 of 1,000 words, b 480, c 240."""
+    rows = [(None, "one word", "a")] * 500 + [(7, "one word", "b")] * 250 + [(3, f"word w{i}", "c") for i in range(210)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    words = {r.source: r["count"] * 2 for r in mixed.groupBy("source").count().collect()}
+    assert abs(words["a"] - 1200) < 120 and abs(words["b"] - 480) < 80 and abs(words["c"] - 240) < 80
+
+
 def test_draws_come_from_usable_documents(spark):
     """Of 90 labelled ids a class, ten have a row that is short enough; two of them have two rows."""
     rows = [(i, "x" * 100) for i in range(40)] + [(i, f"t{i}") for i in range(20)] + [(0, "s0"), (1, "t1"), (None, "t")]

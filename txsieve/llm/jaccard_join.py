@@ -20,6 +20,7 @@ KEY_BITS = 48
 KEY_BYTES = 5  # of a key, its bucket gives the rest
 BLOCK_TOKENS = 4 << 20
 HUB_ROUNDS = 1
+_ROW = "_row"
 _LOW = np.uint64((1 << (KEY_BITS - BUCKET_BITS)) - 1)
 
 
@@ -341,12 +342,22 @@ def near_duplicates(documents: DataFrame, n: int = N, percent: int = PERCENT) ->
 
 
 def keep_one(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, but of each component only the one that names it.
+    """The documents, with all their columns, but of each component only one row: that of the least doc_id, null last.
 
-    Repeated rows of one doc_id stay together; rows with null doc_id all stay.
+    Rows are told apart by numbers of their own, written with them, so that rows of one doc_id or of none stay or go by their own texts. Rows
+    without words are components of their own and all stay.
     """
-    drop = near_duplicates(documents, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    return documents.join(drop, documents["doc_id"].cast("long") == F.col("id"), "left_anti")
+    rows = cut(documents.select("*", F.monotonically_increasing_id().alias(_ROW)), "join-rows")
+    found = near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias(_ROW), "component_id")
+    found = cut(found, "join-found")
+    shared = cut(found.filter(F.col(_ROW) != F.col("component_id")).select("component_id").distinct(), "join-shared")
+    members = cut(found.join(shared, "component_id"), "join-members")
+    id_ = F.col("doc_id").cast("long")
+    rank = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64("text").alias("hash"), F.col(_ROW))
+    ranked = rows.select(_ROW, rank.alias("rank")).join(members, _ROW)
+    kept = cut(ranked.groupBy("component_id").agg(F.min("rank").alias("kept")).select("component_id", F.col(f"kept.{_ROW}").alias("kept")), "join-kept")
+    drop = cut(members.join(kept, "component_id").filter(F.col(_ROW) != F.col("kept")).select(_ROW), "join-drop")
+    return rows.join(drop, _ROW, "left_anti").select(*documents.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

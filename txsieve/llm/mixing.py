@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from txsieve.llm.common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -44,18 +46,19 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     )
 
 
-def copies(doc_id: str, rate: Column, seed: str) -> Column:
-    """floor(rate), and one more with the probability of the fraction: 48 bits of a seeded MD5 of doc_id decide."""
-    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def copies(key: str, rate: Column, seed: str) -> Column:
+    """floor(rate), and one more with the probability of the fraction: 48 bits of a seeded MD5 of the key decide."""
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     draw = F.conv(F.substring(hashed, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
     return F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
 
 
-def plan_mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix") -> DataFrame:
+def plan_mix(
+    documents: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix", key: str = "doc_id"
+) -> DataFrame:
     """All columns of ``documents`` with mix_size, mix_source_size, mix_target and mix_copies.
 
-    Null text and text without words have size 0; null is a source of its own. Documents with one doc_id draw alike, so repeated
-    rows and reruns agree. A source's sizes are summed before anything is moved; its one row then meets the documents in
+    Null text and text without words have size 0; null is a source of its own. Rows with one ``key`` draw alike, so reruns agree. A source's sizes are summed before anything is moved; its one row then meets the documents in
     a join that adaptive execution broadcasts or splits, so that a hot source is not one task's work. An empty table gives no rows.
     """
     sized = documents.withColumn("mix_size", n_words())
@@ -66,14 +69,30 @@ def plan_mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     return (
         sized.join(goal, F.col("source").eqNullSafe(F.col("mix_source")), "left")
-        .withColumn("mix_copies", F.least(F.lit(most), copies("doc_id", rate, seed)))
+        .withColumn("mix_copies", F.least(F.lit(most), copies(key, rate, seed)))
         .drop("mix_source")
     )
 
 
+def row_keys(documents: DataFrame) -> DataFrame:
+    """The documents with mix_key: doc_id and a hash of the text, and for rows that have both in common a number of each row's own.
+
+    Ids and hashes alone are counted; the few that repeat are written, so that the join with the texts can broadcast them. The numbers follow
+    the order in which the input is read; rows that don't repeat keep their keys however that is.
+    """
+    hashed = documents.select(
+        "*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("mix_id"), F.xxhash64("text").alias("mix_hash"), F.monotonically_increasing_id().alias("mix_row")
+    )
+    count = hashed.groupBy("mix_id", "mix_hash").agg(F.count("*").alias("mix_n")).filter("mix_n > 1")
+    joined = hashed.join(cut(count, "mix-repeated"), ["mix_id", "mix_hash"], "left")
+    return joined.select(
+        *[hashed[c] for c in documents.columns], F.concat_ws(":", "mix_id", "mix_hash", F.when(F.col("mix_n").isNotNull(), F.col("mix_row"))).alias("mix_key")
+    )
+
+
 def mix(documents: DataFrame, **how) -> DataFrame:
-    """The mixed documents: each row of ``documents`` as often as the plan says, with its own columns only."""
-    planned = plan_mix(documents, **how).filter(F.col("mix_copies") > 0)
+    """The mixed documents: each row of ``documents`` as often as the plan says, with its own columns only. Each row draws by itself."""
+    planned = plan_mix(row_keys(documents), key="mix_key", **how).filter(F.col("mix_copies") > 0)
     repeated = planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
     return repeated.select(*documents.columns)
 
