@@ -3,13 +3,17 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+import corpus_pipeline
 from txsieve.llm import bpe, fingerprints, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, toxicity, warc, wavelet
 from txsieve.llm.common import crc_mod, labelled
 from txsieve.session import new_run_folder
@@ -183,6 +187,27 @@ def test_edit_distance_and_fingerprints(documents, rows):
     assert taken(got.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")) == wanted
 
 
+def test_likenesses_equal_a_plain_edit_distance(documents):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def likeness(left, right):
+        (m, *x), (n, *y) = left.split(":"), right.split(":")
+        x, y = ([re.sub(r"(.)\1{3,}", r"\1\1\1", s) for s in z] for z in (x, y))
+        met = [(x[i], y[j]) for i, k in enumerate((1, 2)) for j, p in enumerate((1, 2)) if int(m) * k == int(n) * p and (i, j) != (1, 1)]
+        return 1.0 if left == right else max([1 - plain(a, b) / max(len(a), len(b)) for a, b in met if a and b], default=0.0)
+
+    got = fingerprints.fingerprint_documents(documents).collect()
+    for name, other in (("near_edited", "edited_fingerprint"), ("near_next", "next_fingerprint")):
+        assert [round(r[name], 6) for r in got] == [round(likeness(r.fingerprint, r[other]), 6) for r in got]
+        assert len({r[name] for r in got}) > 5
+
+
 def test_models_on_held_out_rows(spark):
     tables = {n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels")}
     quality = quality_classifier.score_documents(tables["documents"], quality_classifier.learned(**tables))
@@ -210,6 +235,58 @@ def test_rows_of_one_id_or_none_draw_by_themselves(spark):
     assert abs(words["a"] - 1200) < 120 and abs(words["b"] - 480) < 80 and abs(words["c"] - 240) < 80
 
 
+def test_pipeline_equals_plain_python(spark, tmp_path, monkeypatch):
+    """Each stage on what the one before wrote, with null, repeated and long rows; the models' verdicts on each text come from the models alone."""
+    draw = random.Random(9)
+    good = [" ".join(draw.choice(WORDS) + f"{k % 7}" for k in range(draw.randrange(20, 60))).capitalize() + "." for _ in range(60)]
+    texts = [*good, *(f"$$$ BUY {'NOW!!! ' * 9}{i}" for i in range(20)), *(f"{g} {'You vile stupid scum. ' * 8}" for g in good)]
+    kinds = [(1, 0)] * 60 + [(0, 0)] * 20 + [(1, 1)] * 60
+    again = [(3, good[3]), (3, good[3]), (4, good[50] + " Other."), (None, good[7]), (None, good[8] + " " + good[9]), (None, None), (5, "")]
+    rows = [(i, t, f"s{(i or 0) % 3}" if i != 2 else None) for i, t in [*enumerate(texts), *again]]
+    pq.write_table(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[2] for r in rows]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "quality": [q for q, _ in kinds], "toxic": [x for _, x in kinds]}), tmp_path / "labels.parquet")
+    seen, models = {}, []
+    for module in (quality_classifier, toxicity):
+        monkeypatch.setattr(module, "learned", lambda *a, own=module.learned: models.append(own(*a)) or models[-1])
+    cut = corpus_pipeline.cut
+
+    def kept(frame, purpose):
+        frame = cut(frame, purpose)
+        seen[purpose] = taken(frame)
+        return frame
+
+    monkeypatch.setattr(corpus_pipeline, "cut", kept)
+    corpus_pipeline.run(spark, str(tmp_path))
+    by_quality, by_toxicity, distinct, mixed, encoded = (seen["pipeline-" + name.replace(" ", "-")] for name, _ in corpus_pipeline.STAGES)
+
+    def margin(text):
+        owner, code = quality_classifier.features([(text or "").encode()], quality_classifier._Shapes())
+        return models[0].scores(models[0].margins(owner, code, 1))[0].round(12)
+
+    assert by_quality == Counter(r for r in rows if margin(r[1]) >= quality_classifier.THRESHOLD) and 0 < by_quality.total() < len(rows)
+    score = toxicity.Scorer(models[1])
+    assert by_toxicity == Counter(r for r in by_quality.elements() if score([(r[1] or "").encode()])[0] < toxicity.THRESHOLD)
+    assert 0 < by_toxicity.total() < by_quality.total()
+
+    left = sorted(by_toxicity.elements(), key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [set(jaccard_join.shingles([(r[1] or "").encode()])[0].tolist()) for r in left]
+    comp = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    wanted = Counter(left[k] for k in range(len(left)) if comp[k] == k)
+    assert distinct == wanted and distinct.total() < by_toxicity.total()
+
+    planned = mixing.plan_mix(mixing.row_keys(spark.createDataFrame(sorted(distinct.elements(), key=str), "doc_id long, text string, source string")), key="mix_key")
+    plan = {(r.doc_id, r.text, r.source): (r.mix_copies, r.mix_target, r.mix_source_size) for r in planned.collect()}
+    for row, (n, target, size) in plan.items():
+        rate = target / size if size else 0
+        assert math.floor(rate) <= n <= math.ceil(rate) and mixed[row] == n * distinct[row] or not row[1]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert Counter((r[0], r[-1]) for r in encoded.elements()) == Counter((r[0], sha((r[1] or "").encode())) for r in mixed.elements())
+
+
 def test_draws_come_from_usable_documents(spark):
     """Of 90 labelled ids a class, ten have a row that is short enough; two of them have two rows."""
     rows = [(i, "x" * 100) for i in range(40)] + [(i, f"t{i}") for i in range(20)] + [(0, "s0"), (1, "t1"), (None, "t")]
