@@ -29,7 +29,7 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 stands for itself."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
@@ -41,7 +41,7 @@ class Vocabulary:
 
     def __init__(self, text: str):
         stored = json.loads(text)
-        letters = _byte_letters()
+        letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in stored["model"]["vocab"].items()}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}

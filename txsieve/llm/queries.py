@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from txsieve.llm.alignment import op13_alignment
 from txsieve.llm.bpe import op5_bpe
 from txsieve.llm.fingerprints import op9_fingerprints
 from txsieve.llm.jaccard_join import op6_jaccard_join
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_fingerprints": op9_fingerprints,
     "op10_wavelet": op10_wavelet,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {"op3_warc": OP3_SQL, "op4_mixing": OP4_SQL}
