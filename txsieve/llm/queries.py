@@ -5,6 +5,7 @@ from __future__ import annotations
 from txsieve.llm.alignment import op13_alignment
 from txsieve.llm.bpe import op5_bpe
 from txsieve.llm.fingerprints import op9_fingerprints
+from txsieve.llm.html_extraction import op12_html_extraction
 from txsieve.llm.jaccard_join import op6_jaccard_join
 from txsieve.llm.lm_scoring import op1_lm_scoring
 from txsieve.llm.mixing import OP4_SQL, op4_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_fingerprints": op9_fingerprints,
     "op10_wavelet": op10_wavelet,
+    "op12_html_extraction": op12_html_extraction,
     "op13_alignment": op13_alignment,
 }
 ORACLES = {"op3_warc": OP3_SQL, "op4_mixing": OP4_SQL}
