@@ -12,6 +12,7 @@ from txsieve.llm.mixing import OP4_SQL, op4_mixing
 from txsieve.llm.quality_classifier import op7_quality
 from txsieve.llm.quality_rules import op8_quality_rules
 from txsieve.llm.toxicity import op2_toxicity
+from txsieve.llm.vector_clusters import OP11_SQL, op11_clusters
 from txsieve.llm.warc import OP3_SQL, op3_warc
 from txsieve.llm.wavelet import op10_wavelet
 
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_fingerprints": op9_fingerprints,
     "op10_wavelet": op10_wavelet,
+    "op11_clusters": op11_clusters,
     "op12_html_extraction": op12_html_extraction,
     "op13_alignment": op13_alignment,
 }
-ORACLES = {"op3_warc": OP3_SQL, "op4_mixing": OP4_SQL}
+ORACLES = {"op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op11_clusters": OP11_SQL}
