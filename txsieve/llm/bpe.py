@@ -18,8 +18,12 @@ from txsieve.llm.common import slices, table
 
 # Fixed value: the pre-tokenisation pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a Python worker remembers at most, before it starts again with none.
-REMEMBERED = 500_000
+#: Bytes, counted as below, that a Python worker's table of units may take before it starts again with none; and as many again for what a vocabulary learns.
+TABLE_BYTES = 48 << 20
+#: Texts are encoded in runs of about this many characters, so that what one run adds to the table is bounded too.
+RUN_CHARACTERS = 1 << 19
+_UNIT_COST = 200
+_FACT_COST = 100
 _NEVER = 1 << 60
 
 
@@ -158,10 +162,17 @@ class Vocabulary:
                 tokens.append(states[at])
                 at -= sizes[at]
             tokens.reverse()
-        if len(fits) > 2 * REMEMBERED:
-            fits.clear()
+        if (len(fits) + len(steps) + 3 * len(self.suffixes)) * _FACT_COST > TABLE_BYTES:
+            self._forget()
         return out
 
+    def _forget(self) -> None:
+        """Starts again without what was found out about pairs of tokens and about suffixes."""
+        self.fits.clear()
+        self.steps.clear()
+        self.suffixes[1:], self.ends[1:] = [], []
+        self.suffix_number = {b"": 0}
+
     def decode(self, ids: Sequence[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -175,7 +186,6 @@ class TrieCoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.names = special
         self.words = regex.compile(PATTERN)
-        self.known: dict[str, list[int]] = {}
 
     def pieces(self, unit: str) -> list[str]:
         if not any(name in unit for name in self.names):
@@ -190,9 +200,7 @@ class TrieCoder:
         """All tokens of the units, one after the other, and how many each has."""
         text = "".join(units)
         split = list(map(self.pieces if any(name in text for name in self.names) else self.words.findall, units))
-        if len(self.known) > REMEMBERED or not self.known:
-            self.known = {content: [i] for content, i in self.vocabulary.special.items()}
-        tokens = self.known
+        tokens = {content: [i] for content, i in self.vocabulary.special.items()}
         words = list(set(chain.from_iterable(split)).difference(tokens))
         tokens.update(zip(words, self.vocabulary.encode_words([w.encode() for w in words]), strict=True))
         found = [tokens[p[0]] if len(p) == 1 else [t for piece in p for t in tokens[piece]] for p in split]
@@ -204,19 +212,22 @@ class UnitTable:
     """Encodes texts by their distinct units, which are encoded once each.
 
     A unit is white space and the other characters up to the next white space. No pattern word, merge or special token reaches from a character into
-    the white space after it, so a text's encoding is that of its units one after the other.
+    the white space after it, so a text's encoding is that of its units one after the other. The table only saves work: beyond ``most_bytes`` it
+    starts again with none, and it is tested after each run of ``RUN_CHARACTERS``, within a text too.
     """
 
-    def __init__(self, encode_units: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode_units = encode_units
+    def __init__(self, encode_units: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], most_bytes: int = TABLE_BYTES):
+        self.encode_units, self.most_bytes = encode_units, most_bytes
         self.odd = regex.compile(r"\s[ \n]")
         self.units = regex.compile(r"\s*\S+|\s+")
+        self.border = regex.compile(r"\S(?=\s)")
         self._forget()
 
     def _forget(self) -> None:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.flat, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.bytes = 0
 
     def _keys(self, text: str) -> list[str]:
         """Units after one space are named without it, those from a new line on as they are, others with a space before them."""
@@ -227,18 +238,51 @@ class UnitTable:
         keys[0] = " " + keys[0]
         return keys if keys[0] != " " else keys[1:]
 
+    def _runs(self, texts: Sequence[str]) -> Iterator[tuple[list[str], bool]]:
+        """Consecutive texts of bounded length together, and whether the last one ends with them; a longer text in parts that end where a unit does."""
+        held, size = [], 0
+        for text in texts:
+            start = 0
+            while len(text) - start > RUN_CHARACTERS:
+                border = self.border.search(text, start + RUN_CHARACTERS)
+                if not border:
+                    break
+                yield [*held, text[start : border.end()]], False
+                held, size, start = [], 0, border.end()
+            held.append(text[start:] if start else text)
+            size += len(held[-1])
+            if size > RUN_CHARACTERS:
+                yield held, True
+                held, size = [], 0
+        if held:
+            yield held, True
+
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts, one text after the other, and how many each has."""
-        if len(self.number) > REMEMBERED:
+        found, totals, open_text = [np.zeros(0, np.uint32)], [], False
+        for run, ends in self._runs(texts):
+            flat, counts = self._encode_run(run)
+            found.append(flat)
+            if open_text:
+                totals[-1] += int(counts[0])
+                counts = counts[1:]
+            totals += counts.tolist()
+            open_text = not ends
+        return np.concatenate(found), np.array(totals, np.int64)
+
+    def _encode_run(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.bytes > self.most_bytes:
             self._forget()
         keys = [self._keys(t) for t in texts]
         known = len(self.number)
         sizes = np.fromiter(map(len, keys), np.int64, len(keys))
         codes = np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, int(sizes.sum()))
+        del keys
         if len(self.number) > known:
             fresh = [k if k[:1] == "\n" else k[1:] if k[:1] == " " else " " + k for k in islice(self.number, known, None)]
             flat, counts = self.encode_units(fresh)
             self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+            self.bytes += _UNIT_COST * len(fresh) + sum(map(len, fresh)) + 4 * len(flat)
         starts = np.cumsum(self.counts) - self.counts
         each = self.counts[codes]
         ends = np.cumsum(each)

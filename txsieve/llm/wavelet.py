@@ -22,6 +22,8 @@ SHARD_TOKENS = 4 << 20
 END = 2
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 4096
+#: What a Python worker's table of encoded units may take; the library itself remembers nothing.
+TABLE_BYTES = 96 << 20
 
 
 class WaveletMatrix:
@@ -138,8 +140,9 @@ class LibraryCoder:
         self.tokenizer.no_padding()
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # every unit comes once
-        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, number in Vocabulary.sizes(text).items():
+        sizes = Vocabulary.sizes(text)
+        self.size = np.zeros(max(sizes) + 1, np.int64)
+        for token, number in sizes.items():
             self.size[token] = number
 
     def __call__(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +167,7 @@ class LibraryCoder:
 
 
 def library_units(text: str) -> UnitTable:
-    return UnitTable(LibraryCoder(text))
+    return UnitTable(LibraryCoder(text), TABLE_BYTES)
 
 
 def _archive_rows(stored):
@@ -200,6 +203,8 @@ def _archive_rows(stored):
                         yield shard()
                     span, part, start = int(spans[begin]), 0, 0
                 flat, counts = units.encode([t or "" for t in batch.column("text").to_pylist()])
+                if len(flat) and int(flat.max()) >> LEVELS:
+                    raise ValueError("the vocabulary has ids of more bits than there are levels")
                 flat = np.insert(flat.astype(np.uint16), np.cumsum(counts), END)
                 pending.append((flat, counts + 1, batch.column("doc_id").to_pylist()))
                 held += len(flat)
