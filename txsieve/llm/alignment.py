@@ -24,7 +24,7 @@ from txsieve.llm.common import cut, slices, table
 SPACE = "▁"
 BLOCK_BYTES = 8 << 20
 #: What a worker's table of units may take, counted as below, before it starts again with none.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 64 << 20
 FRESH = 20_000
 _UNIT_COST = 260
 
@@ -101,15 +101,41 @@ class Tokenizers:
         kept = b"".join(self.b_bytes[i] for i in self.b.encode(sample)) == (" " + sample).encode()
         return bool(plain and kept and not any(across.search(name) for name in names))
 
-    def encode(self, units: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of each unit, which starts with a space or, within a text, a line end; none where a side's bytes aren't the unit's."""
-        a, b = [], []
-        for start in range(0, len(units), FRESH):
-            some = units[start : start + FRESH]
-            a += [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
-            # B adds a space itself: a unit's own is left out, and before a line end the added one is taken off.
-            found = self.b.encode([u[1:] if u[0] == " " else u for u in some], num_threads=1)
-            b += [ids[1:] if u[0] != " " else ids or [self.b_space] for u, ids in zip(some, found, strict=True)]
+    def encode(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A's ids of all units, one after the other, and how many each unit has, then B's; none where a side's bytes aren't the unit's.
+
+        A unit starts with a space or, within a text, a line end. Units that end in neither are encoded as one text.
+        """
+        together = [self.splits and SPACE not in u and not u[-1].isspace() for u in units]
+        joined = "".join(u for u, t in zip(units, together, strict=True) if t)
+        sizes = np.fromiter((len(u.encode()) for u, t in zip(units, together, strict=True) if t), np.int64)
+        found = self._apart([u for u, t in zip(units, together, strict=True) if not t])
+        at = np.array(together, bool)
+        out = []
+        for side, rest in zip((self._a_ids, self._b_ids), found, strict=True):
+            ids, size, names = side(joined)
+            ends, stops = np.cumsum(size[ids]), np.cumsum(sizes)
+            last = np.searchsorted(ends, stops)
+            if b"".join(map(names.__getitem__, ids.tolist())) != joined.encode() or len(ids) and (ends[last] != stops).any():
+                raise ValueError("the units of a text don't encode apart")
+            counts = np.zeros(len(units), np.int64)
+            counts[at], counts[~at] = np.diff(last + 1, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))
+            flat, of_joined = np.zeros(int(counts.sum()), np.int64), np.repeat(at, counts)
+            flat[of_joined], flat[~of_joined] = ids, [i for one in rest for i in one]
+            out += [flat, counts]
+        return tuple(out)
+
+    def _a_ids(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        return np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), self.a_size, self.a_bytes
+
+    def _b_ids(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        # B adds a space itself: the text's own is left out, and before a line end the added one is taken off.
+        ids = self.b.encode(text[1:]) if text[:1] == " " else self.b.encode(text)[1:]
+        return np.array(ids, np.int64), self.b_size, self.b_bytes
+
+    def _apart(self, units: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        b = [self._b_ids(u)[0].tolist() or [self.b_space] for u in units]
         for k, unit in enumerate(units):
             whole = unit.encode()
             if b"".join(map(self.a_bytes.__getitem__, a[k])) != whole or b"".join(map(self.b_bytes.__getitem__, b[k])) != whole:
@@ -165,9 +191,7 @@ class UnitTable:
         return out
 
     def _learn(self, fresh: list[str]) -> None:
-        a, b = self.coders.encode(fresh)
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(fresh)) for ids in (a, b))
-        a_ids, b_ids = (np.fromiter((i for ids in side for i in ids), np.int64) for side in (a, b))
+        a_ids, n_a, b_ids, n_b = self.coders.encode(fresh)
         a_end, b_end = np.cumsum(self.coders.a_size[a_ids]), np.cumsum(self.coders.b_size[b_ids])
         last = terminals(a_end, b_end)
         closes = last[len(a_ids) :] == len(a_ids) + np.arange(len(b_ids))
