@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -306,17 +306,28 @@ def site_templates(parsed: DataFrame) -> DataFrame:
 def main_text(parsed: DataFrame, templates: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_template, n_markup): what is left of each page, and how many blocks went as a template and by markup alone."""
     joined = parsed.join(templates, "host", "left")
-    hit = F.array_intersect(F.col("subtrees.hash"), F.coalesce("templates", F.array().cast("array<bigint>")))
-    runs = joined.withColumn("hit", hit).withColumn("runs", F.filter("subtrees", lambda s: F.array_contains("hit", s["hash"])))
-    covered = lambda i: F.exists("runs", lambda s: (s["first"] <= i) & (i < s["last"]))
-    state = F.transform("against", lambda lost, i: F.when(covered(i), 2).when(lost, 1).otherwise(0))
-    judged = runs.withColumn("state", state)
-    left = F.filter("blocks", lambda b, i: F.get("state", i) == 0)
-    count = lambda which: F.size(F.filter("state", lambda s: s == which)).cast("long")
-    out = judged.select("page_id", "url", F.array_join(left, "\n").alias("text"), count(2).alias("n_template"), count(1).alias("n_markup"))
+    recurring = F.array_intersect(F.col("subtrees.hash"), F.coalesce("templates", F.array().cast("array<bigint>")))
+    runs = _once(recurring, lambda hit: F.filter("subtrees", lambda s: F.array_contains(hit, s["hash"])))
+    covered = lambda runs, i: F.exists(runs, lambda s: (s["first"] <= i) & (i < s["last"]))
+    state = _once(runs, lambda runs: F.transform("against", lambda lost, i: F.when(covered(runs, i), 2).when(lost, 1).otherwise(0)))
+    count = lambda state, which: F.size(F.filter(state, lambda s: s == which)).cast("long")
+    found = _once(
+        state,
+        lambda state: F.struct(
+            F.array_join(F.filter("blocks", lambda b, i: F.get(state, i) == 0), "\n").alias("text"),
+            count(state, 2).alias("n_template"),
+            count(state, 1).alias("n_markup"),
+        ),
+    )
+    out = joined.select("page_id", "url", F.inline(F.array(found)))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_markup")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body or a function within it uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page, one row a page, without template subtrees and what markup marks as no part of the article.
 
