@@ -56,15 +56,30 @@ TRAILING = [
     '{"tid":2}\xa0',
     '{"tid":2}\x00',
     '"" {"tid":2}',
+    '{"tid":1,"isFraud":1}],"all":[{"tid":2,"isFraud":0}',
+    '{"tid":1}] , "all":[ {"tid":2}',
+    '{"tid":1}],"x":[{"tid":2}',
+    '{"tid":1}],"all":[{"tid":2},{"_end":"x"}],"all":[{"tid":3}',
+    '{"tid":1}],"all":null,"x":[{"tid":2}',
+    '{"tid":1}],"\\u0061ll":[{"tid":2}',
+    '{"tid":1},{"tid":2}],"all":[{"tid":3}',
     '{"tid":2} {"tid":',
 ]
+REPEATED = [
+    '{"tid":1,"tid":3}',
+    '{"tid":1,"tid":1}',
+    '{"tid":1,"isFraud":0,"isFraud":1}',
+    '{"tid":1,"x":1,"x":2}',
+    '{"tid":1,"\\u0074id":3}',
+    '{"tid":1,"tid":null}',
+]
 WHOLE = [
     '{"tid":2}\n\t\r ',
-    '{"tid":1,"tid":2}',
     '{"tid":1,"amount":NaN}',
     '{"tid":1,"x":Infinity}',
     '{"tid":1,"x":[{"y":"}] {"}]}',
     '{"tid":1,"_end":5,"all":[]}',
+    '{"tid":1,"x":{"y":1,"y":2}}',
 ]
 
 
@@ -90,11 +105,25 @@ def test_every_message_is_either_decoded_or_quarantined(messages):
 def test_nothing_may_follow_the_object(messages):
     given = messages(*TRAILING, *WHOLE)
     assert {r["value"] for r in quarantined_messages(given, RAW_SCHEMA).collect()} == set(TRAILING)
-    assert sorted(r["tid"] for r in decode_messages(given, RAW_SCHEMA).collect()) == [1, 1, 1, 1, 2, 2]
+    assert sorted(r["tid"] for r in decode_messages(given, RAW_SCHEMA).collect()) == [1, 1, 1, 1, 1, 2]
     with pytest.raises(Exception, match="invalid message: "):
         decode_messages(messages(TRAILING[0]), RAW_SCHEMA, strict=True).collect()
 
 
+def test_no_field_may_be_named_twice(messages):
+    given = messages(*REPEATED, *WHOLE)
+    assert {r["value"] for r in quarantined_messages(given, RAW_SCHEMA).collect()} == set(REPEATED)
+    for value in REPEATED:
+        with pytest.raises(Exception, match="invalid message: "):
+            decode_messages(messages(value), DETECTION_SCHEMA, strict=True).collect()
+
+
+def test_the_value_cannot_know_its_own_digest(messages):
+    """A value that ends the array itself and leaves a second one of its own making is invalid, whatever it puts there."""
+    for inner in ('{"tid":1},{"_end":"%s"}' % ("0" * 32), '{"tid":1},{"_end":null}', '{"tid":1},{}', '{"tid":1},null'):
+        assert quarantined_messages(messages(inner, inner + '],"all":[' + inner), RAW_SCHEMA).count() == 2
+
+
 def test_strict_decoding_fails_on_an_invalid_message(messages):
     assert decode_messages(messages(*VALID), RAW_SCHEMA, strict=True).count() == len(VALID)
     with pytest.raises(Exception, match="invalid message: garbage"):
@@ -128,6 +157,8 @@ def test_encode(spark):
     assert encode_messages(df, keep_nulls=True).first() == ("7", '{"tid":7,"isFraud":null}')
 
 
-def test_each_value_is_parsed_once(messages, capsys):
+def test_each_value_is_parsed_once_for_its_values_and_once_for_its_names(messages, capsys):
     decode_messages(messages(*VALID), RAW_SCHEMA, fill_missing=True).explain()
-    assert capsys.readouterr().out.count("from_json(") == 1
+    plan = capsys.readouterr().out
+    assert plan.count("from_json(StructField(all") == 1
+    assert plan.count("from_json(") == 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructField, StructType
 
 _CORRUPT = "_corrupt_record"
 _END = "_end"
@@ -14,27 +14,48 @@ def parse_messages(messages: DataFrame, schema: StructType) -> DataFrame:
     """Add ``record`` (the parsed value) and ``valid`` to each message.
 
     A message is invalid when its value is NULL, is no JSON object, has anything but white space around its
-    object, or gives a field a value of the wrong type. Fields outside the schema are ignored.
+    object, names a field twice, or gives a field a value of the wrong type. Fields outside the schema are ignored.
     """
-    # Spark's parsers ignore what follows the first JSON value. So the value is parsed as the first of two
-    # elements: the second one, which holds a digest of the value that the value itself can't hold, is
-    # found in its place only if nothing else stands between.
+    # Spark's parsers ignore what follows the first JSON value, and of repeated fields they keep the last. So the
+    # value is parsed as the first of two elements under one name; the second holds a digest of the value, which the
+    # value itself can't hold. A parse as maps, which keep repeated names, shows whether the whole text has this
+    # structure: one name, two elements, the digest in its place, and no name twice in the value.
     value = F.col("value").cast("string")
     end = F.md5(value.cast("binary"))
     whole = F.concat(F.lit('{"all":['), value, F.lit(',{"' + _END + '":"'), end, F.lit('"}]}'))
-    element = StructType(schema.fields + [StructField(_END, StringType())])
-    shape = StructType([StructField("all", ArrayType(element)), StructField(_CORRUPT, StringType())])
+    shape = StructType([StructField("all", ArrayType(schema)), StructField(_CORRUPT, StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
-    # Exploding a one-element array keeps filters on the record above it, so each value is parsed once.
-    parsed = messages.select("*", F.explode(F.array(F.from_json(whole, shape, options))).alias("_parsed"))
-    found = F.col("_parsed.all")
-    record = F.get(found, F.lit(0))
-    alone = (F.size(found) == 2) & (F.get(found, F.lit(1))[_END] == end)
+    names = MapType(StringType(), ArrayType(MapType(StringType(), StringType())))
+    both = F.struct(
+        F.from_json(whole, shape, options).alias("values"),
+        F.from_json(whole, names, {"allowSingleQuotes": "false"}).alias("names"),
+    )
+    # Exploding a one-element array keeps filters on the record above it, so each value is parsed once for its
+    # values and once for its names.
+    parsed = messages.select("*", F.explode(F.array(both)).alias("_parsed"))
+    record = F.get(F.col("_parsed.values.all"), F.lit(0))
     # A NULL value parses to a NULL, anything else that fails fills the corrupt text.
-    valid = F.col(f"_parsed.{_CORRUPT}").isNull() & record.isNotNull() & alone
+    typed = F.col(f"_parsed.values.{_CORRUPT}").isNull() & record.isNotNull()
+    valid = typed & _one_object(F.col("_parsed.names"), end)
     return parsed.select(*messages.columns, record.alias("record"), F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
+def _one_object(names: Column, end: Column) -> Column:
+    """Whether a wrapped value is a single object without a repeated name, followed by ``end`` alone."""
+    elements = F.get(F.map_values(names), F.lit(0))
+    own = F.map_keys(F.get(elements, F.lit(0)))
+    marks = F.map_entries(F.get(elements, F.lit(1)))
+    mark = F.get(marks, F.lit(0))
+    return (
+        (F.map_keys(names) == F.array(F.lit("all")))
+        & (F.size(elements) == 2)
+        & (F.size(marks) == 1)
+        & (mark["key"] == _END)
+        & (mark["value"] == end)
+        & (F.size(F.array_distinct(own)) == F.size(own))
+    )
+
+
 def decode_messages(
     messages: DataFrame, schema: StructType, fill_missing: bool = False, strict: bool = False
 ) -> DataFrame:

@@ -60,12 +60,25 @@ def scan_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _partly_invalid(records: DataFrame, bad: Column) -> DataFrame:
-    """Messages of the records; the ``bad`` ones are invalid: ``tid`` as text, two objects, or an object and garbage."""
+    """Messages of the records; the ``bad`` ones are invalid.
+
+    By ``tid`` they have it as text, are two objects, an object and garbage, name it twice, or close the place they are
+    read in and open another one, which hides their record behind a second.
+    """
     others = [c for c in records.columns if c != "tid"]
     as_text = F.to_json(F.struct(F.col("tid").cast("string").alias("tid"), *others))
     good = F.to_json(F.struct("*"))
-    way = F.pmod("tid", F.lit(3))
-    invalid = F.when(way == 0, as_text).when(way == 1, F.concat_ws(" ", good, good)).otherwise(F.concat(good, F.lit(" x")))
+    second = F.concat(F.lit('{"tid":'), (F.col("tid") + 1).cast("string"), F.lit("}"))
+    twice = F.concat(F.lit('{"tid":0,'), F.substring(good, 2, 1_000_000))
+    ways = [
+        as_text,
+        F.concat_ws(" ", good, good),
+        F.concat(good, F.lit(" x")),
+        twice,
+        F.concat(good, F.lit('],"all":['), second),
+        F.concat(good, F.lit('] , "all":[ '), second),
+    ]
+    invalid = F.element_at(F.array(*ways), (F.pmod("tid", F.lit(len(ways))) + 1).cast("int"))
     value = F.when(bad, invalid).otherwise(good)
     return records.select(F.col("tid").cast("string").alias("key"), value.alias("value"))
 
