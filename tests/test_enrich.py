@@ -71,11 +71,10 @@ def test_enrich_keeps_all_rows_and_further_columns(spark, raw):
     assert more.columns == [*ENRICHED_SCHEMA.fieldNames(), "isFraud"]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 2, 10**6])
+@pytest.mark.parametrize("hot_rows", [1, 2, 10**6])
 def test_history_enriched_by_itself(spark, raw, monkeypatch, hot_rows):
     """The same frame on both sides, whatever counts as a hot key."""
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
-    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", hot_rows)
     blacklist = spark.createDataFrame([("M1",), ("M8",)], "accountNumber string")
     past = raw(
         *[{"tid": i} for i in range(5)],
@@ -89,8 +88,7 @@ def test_history_enriched_by_itself(spark, raw, monkeypatch, hot_rows):
     assert _by_tid(out, "recurrence", "destBlacklisted") == expected
 
 
-def test_bucketed_counts_are_not_shuffled(spark, raw, folder, monkeypatch, capsys):
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+def test_bucketed_counts_are_not_shuffled(spark, raw, folder, capsys):
     history = raw(*[{"nameDest": f"M{i % 7}"} for i in range(20)])
     save_bucketed(pair_counts(history), "pair_counts_of_a_test", PAIR, 4)
     path = folder()
@@ -98,9 +96,10 @@ def test_bucketed_counts_are_not_shuffled(spark, raw, folder, monkeypatch, capsy
     live = spark.read.schema(RAW_SCHEMA).parquet(path)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = add_recurrence(live, spark.table("pair_counts_of_a_test"))
+        out = add_recurrence(live, spark.table("pair_counts_of_a_test"), few=True)
         out.explain()
-        assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+        # The batch's distinct keys, and the batch.
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
         assert _by_tid(out, "recurrence") == {i: (3 if i < 6 else 2 if i < 7 else 0,) for i in range(9)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from txsieve.operators import lookup as joins
-from txsieve.operators.lookup import fits_broadcast, hot_keys, left_lookup
+from txsieve.operators.lookup import hot_keys, left_lookup
 
 
 def _facts(spark, rows):
@@ -31,77 +31,105 @@ def _expected(facts, lookup):
     return Counter((r["tid"], r["a"], r["b"], found.get((r["a"], r["b"]))) for r in facts.collect())
 
 
-def _sizes(monkeypatch, small):
-    """Make ``fits_broadcast`` say yes for frames with these columns only."""
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: sorted(df.columns) in small)
+@pytest.mark.parametrize("rows_per_task", [1, 20, 1000])
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_all_ways_agree(spark, facts, lookup, rows_per_task, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        for few in (False, True):
+            out = left_lookup(facts, lookup, ["a", "b"], few=few, rows_per_task=rows_per_task)
+            assert out.columns == ["tid", "a", "b", "v"]
+            assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize(
-    "small, hot_rows",
-    [([], 20), ([], 1000), ([["a", "b"]], 20), ([["a", "b", "v"]], 20)],
-    ids=["hot keys", "no hot keys", "few facts", "small lookup"],
-)
-def test_all_ways_agree(facts, lookup, monkeypatch, small, hot_rows):
-    _sizes(monkeypatch, small)
-    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
-    out = left_lookup(facts, lookup, ["a", "b"])
-    assert out.columns == ["tid", "a", "b", "v"]
-    assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
+def test_hot_keys(facts):
+    assert hot_keys(facts, ["a", "b"], "n").collect() == []
+    assert set(hot_keys(facts, ["a", "b"], "n", 20).collect()) == {("hot", "x", 20), ("copy", "x", 10)}
+    assert set(hot_keys(facts, ["a", "b"], "n", 399).collect()) == {("hot", "x", 2)}
+    assert hot_keys(facts.limit(0), ["a", "b"], "n", 1).collect() == []
 
 
-def test_hot_keys(facts, monkeypatch):
-    assert hot_keys(facts, ["a", "b"]) == []
-    monkeypatch.setattr(joins, "HOT_ROWS", 20)
-    assert set(hot_keys(facts, ["a", "b"])) == {("hot", "x"), (None, "z"), ("copy", "x")}
-    assert hot_keys(facts.limit(0), ["a", "b"]) == []
+def test_the_hottest_keys_are_kept_where_there_are_too_many(facts, lookup, monkeypatch):
+    monkeypatch.setattr(joins, "MOST_HOT_KEYS", 1)
+    assert hot_keys(facts, ["a", "b"], "n", 1).collect() == [("hot", "x", 400)]
+    out = left_lookup(facts, lookup, ["a", "b"], rows_per_task=1)
+    assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
 
 
-def test_few_buckets_hide_no_hot_key(facts, monkeypatch):
-    monkeypatch.setattr(joins, "BUCKETS", 8)
-    monkeypatch.setattr(joins, "HOT_ROWS", 20)
-    assert {r["a"] for r in hot_keys(facts, ["a", "b"])} == {"hot"}
+def test_columns_may_have_any_name(spark, lookup):
+    names = "tid int, a string, b string, _place string, _places int, _n int, m map<string,int>, n array<int>"
+    rows = [(i, "hot", "x", "p", 5, 6, {"k": 1}, [1]) for i in range(50)]
+    out = left_lookup(spark.createDataFrame(rows, names), lookup, ["a", "b"], rows_per_task=7)
+    assert out.columns == ["tid", "a", "b", "_place", "_places", "_n", "m", "n", "v"]
+    assert sorted(tuple(r) for r in out.collect()) == [(*row, 1) for row in rows]
 
 
-def test_no_join_partition_holds_a_hot_key(spark, lookup, monkeypatch):
-    """Rows of a hot key, and copies of one row, stay spread over the partitions they came in."""
-    monkeypatch.setattr(joins, "HOT_ROWS", 40)
+@pytest.fixture
+def shuffled(spark):
+    """Joins as they are where nothing is small."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def _task_rows(joined):
+    return sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(i, "hot", "x") if i % 3 == 0 else (i, f"k{i}", "y") for i in range(30_000)],
+        [(7, "copy", "x") if i % 3 == 0 else (i, f"k{i}", "y") for i in range(30_000)],
+        [(i, None, "x") if i % 3 == 0 else (i, f"k{i}", "y") for i in range(30_000)],
+    ],
+    ids=["one key", "copies of one row", "no key"],
+)
+def test_no_task_reads_twice_the_median(spark, shuffled, lookup, rows):
+    """A third of the rows in one key, in copies of one row, or without a key."""
+    facts = spark.createDataFrame(rows, "tid int, a string, b string").repartition(64, "tid" if rows[0] != rows[3] else F.rand(1))
+    out = left_lookup(facts, lookup, ["a", "b"], rows_per_task=100)
+    sizes = _task_rows(out)
+    assert sum(sizes) == 30_000 and len(sizes) == 16
+    assert sizes[-1] <= 2 * sizes[8]
+    assert Counter(tuple(r) for r in out.collect()) == _expected(facts, lookup)
+
+
+def test_a_repeated_task_deals_its_rows_alike(spark, lookup):
+    """Whatever order a task gets its rows in, so that a lost executor's rows are neither lost nor repeated."""
+    rows = [(i, "hot", "x") for i in range(200)]
+    def places(order):
+        frame = spark.createDataFrame(rows, "tid int, a string, b string").coalesce(1).sortWithinPartitions(order)
+        return {r["tid"]: r["p"] for r in frame.withColumn("p", joins._place(frame, F.lit(9))).collect()}
+    assert places(F.asc("tid")) == places(F.desc("tid"))
+    assert len(set(places(F.asc("tid")).values())) == 9
+
+
+def test_planning_starts_no_job(spark, facts, lookup):
+    """The join is DataFrame steps: nothing runs before its result is asked for."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
     try:
-        for rows in ([(i, "hot", "x") for i in range(4000)], [(7, "copy", "x")] * 4000):
-            facts = spark.createDataFrame(rows, "tid int, a string, b string").repartition(64)
-            _sizes(monkeypatch, [])
-            out = left_lookup(facts, lookup, ["a", "b"])
-            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
-            assert sum(sizes) == 4000
-            assert max(sizes) < 2000
+        out = left_lookup(facts, lookup, ["a", "b"], rows_per_task=20)
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+        assert out.columns == ["tid", "a", "b", "v"]
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_few_facts_cut_the_lookup_down_at_its_scan(spark, folder, facts, monkeypatch, capsys):
+def test_few_facts_cut_the_lookup_down_at_its_scan(spark, folder, facts, capsys):
     """The distinct keys filter the rows that are counted; keys and counts are shuffled, the facts are not."""
     path = folder()
     facts.write.parquet(path)
     stored = spark.read.schema(facts.schema).parquet(path)
     counted = stored.groupBy("a", "b").agg(F.count("*").alias("v"))
-    _sizes(monkeypatch, [["a", "b"]])
-    left_lookup(stored, counted, ["a", "b"]).explain()
+    left_lookup(stored, counted, ["a", "b"], few=True).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning") == 2
     assert plan.index("partial_count") < plan.index("LeftSemi") < plan.rindex("FileScan")
-
-
-def test_size_check(spark, folder, lookup):
-    path = folder()
-    lookup.write.parquet(path)
-    stored = spark.read.schema(lookup.schema).parquet(path)
-    assert fits_broadcast(stored)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
-    try:
-        assert not fits_broadcast(stored)
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        assert not fits_broadcast(stored)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -25,27 +25,27 @@ def _as_pair_counts(history: DataFrame) -> DataFrame:
 
 
 def add_recurrence(
-    transactions: DataFrame, history: DataFrame, keys_from: DataFrame | None = None
+    transactions: DataFrame, history: DataFrame, keys_from: DataFrame | None = None, **dealing
 ) -> DataFrame:
     """Add ``recurrence``: past transactions between the same two accounts, 0 if none.
 
     ``history`` is either past transactions or a table :func:`pair_counts` made of them, to which counts
-    of later transactions may have been appended.
+    of later transactions may have been appended. ``dealing`` goes to :func:`left_lookup`.
     """
-    joined = left_lookup(transactions, _as_pair_counts(history), PAIR, keys_from)
+    joined = left_lookup(transactions, _as_pair_counts(history), PAIR, keys_from, **dealing)
     return joined.select(*transactions.columns, count_to_int(F.col("pairCount")).alias("recurrence"))
 
 
 def add_dest_blacklisted(
-    transactions: DataFrame, blacklist: DataFrame, keys_from: DataFrame | None = None
+    transactions: DataFrame, blacklist: DataFrame, keys_from: DataFrame | None = None, **dealing
 ) -> DataFrame:
-    """Add ``destBlacklisted``: 1 if ``nameDest`` is an account in ``blacklist``, else 0."""
+    """Add ``destBlacklisted``: 1 if ``nameDest`` is an account in ``blacklist``, else 0. ``dealing`` goes to :func:`left_lookup`."""
     listed = (
         blacklist.select(F.col("accountNumber").alias("nameDest"))
         .distinct()
         .withColumn("_listed", F.lit(1))
     )
-    joined = left_lookup(transactions, listed, ["nameDest"], keys_from)
+    joined = left_lookup(transactions, listed, ["nameDest"], keys_from, **dealing)
     return joined.select(
         *transactions.columns, F.coalesce(F.col("_listed"), F.lit(0)).alias("destBlacklisted")
     )
@@ -70,15 +70,16 @@ def add_balance_errors(transactions: DataFrame) -> DataFrame:
 
 
 def enrich(
-    transactions: DataFrame, history: DataFrame, blacklist: DataFrame, keys_from: DataFrame | None = None
+    transactions: DataFrame, history: DataFrame, blacklist: DataFrame, keys_from: DataFrame | None = None, **dealing
 ) -> DataFrame:
     """All four features, in the order of ``ENRICHED_SCHEMA``, with any further columns after them.
 
-    ``keys_from`` may name a frame that gives the account columns of the same transactions more cheaply.
+    ``keys_from`` may name a frame that gives the account columns of the same transactions more cheaply. ``dealing`` goes to
+    :func:`left_lookup`, such as ``few=True`` for a micro-batch.
     """
     keys_from = transactions if keys_from is None else keys_from
-    counted = add_recurrence(transactions, history, keys_from)
-    flagged = add_dest_blacklisted(counted, blacklist, keys_from)
+    counted = add_recurrence(transactions, history, keys_from, **dealing)
+    flagged = add_dest_blacklisted(counted, blacklist, keys_from, **dealing)
     out = add_balance_errors(flagged)
     names = ENRICHED_SCHEMA.fieldNames()
     return out.select(*names, *[c for c in transactions.columns if c not in names])

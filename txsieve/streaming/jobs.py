@@ -79,7 +79,7 @@ def start_enrichment(
         # Counting fills the cache, from which Spark then knows how large the batch is.
         parsed.count()
         valid = records(parsed, RAW_SCHEMA, fill_missing=True, strict=quarantine is None)
-        enriched = enrich(valid, history(), blacklist())
+        enriched = enrich(valid, history(), blacklist(), few=True)
         if len(outputs) > 1:
             enriched = enriched.persist(StorageLevel.MEMORY_AND_DISK)
         try:
