@@ -11,19 +11,20 @@ WITH tx AS (
     'C' || CAST(e.user_id AS VARCHAR) AS nameOrig,
     CAST(greatest(c.c_acctbal, 0.0) AS FLOAT) AS oldBalanceOrig,
     CAST(greatest(greatest(c.c_acctbal, 0.0) - e.value, 0.0) AS FLOAT) AS newBalanceOrig,
-    'M' || CAST(CAST(e.props->>'$.k' AS INT) AS VARCHAR) AS nameDest,
+    'M' || CAST(s.s_suppkey AS VARCHAR) AS nameDest,
     CAST(greatest(s.s_acctbal, 0.0) AS FLOAT) AS oldBalanceDest,
     CAST(CASE WHEN e.event_type = 'error' THEN greatest(s.s_acctbal, 0.0)
          ELSE greatest(s.s_acctbal, 0.0) + e.value END AS FLOAT) AS newBalanceDest
   FROM events e
   JOIN customer c ON c.c_custkey = e.user_id
-  JOIN supplier s ON s.s_suppkey = CAST(e.props->>'$.k' AS INT) % 10),
+  JOIN supplier s ON s.s_suppkey = (e.user_id + CAST(e.props->>'$.k' AS INT)) % (SELECT count(*) FROM supplier)),
 past AS (SELECT * FROM tx WHERE step < 360),
 live AS (SELECT * FROM tx WHERE step >= 360),
 pairs AS (SELECT nameOrig, nameDest, count(*) AS n FROM past GROUP BY nameOrig, nameDest),
+errors AS (SELECT nameDest AS accountNumber, count(*) AS n FROM past WHERE type = 'ERROR' GROUP BY nameDest),
 listed AS (
-  SELECT nameDest AS accountNumber FROM past WHERE type = 'ERROR'
-  GROUP BY nameDest ORDER BY count(*) DESC, nameDest LIMIT 10),
+  SELECT accountNumber FROM errors
+  WHERE n * 20 * (SELECT count(*) FROM errors) > 27 * (SELECT sum(n) FROM errors)),
 enriched AS (
   SELECT t.*, CAST(coalesce(p.n, 0) AS INT) AS recurrence,
     CASE WHEN b.accountNumber IS NOT NULL THEN 1 ELSE 0 END AS destBlacklisted,
@@ -134,6 +135,12 @@ _BODIES = {
     " FROM trdata WHERE byRules = 1",
     "encode_enriched": f"SELECT CAST(tid AS VARCHAR) AS key, {_json_of_enriched()} AS value FROM trdata",
     "recurrence": "SELECT tid, recurrence FROM trdata",
+    "recurrence_hot_pair": """, hot AS (
+  SELECT tid, step, CASE WHEN tid % 3 = 0 THEN 'C0' ELSE nameOrig END AS nameOrig,
+    CASE WHEN tid % 3 = 0 THEN 'M0' ELSE nameDest END AS nameDest FROM tx)
+SELECT l.tid, CAST(coalesce(h.n, 0) AS INT) AS recurrence FROM hot l LEFT JOIN (
+  SELECT nameOrig, nameDest, count(*) AS n FROM hot WHERE step < 360 GROUP BY nameOrig, nameDest) h
+  ON h.nameOrig = l.nameOrig AND h.nameDest = l.nameDest WHERE l.step >= 360""",
     "dest_blacklisted": "SELECT tid, destBlacklisted FROM trdata",
     "balance_error": "SELECT tid, errorBalanceOrig, errorBalanceDest FROM trdata",
     "enrich": f"SELECT {_ENRICHED} FROM trdata",

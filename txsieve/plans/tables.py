@@ -1,8 +1,8 @@
 """The transaction tables, derived from the test tables ``events``, ``customer`` and ``supplier``.
 
 Events of the first 15 days are the history, later ones the live transactions. The user is the origin
-account, the number in ``props`` the destination account, and the balances come from the customer
-and one of ten suppliers.
+account; the destination account is the supplier that the user's number and the one in ``props`` lead to, so every
+supplier can be one. The balances come from the customer and the supplier.
 """
 
 from __future__ import annotations
@@ -34,21 +34,25 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").filter(f"ts >= {_LIVE_FROM}")
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
-
-
 def _orig() -> Column:
     return F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("nameOrig")
 
 
-def _dest(k: Column) -> Column:
-    return F.concat(F.lit("M"), k.cast("string")).alias("nameDest")
+def _dest() -> Column:
+    return F.concat(F.lit("M"), F.col("merchant").cast("string")).alias("nameDest")
+
 
+def _with_merchant(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's supplier: a number below their count, which is one row."""
+    counted = read(spark, sf_dir, "supplier").agg(F.count("*").alias("merchants")).withColumn("every", F.lit(1))
+    k = F.get_json_object("props", "$.k").cast("int")
+    joined = events.withColumn("every", F.lit(1)).join(F.broadcast(counted), "every")
+    return joined.withColumn("merchant", F.pmod(F.col("user_id") + k, F.col("merchants")).cast("long"))
 
-def _accounts(events: DataFrame) -> DataFrame:
-    """The accounts of each event alone, without the joins."""
-    return events.select(_orig(), _dest(_k()))
+
+def _accounts(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounts of each event alone, without the joins to their balances."""
+    return _with_merchant(events, spark, sf_dir).select(_orig(), _dest())
 
 
 def _transactions(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,23 +60,11 @@ def _transactions(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
         F.col("c_custkey").alias("user_id"),
         F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("origBalance"),
     )
-    # Destination numbers use these ten suppliers only, so this side never has more than ten rows.
-    merchants = (
-        read(spark, sf_dir, "supplier")
-        .filter(F.col("s_suppkey").between(0, 9))
-        .select(
-            F.col("s_suppkey").cast("int").alias("merchant"),
-            F.greatest(F.col("s_acctbal"), F.lit(0.0)).alias("destBalance"),
-        )
+    merchants = read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("merchant"), F.greatest(F.col("s_acctbal"), F.lit(0.0)).alias("destBalance")
     )
     since = F.col("ts") - F.expr(_START)
-    # Events and customers come straight from their scans, so adaptive execution can split hot users.
-    joined = (
-        events.withColumn("k", _k())
-        .withColumn("merchant", F.col("k") % 10)
-        .join(accounts, "user_id")
-        .join(F.broadcast(merchants), "merchant")
-    )
+    joined = _with_merchant(events, spark, sf_dir).join(accounts, "user_id").join(merchants, "merchant")
     return joined.select(
         F.col("event_id").alias("tid"),
         (F.extract(F.lit("DAYS"), since) * 24 + F.extract(F.lit("HOURS"), since)).cast("int").alias("step"),
@@ -81,7 +73,7 @@ def _transactions(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
         _orig(),
         F.col("origBalance").cast("float").alias("oldBalanceOrig"),
         F.greatest(F.col("origBalance") - F.col("value"), F.lit(0.0)).cast("float").alias("newBalanceOrig"),
-        _dest(F.col("k")),
+        _dest(),
         F.col("destBalance").cast("float").alias("oldBalanceDest"),
         F.when(F.col("event_type") == "error", F.col("destBalance"))
         .otherwise(F.col("destBalance") + F.col("value"))
@@ -102,7 +94,7 @@ def raw_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accounts of the transactions to screen."""
-    return _accounts(_live(spark, sf_dir))
+    return _accounts(_live(spark, sf_dir), spark, sf_dir)
 
 
 def raw_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +110,12 @@ def raw_live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten destinations with most past errors."""
-    errors = raw_history(spark, sf_dir).filter(F.col("type") == "ERROR")
-    return (
-        errors.groupBy(F.col("nameDest").alias("accountNumber"))
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "accountNumber")
-        .limit(10)
-        .select("accountNumber")
-    )
+    """The destinations with over 1.35 times as many past errors as the average of those with any."""
+    failed = _past(spark, sf_dir).filter(F.col("event_type") == "error")
+    errors = _accounts(failed, spark, sf_dir).groupBy(F.col("nameDest").alias("accountNumber")).agg(F.count("*").alias("n"))
+    average = errors.agg(F.sum("n").alias("errors"), F.count("*").alias("accounts")).withColumn("every", F.lit(1))
+    joined = errors.withColumn("every", F.lit(1)).join(F.broadcast(average), "every")
+    return joined.filter(F.col("n") * 20 * F.col("accounts") > F.col("errors") * 27).select("accountNumber")
 
 
 def enriched_live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +132,7 @@ def _label() -> Column:
 def labelled_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Past transactions with features and the fraud label, the training table."""
     past = raw_history(spark, sf_dir)
-    accounts = _accounts(_past(spark, sf_dir))
+    accounts = _accounts(_past(spark, sf_dir), spark, sf_dir)
     return enrich(past, past, blacklist(spark, sf_dir), accounts).withColumn("isFraud", _label())
 
 
@@ -152,3 +141,8 @@ def expected_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched_live(spark, sf_dir).select("tid", _label().alias("isFraud"))
 
 
+def with_hot_pair(transactions: DataFrame) -> DataFrame:
+    """The transactions, every third of them between the same two accounts."""
+    third = F.pmod("tid", F.lit(3)) == 0
+    named = {"nameOrig": F.when(third, "C0").otherwise(F.col("nameOrig")), "nameDest": F.when(third, "M0").otherwise(F.col("nameDest"))}
+    return transactions.withColumns(named)
