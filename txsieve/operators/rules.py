@@ -68,20 +68,23 @@ class Rule:
             raise ValueError(f"rule {self.rule_id}: {self.value!r} is no {self.value_type}")
         return int(self.value) if self.value_type == "int" else float(self.value)
 
-    def to_column(self, schema: StructType) -> Column:
+    def check(self, schema: StructType) -> None:
+        """Raise unless the rule's attributes are in the schema and compare with its value."""
         left_type = _attribute_type(self, self.attribute, schema)
         if self.value_type == "column":
             right_type = _attribute_type(self, self.value, schema)
-            right = F.col(self.value)
         else:
             right_type = StringType() if self.value_type == "string" else None
-            right = F.lit(self._literal())
         wants_text = isinstance(right_type, StringType)
         if isinstance(left_type, StringType) != wants_text:
             raise ValueError(
                 f"rule {self.rule_id}: {self.attribute} is {left_type.simpleString()}, "
                 f"which does not compare with {self.value_type} {self.value!r}"
             )
+
+    def to_column(self, schema: StructType) -> Column:
+        self.check(schema)
+        right = F.col(self.value) if self.value_type == "column" else F.lit(self._literal())
         return OPERATORS[self.operator](F.col(self.attribute), right)
 
 
@@ -98,6 +101,10 @@ class Compound:
         if self.connector not in CONNECTORS:
             raise ValueError(f"rule {self.rule_id}: unknown connector {self.connector!r}")
 
+    def check(self, schema: StructType) -> None:
+        self.first.check(schema)
+        self.second.check(schema)
+
     def to_column(self, schema: StructType) -> Column:
         first, second = self.first.to_column(schema), self.second.to_column(schema)
         return first & second if self.connector == "AND" else first | second
@@ -180,9 +187,25 @@ def _any(conditions: list[Column]) -> Column:
     return _any(conditions[:middle]) | _any(conditions[middle:])
 
 
+#: A set with more top-level rules than this is looked up in an index instead of being compiled; both find the same.
+MOST_COMPILED = 300
+
+
+def _judged(transactions: DataFrame, rules: RuleSet) -> tuple[DataFrame, Column]:
+    """The transactions, perhaps with further columns, and the condition that some rule holds, never NULL."""
+    if rules.rule_count <= MOST_COMPILED:
+        return transactions, F.coalesce(rules.to_column(transactions.schema), F.lit(False))
+    from txsieve.operators.rule_index import RuleIndex
+
+    return RuleIndex(rules, transactions.schema).matched(transactions)
+
+
 def matching(transactions: DataFrame, rules: RuleSet) -> DataFrame:
     """The transactions that some rule matches, each once, all columns."""
-    return transactions.filter(rules.to_column(transactions.schema))
+    if rules.rule_count <= MOST_COMPILED:
+        return transactions.filter(rules.to_column(transactions.schema))
+    judged, condition = _judged(transactions, rules)
+    return judged.filter(condition).select(*transactions.columns)
 
 
 def matching_view(spark: SparkSession, name: str, rules: RuleSet) -> DataFrame:
@@ -197,11 +220,11 @@ def detections(transactions: DataFrame, rules: RuleSet) -> DataFrame:
 
 def undetected(transactions: DataFrame, rules: RuleSet) -> DataFrame:
     """The transactions no rule matches, undecidable ones included."""
-    condition = rules.to_column(transactions.schema)
-    return transactions.filter(~F.coalesce(condition, F.lit(False)))
+    judged, condition = _judged(transactions, rules)
+    return judged.filter(~condition).select(*transactions.columns)
 
 
 def verdicts(transactions: DataFrame, rules: RuleSet) -> DataFrame:
     """``(tid, isFraud)`` for every transaction, 1 where some rule matches and 0 elsewhere."""
-    condition = F.coalesce(rules.to_column(transactions.schema), F.lit(False))
-    return transactions.select("tid", condition.cast("int").alias("isFraud"))
+    judged, condition = _judged(transactions, rules)
+    return judged.select("tid", condition.cast("int").alias("isFraud"))

@@ -88,6 +88,10 @@ def _confusion(actual: str) -> str:
 FROM ({actual}) a JOIN trdata e ON e.tid = a.tid"""
 
 
+_LEARNED = """(EXISTS (
+    SELECT 1 FROM (SELECT nameDest, max(amount) AS amount FROM past GROUP BY nameDest) h
+    WHERE h.nameDest = live.nameDest AND CAST(live.amount AS DOUBLE) > CAST(h.amount AS DOUBLE))
+  OR (type = 'ERROR' AND floor(newBalanceOrig) IN (SELECT floor(newBalanceOrig) FROM past WHERE type = 'ERROR')))"""
 _QUARANTINE = "SELECT tid, CASE WHEN type = 'ERROR' THEN 1 ELSE 0 END AS quarantined FROM live"
 _VERDICTS = "SELECT tid, byRules AS isFraud FROM trdata"
 _EVAL_PAIRS = f"""SELECT a.tid, e.isFraud AS expected, a.isFraud AS actual
@@ -167,6 +171,8 @@ SELECT l.tid, CAST(coalesce(h.n, 0) AS INT) AS recurrence FROM hot l LEFT JOIN (
     "sql_view_filter": _MATCHING,
     "det_prim": _DET_PRIM,
     "undetected": _UNDETECTED,
+    "rule_index_filter": f"SELECT tid, CAST({_LEARNED} AS INT) AS isFraud FROM live",
+    "rule_index_undetected": f"SELECT {_RAW} FROM live WHERE NOT {_LEARNED}",
     "type_index": "SELECT tid, type, typeIndex FROM trdata JOIN types USING (type)",
     "type_onehot": f"SELECT tid, {_onehot('t')} FROM trdata JOIN types USING (type)",
     "features": f"SELECT tid, {_onehot('f')}, {_numeric_features()} FROM trdata JOIN types USING (type)",

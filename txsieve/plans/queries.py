@@ -13,6 +13,7 @@ from pyspark.sql.types import FloatType, StructType
 from txsieve.functions.messages import decode_messages, encode_messages, parse_messages
 from txsieve.operators import enrich as enriching
 from txsieve.operators import evaluate, model, rules
+from txsieve.operators.rule_index import RuleIndex
 from txsieve.operators.rules import Compound, Rule, RuleSet
 from txsieve.plans import tables
 from txsieve.plans.sample_rules import sample_rule_table, sample_rules
@@ -195,6 +196,18 @@ def undetected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(rules.undetected(tables.enriched_live(spark, sf_dir), sample_rules()))
 
 
+def rule_index_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of a rule set that grows with the history and is looked up in an index."""
+    live, learned = tables.raw_live(spark, sf_dir), tables.learned_rules(spark, sf_dir)
+    judged, condition = RuleIndex(learned, live.schema).matched(live)
+    return judged.select("tid", condition.cast("int").alias("isFraud"))
+
+
+def rule_index_undetected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions that set leaves, compiled or looked up by its size."""
+    return _doubles(rules.undetected(tables.raw_live(spark, sf_dir), tables.learned_rules(spark, sf_dir)))
+
+
 # Models
 
 
@@ -486,6 +499,8 @@ QUERIES: dict[str, Query] = {
     "sql_view_filter": sql_view_filter,
     "det_prim": det_prim,
     "undetected": undetected,
+    "rule_index_filter": rule_index_filter,
+    "rule_index_undetected": rule_index_undetected,
     "type_index": type_index,
     "type_onehot": type_onehot,
     "features": features,

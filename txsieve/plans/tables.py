@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txsieve.operators.enrich import enrich
+from txsieve.operators.rules import Compound, Rule, RuleSet
 from txsieve.sources.messages import FILES_PER_TRIGGER
 
 _SCHEMAS = {
@@ -146,3 +147,27 @@ def with_hot_pair(transactions: DataFrame) -> DataFrame:
     third = F.pmod("tid", F.lit(3)) == 0
     named = {"nameOrig": F.when(third, "C0").otherwise(F.col("nameOrig")), "nameDest": F.when(third, "M0").otherwise(F.col("nameDest"))}
     return transactions.withColumns(named)
+
+
+def learned_rules(spark: SparkSession, sf_dir: str) -> RuleSet:
+    """Rules from the history: a larger amount than any before to a destination, and a failure that leaves a balance as a past one did.
+
+    As many rules as there are destinations and different balances; like every rule set they are job configuration and go to the driver.
+    """
+    past = raw_history(spark, sf_dir)
+    largest = past.groupBy("nameDest").agg(F.max(F.col("amount").cast("double")).alias("amount")).orderBy("nameDest")
+    balances = past.filter(F.col("type") == "ERROR").select(F.floor("newBalanceOrig").alias("balance")).distinct().orderBy("balance")
+    rules: list[Rule | Compound] = []
+
+    def both(first: Rule, second: Rule | Compound) -> Compound:
+        return Compound(len(rules), "AND", first, second)
+
+    for row in largest.collect():
+        to, more = Rule(-1, "nameDest", "equalTo", row["nameDest"], "string"), Rule(-1, "amount", "greaterThan", repr(row["amount"]), "float")
+        rules.append(both(to, more))
+    failed = Rule(-1, "type", "equalTo", "ERROR", "string")
+    for row in balances.collect():
+        low = Rule(-1, "newBalanceOrig", "greaterThanOrEqualTo", str(row["balance"]))
+        high = Rule(-1, "newBalanceOrig", "lessThan", str(row["balance"] + 1))
+        rules.append(both(failed, both(low, high)))
+    return RuleSet(tuple(rules))
