@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -24,6 +26,8 @@ MODELS = ("RANDOM_FOREST", "GBT", "LOGISTIC_REGRESSION")
 
 LABEL = "isFraud"
 SEED = 42
+#: Training rows in one partition, about.
+ROWS_PER_PART = 250_000
 
 
 def feature_stages(handle_invalid: str = "error") -> list:
@@ -58,12 +62,19 @@ def classifier(model: str, seed: int = SEED):
 
 
 def _fit(stages: list, history: DataFrame, columns: list[str]) -> PipelineModel:
-    # Fitting passes over the rows many times: keep just the needed columns, on disk where memory ends.
-    training = history.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    # Fitting passes over the rows many times: keep just the needed columns, on disk where memory ends. Samples are drawn by a
+    # row's place, so the rows are put where their values and number alone say: a fit repeats however its rows came.
+    needed = history.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    training = None
     try:
+        parts = max(1, math.ceil(needed.count() / ROWS_PER_PART))
+        placed = needed.repartition(parts, *columns).sortWithinPartitions(*columns)
+        training = placed.persist(StorageLevel.MEMORY_AND_DISK)
         return Pipeline(stages=stages).fit(training)
     finally:
-        training.unpersist()
+        needed.unpersist()
+        if training is not None:
+            training.unpersist()
 
 
 def fit_features(history: DataFrame, handle_invalid: str = "error") -> PipelineModel:

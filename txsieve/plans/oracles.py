@@ -177,6 +177,7 @@ SELECT l.tid, CAST(coalesce(h.n, 0) AS INT) AS recurrence FROM hot l LEFT JOIN (
     "type_onehot": f"SELECT tid, {_onehot('t')} FROM trdata JOIN types USING (type)",
     "features": f"SELECT tid, {_onehot('f')}, {_numeric_features()} FROM trdata JOIN types USING (type)",
     "score_lr": _BY_PRIOR,
+    **{name: "SELECT tid, 1 AS agrees FROM trdata" for name in ("score_rf_compiled", "score_gbt_compiled", "det_sec_compiled")},
     "undetected_scored": f"SELECT {_ENRICHED} FROM trdata JOIN (SELECT tid FROM byPrior"
     " WHERE byPrior.isFraud = 0) p USING (tid)",
     "score_rf_types": _BY_TYPE,

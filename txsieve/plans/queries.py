@@ -12,7 +12,7 @@ from pyspark.sql.types import FloatType, StructType
 
 from txsieve.functions.messages import decode_messages, encode_messages, parse_messages
 from txsieve.operators import enrich as enriching
-from txsieve.operators import evaluate, model, rules
+from txsieve.operators import evaluate, model, rules, tree_sql
 from txsieve.operators.rule_index import RuleIndex
 from txsieve.operators.rules import Compound, Rule, RuleSet
 from txsieve.plans import tables
@@ -255,6 +255,32 @@ def undetected_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(model.undetected_scored(fitted, tables.enriched_live(spark, sf_dir)))
 
 
+def _compiled_query(name: str) -> Query:
+    """Whether a tree model's verdict by its SQL expression is the one the fitted model gives, for every live transaction."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fitted, live = model.train(tables.labelled_history(spark, sf_dir), name), tables.enriched_live(spark, sf_dir)
+        scored = fitted.transform(live).select("tid", F.col("prediction").cast("int").alias("whole"), *_inputs())
+        trees = tree_sql.compiled(spark, fitted)
+        return scored.select("tid", (trees.to_column() == F.col("whole")).cast("int").alias("agrees"))
+
+    return run
+
+
+def _inputs() -> list[str]:
+    return ["type", *model.NUMERIC_FEATURES]
+
+
+def det_sec_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expression's verdicts as they arrive from its messages, beside the fitted model's."""
+    fitted = model.train(tables.labelled_history(spark, sf_dir), "RANDOM_FOREST")
+    live = tables.enriched_live(spark, sf_dir)
+    sent = encode_messages(tree_sql.score(tree_sql.compiled(spark, fitted), live))
+    found = decode_messages(sent, DETECTION_SCHEMA, fill_missing=True)
+    whole = model.score(fitted, live).withColumnRenamed("isFraud", "whole")
+    return found.join(whole, "tid").select("tid", (F.col("isFraud") == F.col("whole")).cast("int").alias("agrees"))
+
+
 # The models on a label that one input decides, so that SQL can say what each must find
 
 _TWO_TYPES = "type IN ('VIEW', 'CLICK')"
@@ -508,6 +534,9 @@ QUERIES: dict[str, Query] = {
     "score_gbt": _score_query("GBT"),
     "score_lr": _score_query("LOGISTIC_REGRESSION"),
     "det_sec": det_sec,
+    "score_rf_compiled": _compiled_query("RANDOM_FOREST"),
+    "score_gbt_compiled": _compiled_query("GBT"),
+    "det_sec_compiled": det_sec_compiled,
     "undetected_scored": undetected_scored,
     "score_rf_types": _types_query("RANDOM_FOREST"),
     "score_gbt_types": _types_query("GBT"),
