@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from txsieve.config import JobConfig
@@ -7,6 +8,7 @@ from txsieve.functions.messages import encode_messages
 from txsieve.schema import DETECTION_SCHEMA
 from txsieve.sinks import tables as sinks
 from txsieve.sinks.tables import (
+    compact_detections,
     overwrite_table,
     read_detections,
     upsert_detections,
@@ -72,6 +74,51 @@ def test_a_table_can_be_merged_while_its_stream_is_stopped(spark, folder):
     assert _table(spark, new) == [(1, 1), (2, 1), (3, 1), (4, 1)]
 
 
+def test_a_reader_sees_whole_batches_only(spark, folder, monkeypatch):
+    """A batch without its row is not there, a frame read before later batches and merges stays as it is."""
+    path = folder()
+    for batch_id, rows in enumerate([[(1, 1)], [(2, 1)], [(3, 1)]]):
+        upsert_detections(_frame(spark, rows), batch_id, path)
+    before = read_detections(spark, path)
+    monkeypatch.setattr(sinks.commits, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        upsert_detections(_frame(spark, [(4, 1), (1, 0)]), 3, path)
+    monkeypatch.undo()
+    assert _table(spark, path) == [(1, 1), (2, 1), (3, 1)]
+    upsert_detections(_frame(spark, [(4, 1), (1, 0)]), 3, path)
+    assert compact_detections(spark, path) == 3
+    upsert_detections(_frame(spark, [(5, 0)]), 4, path)
+    assert sorted(before.collect()) == [(1, 1), (2, 1), (3, 1)]
+    assert _table(spark, path) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 0)]
+
+
+def test_a_complete_batch_is_not_written_again(spark, folder):
+    path = folder()
+    upsert_detections(_frame(spark, [(1, 1)]), 0, path)
+    upsert_detections(_frame(spark, [(2, 1)]), 1, path)
+    files = {r[0] for r in spark.read.parquet(f"{path}/batch_id=1").select("_metadata.file_path").collect()}
+    upsert_detections(_frame(spark, [(2, 1)]), 1, path)
+    assert {r[0] for r in spark.read.parquet(f"{path}/batch_id=1").select("_metadata.file_path").collect()} == files
+
+
+def test_merged_parts_are_read_instead_of_their_batches(spark, folder):
+    path = folder()
+    for batch_id in range(6):
+        upsert_detections(_frame(spark, [(batch_id, batch_id % 2), (7, batch_id % 2)]), batch_id, path)
+    expected = [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 1), (7, 1)]
+    assert compact_detections(spark, path) == 5
+    assert compact_detections(spark, path) == 5
+    assert _table(spark, path) == expected
+    read = {r[0] for r in sinks._snapshot(spark, path)[0].select("_metadata.file_path").distinct().collect()}
+    assert read and all("_merged/upto=5/" in name for name in read)
+    upsert_detections(_frame(spark, [(0, 1)]), 6, path)
+    assert compact_detections(spark, path) == 6
+    assert _table(spark, path) == [(0, 1), *expected[1:]]
+    # A new stream starts the table over.
+    upsert_detections(_frame(spark, [(9, 1)]), 0, path)
+    assert _table(spark, path) == [(9, 1)]
+
+
 def test_write_batch_keeps_copies(spark, folder):
     path = folder()
     write_batch(_frame(spark, [(1, 1), (1, 1)]), 0, path)

@@ -19,10 +19,11 @@ from txsieve.config import JobConfig
 from txsieve.operators import evaluate, model
 from txsieve.operators.enrich import PAIR, pair_counts
 from txsieve.operators.rules import RuleSet
-from txsieve.schema import DETECTION_SCHEMA, ENRICHED_SCHEMA, LABELLED_SCHEMA
+from txsieve.schema import DETECTION_SCHEMA, ENRICHED_SCHEMA, LABELLED_SCHEMA, RAW_SCHEMA
 from txsieve.session import build_session
-from txsieve.sinks.messages import KafkaTopic, MessageFolder
+from txsieve.sinks.messages import KafkaTopic, MessageFolder, RecordTable
 from txsieve.sinks.tables import (
+    compact_detections,
     overwrite_jdbc,
     overwrite_table,
     save_bucketed,
@@ -106,7 +107,13 @@ def _run_enrichment(at: _Places, args: argparse.Namespace, outputs: list[jobs.Wr
 
 
 def _enrich(at: _Places, args: argparse.Namespace) -> None:
-    _run_enrichment(at, args, [at.sink(args.to).write_records])
+    if args.exactly_once:
+        past = (args.pair_counts, _PAIR_COUNTS) if args.pair_counts else (args.history, _ACCOUNTS)
+        history, listed = at.table(*past), at.table(args.blacklist, "accountNumber string")
+        messages = jobs.enriched_messages(at.messages(args.source), history, listed, strict=not args.quarantine)
+        _send(at, args, messages, RAW_SCHEMA)
+    else:
+        _run_enrichment(at, args, [at.sink(args.to).write_records])
 
 
 def _screen(at: _Places, args: argparse.Namespace) -> None:
@@ -129,7 +136,25 @@ def _fitted(at: _Places, args: argparse.Namespace, history: str | None) -> Pipel
 
 
 def _train(at: _Places, args: argparse.Namespace) -> None:
-    model.save(_fitted(at, args, args.history), args.to)
+    fitted = _fitted(at, args, args.history)
+    if args.publish:
+        print(f"version {model.publish(fitted, at.spark, args.to)}")
+    else:
+        model.save(fitted, args.to)
+
+
+def _score_versions(at: _Places, args: argparse.Namespace) -> None:
+    source = at.messages(args.source)
+    at.spark.streams.resetTerminated()
+    write = RecordTable(args.to).write_records
+    query = jobs.start_model_versions(
+        source, args.models, write, args.checkpoint, args.available_now, strict=not args.quarantine
+    )
+    _finish(at, args, query, source, ENRICHED_SCHEMA)
+
+
+def _compact(at: _Places, args: argparse.Namespace) -> None:
+    print(f"batches up to {compact_detections(at.spark, args.table)} are merged")
 
 
 def _rules(at: _Places, args: argparse.Namespace) -> None:
@@ -143,10 +168,12 @@ def _score(at: _Places, args: argparse.Namespace) -> None:
     _send(at, args, build(at.messages(args.source), fitted, strict=not args.quarantine))
 
 
-def _send(at: _Places, args: argparse.Namespace, messages: DataFrame) -> None:
+def _send(
+    at: _Places, args: argparse.Namespace, messages: DataFrame, schema: StructType = ENRICHED_SCHEMA
+) -> None:
     at.spark.streams.resetTerminated()
     query = jobs.start_messages(messages, at.sink(args.to), args.checkpoint, args.available_now)
-    _finish(at, args, query, at.messages(args.source), ENRICHED_SCHEMA)
+    _finish(at, args, query, at.messages(args.source), schema)
 
 
 def _finish(
@@ -215,7 +242,13 @@ def _parser() -> argparse.ArgumentParser:
         past.add_argument("--pair-counts", help="table made by the job pair-counts")
         command.add_argument("--blacklist", required=True)
 
-    lookups(stream("enrich", _enrich, "raw messages to enriched ones"))
+    enrich = stream("enrich", _enrich, "raw messages to enriched ones")
+    lookups(enrich)
+    enrich.add_argument(
+        "--exactly-once",
+        action="store_true",
+        help="into a folder that other jobs may read live; lookups are read once, at the job's start",
+    )
 
     screen = stream("screen", _screen, "raw messages to both detectors' tables in one job", to=False)
     lookups(screen)
@@ -244,6 +277,14 @@ def _parser() -> argparse.ArgumentParser:
     train.add_argument("--model", required=True, choices=model.MODELS)
     train.add_argument("--to", required=True, help="folder of the model, replaced if it exists")
     train.add_argument("--handle-invalid", default="error", choices=("error", "keep"))
+    train.add_argument("--publish", action="store_true", help="as the next version of a folder, for the job score-versions")
+
+    versions = stream("score-versions", _score_versions, "verdicts of the latest model of a folder into a table")
+    versions.add_argument("--models", required=True, help="folder of models that train --publish fills")
+
+    compact = commands.add_parser("compact", help="merge the batches of a detection table, also while its job runs")
+    compact.set_defaults(run=_compact)
+    compact.add_argument("--table", required=True)
 
     keep = stream("keep", _keep, "detection messages into a table")
     keep.add_argument("--starting", default="earliest", choices=("earliest", "latest"))

@@ -8,9 +8,11 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txsieve.sinks import commits
+
 # The inputs of the model after the encoded type, and the classifiers' parameters.
 NUMERIC_FEATURES = [
     "amount",
@@ -107,3 +109,20 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def version_path(folder: str, version: int) -> str:
+    return f"{folder.rstrip('/')}/version={version}"
+
+
+def latest_version(spark: SparkSession, folder: str) -> int | None:
+    """The number of the latest complete model of a folder, None without one."""
+    return commits.latest(spark, folder, "model")
+
+
+def publish(model: PipelineModel, spark: SparkSession, folder: str) -> int:
+    """Save a model as the next version of a folder and give its number. Jobs take it once it is complete; older versions stay."""
+    version = (latest_version(spark, folder) or 0) + 1
+    save(model, version_path(folder, version))
+    commits.commit(spark, folder, "model", version)
+    return version

@@ -45,9 +45,10 @@ trdata AS (SELECT * FROM labelled WHERE step >= 360),
 types AS (
   SELECT type, CAST(row_number() OVER (ORDER BY count(*) DESC, type) - 1 AS DOUBLE) AS typeIndex
   FROM trhistory GROUP BY type),
--- At zero coefficients no gradient exceeds the label's deviation sqrt(p * (1 - p)), where p is the
--- share of frauds. The L1 penalty, regParam * elasticNetParam = 0.24, is above that while p < 0.061,
--- so all coefficients are 0 and the model predicts the more frequent label throughout.
+-- At zero coefficients a feature's gradient is its correlation with the label times the label's deviation
+-- sqrt(p * (1 - p)), where p is the share of frauds. With p below 0.09 that is under the L1 penalty, regParam *
+-- elasticNetParam = 0.24, for correlations up to 0.83, which no single feature here comes near. So all
+-- coefficients are 0 and the model predicts the more frequent label throughout.
 byPrior AS (
   SELECT tid, CASE WHEN (SELECT avg(isFraud) FROM trhistory) > 0.5 THEN 1 ELSE 0 END AS isFraud
   FROM trdata)
@@ -198,6 +199,10 @@ SELECT l.tid, CAST(coalesce(h.n, 0) AS INT) AS recurrence FROM hot l LEFT JOIN (
     "stream_keep_quarantine": "SELECT tid, byRules AS quarantined FROM trdata",
     "stream_undetected": _UNDETECTED,
     "stream_sink_upsert": _DET_PRIM,
+    "stream_snapshots": _DET_PRIM,
+    "stream_fan_out": "SELECT tid, CAST(1 AS BIGINT) AS first_times, CAST(1 AS BIGINT) AS second_times FROM live",
+    "stream_chain": _DET_PRIM,
+    "stream_model_versions": _BY_PRIOR,
     "stream_screening": f"SELECT tid, isFraud, 'rules' AS detector FROM ({_DET_PRIM}) r"
     f" UNION ALL SELECT tid, isFraud, 'model' AS detector FROM ({_BY_PRIOR}) m",
     "stream_score": _BY_PRIOR,

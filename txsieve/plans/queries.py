@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import FloatType, StructType
 
 from txsieve.functions.messages import decode_messages, encode_messages, parse_messages
@@ -465,6 +467,87 @@ def stream_keep_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(sinks.read_detections(spark, table), _set_aside(spark, topic, DETECTION_SCHEMA))
 
 
+def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections kept in a table that is merged after every second batch while its stream runs."""
+    topic, table = new_run_folder(spark, "topic"), new_run_folder(spark, "detections")
+    found = encode_messages(rules.detections(tables.enriched_live(spark, sf_dir), sample_rules()))
+    sinks.overwrite_table(found.repartition(4, "key"), topic)
+    write = jobs.detection_table(table)
+
+    def write_and_merge(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        if batch_id % 2:
+            sinks.compact_detections(spark, table)
+
+    source = read_message_table(spark, topic, stream=True, files_per_trigger=1)
+    checkpoint = new_run_folder(spark, "checkpoint")
+    jobs.start_detection_sink(source, write_and_merge, checkpoint, available_now=True).awaitTermination()
+    return sinks.read_detections(spark, table)
+
+
+def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two outputs that only ever add got each transaction, of which the second fails at its first batch and the job is restarted."""
+    folders, checkpoint = [new_run_folder(spark, "output") for _ in range(2)], new_run_folder(spark, "checkpoint")
+    failed = []
+
+    def adds(folder: str) -> jobs.WriteBatch:
+        return lambda batch, batch_id: batch.write.mode("append").parquet(folder)
+
+    def fails_once(batch: DataFrame, batch_id: int) -> None:
+        if not failed:
+            failed.append(batch_id)
+            raise RuntimeError("the second output's first attempt")
+        adds(folders[1])(batch, batch_id)
+
+    def start() -> StreamingQuery:
+        return jobs.start_enrichment(
+            encode_messages(tables.raw_live_stream(spark, sf_dir)),
+            history=lambda: tables.raw_history(spark, sf_dir),
+            blacklist=lambda: tables.blacklist(spark, sf_dir),
+            outputs=[adds(folders[0]), fails_once],
+            checkpoint=checkpoint,
+            available_now=True,
+        )
+
+    try:
+        start().awaitTermination()
+    except StreamingQueryException:
+        spark.streams.resetTerminated()
+    start().awaitTermination()
+    counted = [
+        read_table(spark, folder, ENRICHED_SCHEMA).groupBy("tid").agg(F.count("*").alias(f"{name}_times"))
+        for folder, name in zip(folders, ("first", "second"), strict=True)
+    ]
+    return counted[0].join(counted[1], "tid", "full")
+
+
+def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule job on a folder that the enrichment job fills so that each message comes once."""
+    raw = encode_messages(tables.raw_live_stream(spark, sf_dir))
+    enriched = jobs.enriched_messages(raw, tables.raw_history(spark, sf_dir), tables.blacklist(spark, sf_dir))
+    source = read_message_table(spark, _send(spark, enriched), stream=True)
+    return decode_messages(read_message_table(spark, _send(spark, jobs.rule_messages(source, sample_rules()))), DETECTION_SCHEMA)
+
+
+def stream_model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the latest of a folder's models, of which a second one comes while the stream runs."""
+    models, topic, table = (new_run_folder(spark, name) for name in ("models", "topic", "verdicts"))
+    fitted = model.train(tables.labelled_history(spark, sf_dir), "LOGISTIC_REGRESSION")
+    model.publish(fitted, spark, models)
+    sinks.overwrite_table(encode_messages(tables.enriched_live(spark, sf_dir)).repartition(3, "key"), topic)
+    write = RecordTable(table).write_records
+
+    def write_and_publish(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        if batch_id == 0:
+            model.publish(fitted, spark, models)
+
+    source = read_message_table(spark, topic, stream=True, files_per_trigger=1)
+    checkpoint = new_run_folder(spark, "checkpoint")
+    jobs.start_model_versions(source, models, write_and_publish, checkpoint, available_now=True).awaitTermination()
+    return read_table(spark, table, DETECTION_SCHEMA).select("tid", "isFraud")
+
+
 def stream_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One job that enriches each batch once and keeps the verdicts of both detectors."""
     fitted = model.train(tables.labelled_history(spark, sf_dir), "LOGISTIC_REGRESSION")
@@ -556,6 +639,10 @@ QUERIES: dict[str, Query] = {
     "stream_quarantine": stream_quarantine,
     "stream_rule_quarantine": stream_rule_quarantine,
     "stream_keep_quarantine": stream_keep_quarantine,
+    "stream_snapshots": stream_snapshots,
+    "stream_fan_out": stream_fan_out,
+    "stream_chain": stream_chain,
+    "stream_model_versions": stream_model_versions,
     "stream_screening": stream_screening,
     "stream_score": stream_score,
     "sink_overwrite": sink_overwrite,

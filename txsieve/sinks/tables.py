@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txsieve.config import JobConfig
+from txsieve.sinks import commits
 from txsieve.sources.tables import jdbc_options, read_jdbc
 
 
+#: Where merged parts of a table lie; readers of the batches alone pass over it.
+_MERGED = "_merged"
+
+
 def overwrite_table(df: DataFrame, path: str) -> None:
     """Replace the rows of a Parquet table."""
     df.write.mode("overwrite").parquet(path)
@@ -36,16 +41,19 @@ def write_text(messages: DataFrame, path: str) -> None:
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
-    """Write one batch of a stream into its own part of a table of files.
+    """Write one batch of a stream into its own part of a table of files, and then a row that says it is complete.
 
-    A repeated batch replaces what it wrote before. Batch 0, the first of a new checkpoint, empties the
-    table; a restarted stream goes on with later numbers and keeps it.
+    A repeated batch that was complete is left as it is, so that no file changes under a reader; one that wasn't is replaced. Batch 0, the
+    first of a new checkpoint, empties the table; a restarted stream goes on with later numbers and keeps it.
     """
+    spark = df.sparkSession
     if batch_id == 0:
-        writer = df.withColumn("batch_id", F.lit(0)).write.partitionBy("batch_id")
-        writer.option("partitionOverwriteMode", "static").mode("overwrite").format(fmt).save(path)
-    else:
-        df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+        nothing = df.limit(0).withColumn("batch_id", F.lit(0)).write.partitionBy("batch_id")
+        nothing.option("partitionOverwriteMode", "static").mode("overwrite").format(fmt).save(path)
+    elif commits.done(spark, path, ["batch"], batch_id):
+        return
+    df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+    commits.commit(spark, path, "batch", batch_id)
 
 
 def upsert_detections(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -74,9 +82,45 @@ def _exceeding(fresh: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``tid`` of a table written by :func:`upsert_detections`."""
-    stored = spark.read.schema("tid long, isFraud int, batch_id long").parquet(path)
-    return _one_per_tid(stored.select("tid", "isFraud"))
+    """One row per ``tid`` of a table written by :func:`upsert_detections`, as it was after one of its batches.
+
+    What is complete is looked up first; later batches and later merges are not part of the frame, however long it is used.
+    """
+    return _one_per_tid(_snapshot(spark, path)[0])
+
+
+def compact_detections(spark: SparkSession, path: str) -> int | None:
+    """Merge the complete batches of a table into one part, and give the last of them; None if no batch is complete.
+
+    The stream may go on meanwhile: its next batches are parts of their own, which readers add to the merged one. The merged part
+    counts from the moment its row is written. Readers that started before go on with the batches, which stay where they are; the folders
+    of batches up to the number given may be removed once no such reader is left.
+    """
+    snapshot, upto = _snapshot(spark, path)
+    if upto is None:
+        return None
+    if commits.latest(spark, path, "merged") != upto:
+        _one_per_tid(snapshot).write.mode("overwrite").parquet(f"{path}/{_MERGED}/upto={upto}")
+        commits.commit(spark, path, "merged", upto)
+    return upto
+
+
+def _snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int | None]:
+    """The rows of the last merged part and of the complete batches after it, and the last batch among them."""
+    merged = commits.latest(spark, path, "merged")
+    batches = commits.complete(spark, path, "batch", -1 if merged is None else merged)
+    schema = "tid long, isFraud int"
+    if batches is None:
+        # A table of before there were such rows.
+        return spark.read.schema(f"{schema}, batch_id long").parquet(path).select("tid", "isFraud"), None
+    # The folders are named, so older ones aren't listed.
+    parts = [f"{path}/batch_id={number}" for number in batches]
+    if merged is not None:
+        parts.append(f"{path}/{_MERGED}/upto={merged}")
+    upto = max([*batches, *([] if merged is None else [merged])], default=None)
+    if not parts:
+        return spark.createDataFrame([], schema), None
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*parts), upto
 
 
 def upsert_detections_jdbc(
