@@ -216,8 +216,8 @@ class UnitTable:
     starts again with none, and it is tested after each run of ``RUN_CHARACTERS``, within a text too.
     """
 
-    def __init__(self, encode_units: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], most_bytes: int = TABLE_BYTES):
-        self.encode_units, self.most_bytes = encode_units, most_bytes
+    def __init__(self, encode_units: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], most_bytes: int = TABLE_BYTES, run: int | None = None):
+        self.encode_units, self.most_bytes, self.run = encode_units, most_bytes, run
         self.odd = regex.compile(r"\s[ \n]")
         self.units = regex.compile(r"\s*\S+|\s+")
         self.border = regex.compile(r"\S(?=\s)")
@@ -226,7 +226,7 @@ class UnitTable:
     def _forget(self) -> None:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.flat, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.flat, self.counts, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.bytes = 0
 
     def _keys(self, text: str) -> list[str]:
@@ -240,18 +240,18 @@ class UnitTable:
 
     def _runs(self, texts: Sequence[str]) -> Iterator[tuple[list[str], bool]]:
         """Consecutive texts of bounded length together, and whether the last one ends with them; a longer text in parts that end where a unit does."""
-        held, size = [], 0
+        held, size, most = [], 0, self.run or RUN_CHARACTERS
         for text in texts:
             start = 0
-            while len(text) - start > RUN_CHARACTERS:
-                border = self.border.search(text, start + RUN_CHARACTERS)
+            while len(text) - start > most:
+                border = self.border.search(text, start + most)
                 if not border:
                     break
                 yield [*held, text[start : border.end()]], False
                 held, size, start = [], 0, border.end()
             held.append(text[start:] if start else text)
             size += len(held[-1])
-            if size > RUN_CHARACTERS:
+            if size > most:
                 yield held, True
                 held, size = [], 0
         if held:
@@ -281,12 +281,12 @@ class UnitTable:
         if len(self.number) > known:
             fresh = [k if k[:1] == "\n" else k[1:] if k[:1] == " " else " " + k for k in islice(self.number, known, None)]
             flat, counts = self.encode_units(fresh)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
             self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
             self.bytes += _UNIT_COST * len(fresh) + sum(map(len, fresh)) + 4 * len(flat)
-        starts = np.cumsum(self.counts) - self.counts
         each = self.counts[codes]
         ends = np.cumsum(each)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + each, each)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[codes] - ends + each, each)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         totals = np.concatenate([[0], ends])[bounds]
         return self.flat[at], np.diff(totals)

@@ -23,7 +23,7 @@ END = 2
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 4096
 #: What a Python worker's table of encoded units may take; the library itself remembers nothing.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 160 << 20
 
 
 class WaveletMatrix:
@@ -167,7 +167,7 @@ class LibraryCoder:
 
 
 def library_units(text: str) -> UnitTable:
-    return UnitTable(LibraryCoder(text), TABLE_BYTES)
+    return UnitTable(LibraryCoder(text), TABLE_BYTES, run=4 << 20)
 
 
 def _archive_rows(stored):
