@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txsieve.llm.common import cut, slices, table, text_bytes
@@ -237,6 +237,37 @@ def _can_link(percent: int):
     return lengths & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= least)
 
 
+#: Partners' sizes are told apart by at least this many classes for each doubling of the size.
+SIZE_CLASSES = 64
+
+
+def _width(size: Column) -> Column:
+    """How many sizes make a class for a set of this size: a power of two, 1 for small sets."""
+    bits = F.length(F.bin(size)) - 1 - (SIZE_CLASSES.bit_length() - 1)
+    return F.pow(F.lit(2), F.greatest(F.lit(0), bits)).cast("long")
+
+
+def _probes(member: DataFrame, percent: int) -> DataFrame:
+    """Each row of a list for each class of sizes that its length and place in the set's order leave for a partner, with the class's ``width`` and ``kind``.
+
+    A partner of size t shares at least percent * (size + t) / (100 + percent) n-grams, of which none come before this place.
+    """
+    size, left = F.col("size"), F.col("size") - F.col("place")
+    least = F.ceil(percent * size / 100).cast("long")
+    most = F.least(F.floor(100 * size / percent), F.floor(left * (100 + percent) / percent) - size).cast("long")
+    ranged = member.withColumn("width", _width(size)).withColumn("least", least).withColumn("most", most).filter("most >= least")
+    kinds = F.sequence(F.floor(F.col("least") / F.col("width")), F.floor(F.col("most") / F.col("width")))
+    return ranged.withColumn("kind", F.explode(kinds)).drop("least", "most")
+
+
+def _homes(member: DataFrame) -> DataFrame:
+    """Each row of a list under its own size's class, for every width that a partner may have."""
+    own = _width(F.col("size"))
+    widths = F.array_distinct(F.array(F.greatest(F.lit(1).cast("long"), F.floor(own / 2).cast("long")), own, 2 * own))
+    spread = member.withColumn("width", F.explode(widths))
+    return spread.withColumn("kind", F.floor(F.col("size") / F.col("width")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the edges (a, b): the least node that links reach.
 
@@ -292,7 +323,8 @@ def class_links(sets: DataFrame, percent: int, rounds: int = HUB_ROUNDS) -> Data
 
     Sets meet where their prefixes share an n-gram. In the first rounds each set is compared with one hub, which joins large groups of near copies
     by as many pairs as they have members. Then all pairs of one list that are still in different components, and pass the length and
-    positional filters, are compared, each pair once. Pairs within a component need no comparison, and members of a list's largest component
+    positional filters, are compared. These filters are part of the join's key, by classes of sizes, so that pairs which can't pass
+    aren't formed, however long a list is. Pairs within a component need no comparison, and members of a list's largest component
     are not paired with each other.
     """
     prefix = cut(sets.mapInArrow(_prefix_rows(percent), _PREFIX), "join-prefix")
@@ -305,9 +337,9 @@ def class_links(sets: DataFrame, percent: int, rounds: int = HUB_ROUNDS) -> Data
         groups = components(links).withColumnRenamed("node", "name").withColumnRenamed("comp", "now")
         member = member.join(groups, "name", "left").withColumn("comp", F.coalesce("now", "name")).drop("now", "main")
         member = _open_lists(cut(member, "join-members"))
+    probes = _probes(member.filter("comp <> main"), percent).alias("x")
     pairs = (
-        member.filter("comp <> main").alias("x")
-        .join(member.alias("y"), "code")
+        probes.join(_homes(member).alias("y"), ["code", "width", "kind"])
         .filter(F.expr("x.comp <> y.comp AND (y.comp = y.main OR x.name < y.name)") & _can_link(percent))
         .select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
         .distinct()
