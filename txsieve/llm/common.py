@@ -29,6 +29,14 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """A column name that isn't among the taken ones."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def text_bytes(name: str = "text") -> Column:
     """The text as UTF-8, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias("text")

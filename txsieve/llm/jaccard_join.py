@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txsieve.llm.common import cut, slices, table, text_bytes
+from txsieve.llm.common import cut, slices, table, text_bytes, unused
 from txsieve.llm.packing import BUCKET_BITS, grams, hash_words, pack, unpack, words_of
 
 N = 5
@@ -20,7 +20,6 @@ KEY_BITS = 48
 KEY_BYTES = 5  # of a key, its bucket gives the rest
 BLOCK_TOKENS = 4 << 20
 HUB_ROUNDS = 1
-_ROW = "_row"
 _LOW = np.uint64((1 << (KEY_BITS - BUCKET_BITS)) - 1)
 
 
@@ -379,17 +378,18 @@ def keep_one(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFr
     Rows are told apart by numbers of their own, written with them, so that rows of one doc_id or of none stay or go by their own texts. Rows
     without words are components of their own and all stay.
     """
-    rows = cut(documents.select("*", F.monotonically_increasing_id().alias(_ROW)), "join-rows")
-    found = near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias(_ROW), "component_id")
+    own = unused("_row", documents.columns)
+    rows = cut(documents.select("*", F.monotonically_increasing_id().alias(own)), "join-rows")
+    found = near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias(own), "component_id")
     found = cut(found, "join-found")
-    shared = cut(found.filter(F.col(_ROW) != F.col("component_id")).select("component_id").distinct(), "join-shared")
+    shared = cut(found.filter(F.col(own) != F.col("component_id")).select("component_id").distinct(), "join-shared")
     members = cut(found.join(shared, "component_id"), "join-members")
     id_ = F.col("doc_id").cast("long")
-    rank = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64("text").alias("hash"), F.col(_ROW))
-    ranked = rows.select(_ROW, rank.alias("rank")).join(members, _ROW)
-    kept = cut(ranked.groupBy("component_id").agg(F.min("rank").alias("kept")).select("component_id", F.col(f"kept.{_ROW}").alias("kept")), "join-kept")
-    drop = cut(members.join(kept, "component_id").filter(F.col(_ROW) != F.col("kept")).select(_ROW), "join-drop")
-    return rows.join(drop, _ROW, "left_anti").select(*documents.columns)
+    rank = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64("text").alias("hash"), F.col(own))
+    ranked = rows.select(own, rank.alias("rank")).join(members, own)
+    kept = cut(ranked.groupBy("component_id").agg(F.min("rank").alias("kept")).select("component_id", F.col(f"kept.{own}").alias("kept")), "join-kept")
+    drop = cut(members.join(kept, "component_id").filter(F.col(own) != F.col("kept")).select(own), "join-drop")
+    return rows.join(drop, own, "left_anti").select(*documents.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def copies(key: str, rate: Column, seed: str) -> Column:
 def plan_mix(
     documents: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix", key: str = "doc_id"
 ) -> DataFrame:
-    """All columns of ``documents`` with mix_size, mix_source_size, mix_target and mix_copies.
+    """All columns of ``documents`` with mix_size, mix_source_size, mix_target and mix_copies, which it has no columns of its own for; see :func:`mix`.
 
     Null text and text without words have size 0; null is a source of its own. Rows with one ``key`` draw alike, so reruns agree. A source's sizes are summed before anything is moved; its one row then meets the documents in
     a join that adaptive execution broadcasts or splits, so that a hot source is not one task's work. An empty table gives no rows.
@@ -81,7 +81,10 @@ def row_keys(documents: DataFrame) -> DataFrame:
     the order in which the input is read; rows that don't repeat keep their keys however that is.
     """
     hashed = documents.select(
-        "*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("mix_id"), F.xxhash64("text").alias("mix_hash"), F.monotonically_increasing_id().alias("mix_row")
+        "*",
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("mix_id"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("mix_hash"),
+        F.monotonically_increasing_id().alias("mix_row"),
     )
     count = hashed.groupBy("mix_id", "mix_hash").agg(F.count("*").alias("mix_n")).filter("mix_n > 1")
     joined = hashed.join(cut(count, "mix-repeated"), ["mix_id", "mix_hash"], "left")
@@ -91,15 +94,17 @@ def row_keys(documents: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:
-    """The mixed documents: each row of ``documents`` as often as the plan says, with its own columns only. Each row draws by itself."""
-    planned = plan_mix(row_keys(documents), key="mix_key", **how).filter(F.col("mix_copies") > 0)
+    """The mixed documents: each row of ``documents`` as often as the plan says, with its own columns only, whatever their names. Each row draws by itself."""
+    whole = F.struct(*[F.col(f"`{name}`") for name in documents.columns]).alias("mix_document")
+    packed = documents.select(whole, "doc_id", "source", "text")
+    planned = plan_mix(row_keys(packed), key="mix_key", **how).filter(F.col("mix_copies") > 0)
     repeated = planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return repeated.select(*documents.columns)
+    return repeated.select("mix_document.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return plan_mix(documents).select(
+    return plan_mix(row_keys(documents), key="mix_key").select(
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
@@ -111,7 +116,9 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 #: The same for DuckDB. Strings compare there by their UTF-8 bytes too, that is by code point.
 OP4_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS name, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), keyed AS (
+  SELECT *, name || CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN ':' || row_number() OVER (PARTITION BY name) ELSE '' END AS key FROM sized
 ), per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -130,8 +137,8 @@ WITH sized AS (
 ), planned AS (
   SELECT s.doc_id, s.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+         ('0x' || substr(md5('mix:' || s.key), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+  FROM keyed s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target,
        (least(3, floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
