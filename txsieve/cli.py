@@ -2,7 +2,7 @@
 
 Messages are named ``kafka:TOPIC``, ``lines:FOLDER`` (JSON lines) or a folder of Parquet messages.
 Tables are a Parquet folder, ``table:NAME`` of the catalog, ``jdbc:TABLE``, or
-``jdbc:TABLE@COLUMN:LOW:HIGH:PARTS`` for a split scan.
+``jdbc:TABLE@COLUMN:LOW:HIGH:PARTS`` for a split scan; pair counts also ``parts:FOLDER``.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from txsieve.operators.rules import RuleSet
 from txsieve.schema import DETECTION_SCHEMA, ENRICHED_SCHEMA, LABELLED_SCHEMA, RAW_SCHEMA
 from txsieve.session import build_session
 from txsieve.sinks.messages import KafkaTopic, MessageFolder, RecordTable
+from txsieve.sinks.pair_counts import PARTS, add_pair_counts, merge_pair_counts, read_pair_counts, start_pair_counts
 from txsieve.sinks.tables import (
     compact_detections,
     overwrite_jdbc,
@@ -95,9 +96,11 @@ class _Places:
 def _run_enrichment(at: _Places, args: argparse.Namespace, outputs: list[jobs.WriteBatch]) -> None:
     quarantine = args.quarantine
     past = (args.pair_counts, _PAIR_COUNTS) if args.pair_counts else (args.history, _ACCOUNTS)
+    kind, _, folder = (args.pair_counts or "").partition(":")
     jobs.start_enrichment(
         at.messages(args.source),
         history=lambda: at.table(*past),
+        counts_for=(lambda batch: read_pair_counts(at.spark, folder, batch)) if kind == "parts" else None,
         blacklist=lambda: at.table(args.blacklist, "accountNumber string"),
         outputs=outputs,
         quarantine=(lambda df, batch_id: write_batch(df, batch_id, quarantine)) if quarantine else None,
@@ -109,7 +112,9 @@ def _run_enrichment(at: _Places, args: argparse.Namespace, outputs: list[jobs.Wr
 def _enrich(at: _Places, args: argparse.Namespace) -> None:
     if args.exactly_once:
         past = (args.pair_counts, _PAIR_COUNTS) if args.pair_counts else (args.history, _ACCOUNTS)
-        history, listed = at.table(*past), at.table(args.blacklist, "accountNumber string")
+        kind, _, folder = past[0].partition(":")
+        history = read_pair_counts(at.spark, folder) if kind == "parts" else at.table(*past)
+        listed = at.table(args.blacklist, "accountNumber string")
         messages = jobs.enriched_messages(at.messages(args.source), history, listed, strict=not args.quarantine)
         _send(at, args, messages, RAW_SCHEMA)
     else:
@@ -153,6 +158,10 @@ def _score_versions(at: _Places, args: argparse.Namespace) -> None:
     _finish(at, args, query, source, ENRICHED_SCHEMA)
 
 
+def _merge_counts(at: _Places, args: argparse.Namespace) -> None:
+    print(f"layers up to {merge_pair_counts(at.spark, args.table.removeprefix('parts:'))} are merged")
+
+
 def _compact(at: _Places, args: argparse.Namespace) -> None:
     print(f"batches up to {compact_detections(at.spark, args.table)} are merged")
 
@@ -202,9 +211,14 @@ def _keep(at: _Places, args: argparse.Namespace) -> None:
 
 
 def _pair_counts(at: _Places, args: argparse.Namespace) -> None:
-    counts = pair_counts(at.table(args.history, _ACCOUNTS))
+    past = at.table(args.history, _ACCOUNTS)
+    counts = pair_counts(past)
     kind, _, table = args.to.partition(":")
-    if kind == "table":
+    if kind == "parts" and args.add:
+        print(f"layer {add_pair_counts(past, table)}")
+    elif kind == "parts":
+        start_pair_counts(past, table, args.parts)
+    elif kind == "table":
         save_bucketed(counts, table, PAIR, args.buckets)
     else:
         at.overwrite(counts, args.to)
@@ -293,8 +307,14 @@ def _parser() -> argparse.ArgumentParser:
     counts.set_defaults(run=_pair_counts)
     counts.add_argument("--history", required=True)
     counts.add_argument("--to", required=True)
+    counts.add_argument("--parts", type=int, default=PARTS, help="of a new parts:FOLDER, of which a batch reads its own parts")
+    counts.add_argument("--add", action="store_true", help="add to a parts:FOLDER instead of starting it")
     counts.add_argument("--buckets", type=int, default=1024, help="of a table:NAME, which is kept in buckets")
 
+    merge = commands.add_parser("merge-pair-counts", help="sum the layers of a parts:FOLDER, also while jobs read it")
+    merge.set_defaults(run=_merge_counts)
+    merge.add_argument("--table", required=True)
+
     judge = commands.add_parser("evaluate", help="detections against expected labels")
     judge.set_defaults(run=_evaluate)
     judge.add_argument("--detections", required=True)

@@ -140,6 +140,7 @@ _BODIES = {
     " FROM trdata WHERE byRules = 1",
     "encode_enriched": f"SELECT CAST(tid AS VARCHAR) AS key, {_json_of_enriched()} AS value FROM trdata",
     "recurrence": "SELECT tid, recurrence FROM trdata",
+    "recurrence_parts": "SELECT tid, recurrence FROM trdata",
     "recurrence_hot_pair": """, hot AS (
   SELECT tid, step, CASE WHEN tid % 3 = 0 THEN 'C0' ELSE nameOrig END AS nameOrig,
     CASE WHEN tid % 3 = 0 THEN 'M0' ELSE nameDest END AS nameDest FROM tx)
@@ -193,6 +194,7 @@ SELECT l.tid, CAST(coalesce(h.n, 0) AS INT) AS recurrence FROM hot l LEFT JOIN (
     "eval_metrics": _metrics(_VERDICTS),
     "eval_metrics_scored": _metrics(_BY_PRIOR),
     "stream_enrich": f"SELECT {_ENRICHED} FROM trdata",
+    "stream_enrich_parts": f"SELECT {_ENRICHED} FROM trdata",
     "stream_rule_filter": _DET_PRIM,
     "stream_quarantine": _QUARANTINE,
     "stream_rule_quarantine": _QUARANTINE,

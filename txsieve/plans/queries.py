@@ -21,6 +21,7 @@ from txsieve.plans import tables
 from txsieve.plans.sample_rules import sample_rule_table, sample_rules
 from txsieve.schema import DETECTION_SCHEMA, ENRICHED_SCHEMA, MESSAGE_SCHEMA, RAW_SCHEMA
 from txsieve.session import new_run_folder
+from txsieve.sinks import pair_counts as counting
 from txsieve.sinks import tables as sinks
 from txsieve.sinks.messages import MessageFolder, RecordTable
 from txsieve.sources.messages import read_json_lines, read_message_table
@@ -121,6 +122,24 @@ def recurrence_hot_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriching.add_recurrence(live, past, rows_per_task=100).select("tid", "recurrence")
 
 
+def _counts_in_parts(spark: SparkSession, sf_dir: str) -> str:
+    """The history's pair counts as a table in parts, of which the second half came later and a merge took place between."""
+    folder, past = new_run_folder(spark, "pair-counts"), tables.raw_history(spark, sf_dir)
+    early = F.col("step") < 180
+    counting.start_pair_counts(past.filter(early & (F.col("step") < 90)), folder, parts=32)
+    counting.add_pair_counts(past.filter(early & (F.col("step") >= 90)), folder)
+    counting.merge_pair_counts(spark, folder)
+    counting.add_pair_counts(past.filter(~early), folder)
+    return folder
+
+
+def recurrence_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a table of pair counts of which the live transactions' parts are read."""
+    live, folder = tables.raw_live(spark, sf_dir), _counts_in_parts(spark, sf_dir)
+    counts = counting.read_pair_counts(spark, folder, tables.live_accounts(spark, sf_dir))
+    return enriching.add_recurrence(live, counts, few=True).select("tid", "recurrence")
+
+
 def dest_blacklisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, listed = tables.raw_live(spark, sf_dir), tables.blacklist(spark, sf_dir)
     return enriching.add_dest_blacklisted(live, listed).select("tid", "destBlacklisted")
@@ -387,6 +406,21 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(read_table(spark, folder, ENRICHED_SCHEMA).select(*ENRICHED_SCHEMA.fieldNames()))
 
 
+def stream_enrich_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enrichment job with pair counts of which each batch reads its own parts."""
+    counts, folder = _counts_in_parts(spark, sf_dir), new_run_folder(spark, "enriched")
+    jobs.start_enrichment(
+        encode_messages(tables.raw_live_stream(spark, sf_dir)),
+        history=None,
+        counts_for=lambda batch: counting.read_pair_counts(spark, counts, batch),
+        blacklist=lambda: tables.blacklist(spark, sf_dir),
+        outputs=[RecordTable(folder).write_records],
+        checkpoint=new_run_folder(spark, "checkpoint"),
+        available_now=True,
+    ).awaitTermination()
+    return _doubles(read_table(spark, folder, ENRICHED_SCHEMA).select(*ENRICHED_SCHEMA.fieldNames()))
+
+
 def stream_rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = _send(spark, jobs.rule_messages(_enriched_messages(spark, sf_dir), sample_rules()))
     return decode_messages(read_message_table(spark, sent), DETECTION_SCHEMA)
@@ -599,6 +633,7 @@ QUERIES: dict[str, Query] = {
     "encode_enriched": encode_enriched,
     "recurrence": recurrence,
     "recurrence_hot_pair": recurrence_hot_pair,
+    "recurrence_parts": recurrence_parts,
     "dest_blacklisted": dest_blacklisted,
     "balance_error": balance_error,
     "enrich": enrich,
@@ -633,6 +668,7 @@ QUERIES: dict[str, Query] = {
     "eval_metrics": eval_metrics,
     "eval_metrics_scored": eval_metrics_scored,
     "stream_enrich": stream_enrich,
+    "stream_enrich_parts": stream_enrich_parts,
     "stream_rule_filter": stream_rule_filter,
     "stream_undetected": stream_undetected,
     "stream_sink_upsert": stream_sink_upsert,

@@ -61,20 +61,22 @@ def start_quarantine(
 
 def start_enrichment(
     messages: DataFrame,
-    history: LoadTable,
+    history: LoadTable | None,
     blacklist: LoadTable,
     outputs: list[WriteBatch],
     checkpoint: str,
     quarantine: WriteBatch | None = None,
     available_now: bool = False,
+    counts_for: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Decode raw messages, enrich them and hand each batch to every output.
 
     With several outputs, such as a topic, a rule detector and a model, the batch is enriched once. An output
     that has taken a batch is marked beside the checkpoint, and doesn't get it again when another one fails and the batch is
     repeated; only a job that ends between an output and its mark gives that output its batch twice. ``history`` may load past transactions or,
-    better for a large history, a table of their pair counts. Invalid messages go to ``quarantine``;
-    without one they fail the job.
+    better for a large history, a table of their pair counts; ``counts_for`` stands for it and is given the batch, so that
+    :func:`~txsieve.sinks.pair_counts.read_pair_counts` reads only the batch's parts. Invalid messages go to
+    ``quarantine``; without one they fail the job.
     """
 
     marks = checkpoint.rstrip("/") + "-outputs"
@@ -90,7 +92,8 @@ def start_enrichment(
         # Counting fills the cache, from which Spark then knows how large the batch is.
         parsed.count()
         valid = records(parsed, RAW_SCHEMA, fill_missing=True, strict=quarantine is None)
-        enriched = enrich(valid, history(), blacklist(), few=True)
+        past = counts_for(valid) if counts_for else history()
+        enriched = enrich(valid, past, blacklist(), few=True)
         writes = list(zip(names, outputs))
         if len(writes) > 1:
             enriched = enriched.persist(StorageLevel.MEMORY_AND_DISK)
