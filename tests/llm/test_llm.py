@@ -214,10 +214,12 @@ def test_models_on_held_out_rows(spark):
     tables = {n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels")}
     quality = quality_classifier.score_documents(tables["documents"], quality_classifier.learned(**tables))
     right = quality.join(tables["labels"], "doc_id").filter("held_out").selectExpr("avg(int(predicted = quality))").first()[0]
-    assert right > 0.9
+    assert right > 0.97
     toxic = toxicity.score_documents(tables["documents"], toxicity.learned(**tables))
-    right = toxic.join(tables["labels"], "doc_id").filter("held_out").selectExpr("avg(int(predicted = toxic))").first()[0]
-    assert right > 0.85
+    found = toxic.join(tables["labels"], "doc_id").filter("held_out")
+    # A constant answer reaches neither: toxic rows are about a tenth.
+    recall, precision = found.selectExpr("avg(int(predicted = 1)) FILTER (WHERE toxic = 1)", "avg(toxic) FILTER (WHERE predicted = 1)").first()
+    assert recall > 0.85 and precision > 0.75
 
 
 def test_one_row_of_each_component_stays(spark):

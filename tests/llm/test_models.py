@@ -1,0 +1,291 @@
+"""What the models and rules compute, against plain Python: recurrent network and gradients, dual solver, ratios, rolling hash."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from txsieve.llm import fingerprints, quality_classifier, quality_rules, toxicity
+
+WORDS = "the of and to in is that for was with tion ther vile scum".split()
+
+
+def texts_of(n, seed, most=60):
+    draw = random.Random(seed)
+    return [" ".join(draw.choice(WORDS) for _ in range(draw.randrange(0, most))).encode() for _ in range(n)]
+
+
+# Toxicity
+
+
+@pytest.fixture(scope="module")
+def network():
+    """A small network with weights away from zero, and a batch of windows, short ones and an empty one among them."""
+    draw = np.random.default_rng(4)
+    vocabulary = [w.encode() for w in WORDS] + [b"unseen"]
+    code, _ = toxicity.char_grams(vocabulary[:-1])
+    model = toxicity.ToxicityModel({w: i + 1 for i, w in enumerate(vocabulary[:9])}, np.unique(code)[::2], seed=2)
+    for name in model.p:
+        model.p[name] = model.p[name] + draw.normal(0, 0.2, model.p[name].shape).astype(np.float32)
+    model.p["word"][0] = 0
+    lengths = [toxicity.WINDOW, 9, 1, 0, 20]
+    ids = np.zeros((len(lengths), toxicity.WINDOW), np.int64)
+    live = np.zeros(ids.shape, bool)
+    for k, n in enumerate(lengths):
+        ids[k, :n], live[k, :n] = draw.integers(0, len(vocabulary), n), True
+    return model, vocabulary, ids, live
+
+
+def plain_logit(p, inputs, ids):
+    """One window word by word: a gated unit in each direction, attention over both states, one output."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    hidden = toxicity.HIDDEN
+    states = {}
+    for side in "fb":
+        h, out = [0.0] * hidden, {}
+        for t in range(len(ids)) if side == "f" else reversed(range(len(ids))):
+            g = [sum(inputs[ids[t]][i] * p["in_" + side][i][j] for i in range(len(inputs[0]))) + p["bias_" + side][j] for j in range(3 * hidden)]
+            u = [sum(h[i] * p["state_" + side][i][j] for i in range(hidden)) for j in range(3 * hidden)]
+            z = [sig(g[j] + u[j]) for j in range(hidden)]
+            r = [sig(g[hidden + j] + u[hidden + j]) for j in range(hidden)]
+            n = [math.tanh(g[2 * hidden + j] + r[j] * u[2 * hidden + j]) for j in range(hidden)]
+            h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(hidden)]
+            out[t] = h
+        states[side] = out
+    both = [states["f"][t] + states["b"][t] for t in range(len(ids))]
+    seen = [[math.tanh(sum(h[i] * p["attend"][i][j] for i in range(2 * hidden)) + p["attend_bias"][j]) for j in range(toxicity.ATTEND)] for h in both]
+    energy = [math.exp(sum(a[j] * p["query"][j] for j in range(toxicity.ATTEND))) for a in seen]
+    pooled = [sum(e * h[i] for e, h in zip(energy, both, strict=True)) / (sum(energy) or 1) for i in range(2 * hidden)]
+    return sum(pooled[i] * p["out"][i] for i in range(2 * hidden)) + p["out_bias"][0]
+
+
+def plain_inputs(model, vocabulary):
+    """Each word's embedding beside the scaled sum of its known character runs'."""
+    out = []
+    for word in vocabulary:
+        code, _ = toxicity.char_grams([word])
+        known = [int(np.searchsorted(model.grams, c)) for c in code if c in model.grams]
+        chars = sum((model.p["char"][k].astype(float) for k in known), np.zeros(toxicity.CHAR)) / math.sqrt(max(1, len(known)))
+        out.append([*model.p["word"][model.words.get(word, 0)].tolist(), *chars.tolist()])
+    return out
+
+
+def test_the_network_equals_a_plain_one(network):
+    model, vocabulary, ids, live = network
+    inputs = model.inputs(vocabulary)[0]
+    expected = plain_inputs(model, vocabulary)
+    assert np.allclose(inputs, expected, atol=1e-5)
+    logits, _ = model.forward(model.gates(inputs), ids, live)
+    plain = {k: v.astype(float).tolist() for k, v in model.p.items()}
+    wanted = [plain_logit(plain, expected, ids[k][live[k]].tolist()) for k in range(len(ids))]
+    assert np.allclose(logits, wanted, atol=1e-4)
+    assert np.ptp(wanted) > 0.1
+
+
+def test_gradients_equal_differences(network):
+    """Every kind of weight, moved both ways, changes the loss as backpropagation says."""
+    model, vocabulary, ids, live = network
+    wanted, weights = np.array([1, 0, 1, 0, 1], np.float32), np.array([0.3, 0.2, 0.1, 0.1, 0.3], np.float32)
+
+    def loss():
+        logits = model.forward(model.gates(model.inputs(vocabulary)[0]), ids, live)[0].astype(float)
+        return float(sum(w * (math.log1p(math.exp(-x)) if y else math.log1p(math.exp(x))) for x, y, w in zip(logits, wanted, weights, strict=True)))
+
+    distinct = model.inputs(vocabulary)
+    grads = model.gradients(distinct, model.gates(distinct[0]), ids, live, wanted, weights)
+    assert set(grads) == set(model.p)
+    draw = random.Random(8)
+    for name, weight in model.p.items():
+        flat, step, largest = weight.reshape(-1), 0.02, float(np.abs(grads[name]).max())
+        assert largest > 0
+        for place in {int(np.abs(grads[name]).argmax()), *(draw.randrange(len(flat)) for _ in range(4))}:
+            if name == "word" and place < toxicity.WORD:
+                continue
+            kept = flat[place]
+            flat[place] = kept + step
+            up = loss()
+            flat[place] = kept - step
+            down = loss()
+            flat[place] = kept
+            assert abs((up - down) / (2 * step) - float(grads[name].reshape(-1)[place])) < 0.03 * largest + 2e-4, name
+
+
+def test_a_text_scores_as_its_most_toxic_window():
+    """A short insult in the middle of a long clean text is found, by a network that has seen it alone."""
+    clean, toxic = texts_of(150, 5), [t + b" you utter vile scum" * 3 for t in texts_of(150, 6, 20)]
+    clean = [t.replace(b"vile", b"the").replace(b"scum", b"of") for t in clean]
+    model = toxicity.fit(clean + toxic, [0] * 150 + [1] * 150, warm=2, epochs=4)
+    score = toxicity.Scorer(model)
+    long = b" ".join(clean[:100])
+    middle = long.index(b" ", len(long) // 2)
+    assert toxicity.windows(len(toxicity.words_of(long)))[-1] + toxicity.WINDOW >= len(toxicity.words_of(long))
+    assert score([long])[0] < 0.5 < score([long[:middle] + b" you utter vile scum you utter vile scum" + long[middle:]])[0]
+
+
+# Quality classifier
+
+
+def plain_dual(rows, ratios, costs, epochs):
+    """Row by row over dense vectors in the rows' own order, the bias as a constant 1 in each."""
+    vectors, signs = [], []
+    for label, codes in rows:
+        v = {int(c): float(ratios[c]) for c in codes}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        vectors.append({c: x / size for c, x in v.items()})
+        signs.append(1 if label == 1 else -1)
+    dual, w, bias = [0.0] * len(rows), Counter(), 0.0
+    for _ in range(epochs):
+        for i, v in enumerate(vectors):
+            margin = sum(w[c] * x for c, x in v.items()) + bias
+            new = min(max(dual[i] - (signs[i] * margin - 1) / (sum(x * x for x in v.values()) + 1), 0.0), costs[i])
+            for c, x in v.items():
+                w[c] += (new - dual[i]) * signs[i] * x
+            bias += (new - dual[i]) * signs[i]
+            dual[i] = new
+    return [sum(w[c] * x for c, x in v.items()) + bias for v in vectors]
+
+
+def test_the_classifier_solves_its_dual_problem():
+    draw = random.Random(7)
+    rows = []
+    for k in range(60):
+        label = int(k % 3 == 0)
+        codes = np.unique([draw.randrange(12) + (6 if label else 0) for _ in range(draw.randrange(0, 7))]).astype(np.int64)
+        rows.append((label, codes))
+    model = quality_classifier.fit(rows, epochs=400)
+    good = sum(label for label, _ in rows)
+    counts = np.ones((2, quality_classifier.WIDTH))
+    for label, codes in rows:
+        counts[label][codes] += 1
+    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(model.ratios, ratios)
+    costs = [len(rows) / (2 * (good if label else len(rows) - good)) for label, _ in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(c) for _, c in rows])
+    got = model.margins(owner, np.concatenate([c for _, c in rows]), len(rows))
+    assert np.allclose(got, plain_dual(rows, ratios, costs, 400), atol=5e-3)
+    scores = model.scores(got)
+    assert ((scores > 0) & (scores < 1)).all() and (np.diff(scores[np.argsort(got)]) >= 0).all()
+
+
+# Quality rules
+
+
+def plain_buckets(text):
+    data = [48 if 48 <= b <= 57 else b for b in text]
+    out = []
+    for i in range(len(data) - 3):
+        code = 0
+        for b in data[i : i + 4]:
+            code = (code * 257 + b) & 0xFFFFFFFF
+        out.append(((code * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - quality_rules.BUCKETS.bit_length() + 1))
+    return out
+
+
+def test_ratios_and_verdicts_equal_plain_ones(spark):
+    draw = random.Random(3)
+    good = [" ".join(draw.choice(WORDS) for _ in range(draw.randrange(40, 160))) for _ in range(30)]
+    junk = ["".join(draw.choice("$#qzxjk 12|") for _ in range(draw.randrange(0, 500))) for _ in range(30)]
+    texts = [*good, *junk, None, "", "abc", "x" * 4, good[0] + " " + good[0], "é" * 300, ("word " * 300_000) + "end"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(documents, quality_rules.trusted_texts(documents, labels)).collect()}
+
+    raw, trusted = Counter(), Counter()
+    for i, text in enumerate(texts):
+        found = plain_buckets((text or "").encode())
+        raw.update(found)
+        if i < 30:
+            trusted.update(found)
+    size = quality_rules.BUCKETS
+    p, q = sum(trusted.values()) + 0.5 * size, sum(raw.values()) + 0.5 * size
+    verdicts = Counter()
+    for i, text in enumerate(texts):
+        grams = plain_buckets((text or "").encode())
+        ratio = sum(math.log((trusted[g] + 0.5) / p) - math.log((raw[g] + 0.5) / q) for g in grams) / len(grams) if grams else 0.0
+        words = (text or "").encode().split()
+        spans = Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = {k + s for k, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if spans[w] > 1 for s in range(3)}
+        failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+        assert abs(got[i].ratio - ratio) < 1e-5
+        assert got[i].base_failed == failed
+        assert got[i].kept == (not failed and got[i].ratio >= quality_rules.LEAST_RATIO)
+        verdicts[failed, got[i].kept] += 1
+    assert verdicts[False, True] >= 20 and verdicts[True, False] >= 20
+
+
+# Fingerprints
+
+
+def plain_fingerprint(text):
+    """Byte by byte: the hash of the last seven bytes ends chunks, sums of the mixed hashes name them."""
+    mask = (1 << 64) - 1
+    mix = 0x9E3779B97F4A7C15
+    padded = bytes(fingerprints.WINDOW) + text
+    mixed = []
+    for i in range(len(text)):
+        rolled = sum((padded[i + 7 - back] + 1) * pow(0x01000193, back + 1, 1 << 32) for back in range(7)) & 0xFFFFFFFF
+        mixed.append((rolled * mix) & mask)
+    block = 4
+    while block * 32 < len(text):
+        block *= 2
+
+    def signature(size):
+        ends, last = [], 0
+        for i, value in enumerate(mixed):
+            while i - last >= 4 * size:
+                last += 4 * size
+                ends.append(last)
+            if ((value >> 40) & 0xFFFFFFFF) % size == size - 1:
+                last = i + 1
+                ends.append(last)
+        while len(text) - last > 4 * size:
+            last += 4 * size
+            ends.append(last)
+        if text and (not ends or ends[-1] != len(text)):
+            ends.append(len(text))
+        if len(ends) > 64:
+            ends = [*ends[:63], len(text)]
+        out, begin = "", 0
+        for end in ends:
+            total = sum(v ^ (v >> 29) for v in mixed[begin:end]) & mask
+            out += chr(fingerprints.LETTERS[((total * mix) & mask) >> 58])
+            begin = end
+        return out
+
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def test_fingerprints_equal_plain_ones():
+    texts = [*texts_of(30, 2, 200), b"", b"a", b"x" * 500, b"ab" * 900, "é😀".encode() * 50, bytes(range(256)) * 3]
+    assert fingerprints.fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+
+
+def test_likenesses_equal_plain_edit_distances():
+    draw = random.Random(5)
+    base = b" ".join(draw.choice(WORDS).encode() for _ in range(300))
+    texts = [base, base[:900], base[:500] + b"changed " + base[500:], *texts_of(6, 9, 300), b""]
+    marks = fingerprints.fingerprints(texts)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    for x in marks:
+        for y in marks:
+            (bx, x1, x2), (by, y1, y2) = x.split(":"), y.split(":")
+            bx, by = int(bx), int(by)
+            pair = {bx: (x1, y1), 2 * bx: (x2, y1)}.get(by) or ((x1, y2) if bx == 2 * by else None)
+            wanted = 0.0
+            if x == y:
+                wanted = 1.0
+            elif pair:
+                a, b = (re.sub(r"(.)\1{3,}", r"\1\1\1", s) for s in pair)
+                wanted = 1 - distance(a, b) / max(len(a), len(b)) if a or b else 0.0
+            assert abs(fingerprints.likenesses([x], [y])[0] - wanted) < 1e-9
