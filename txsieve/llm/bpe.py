@@ -19,9 +19,9 @@ from txsieve.llm.common import slices, table
 # Fixed value: the pre-tokenisation pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes, counted as below, that a Python worker's table of units may take before it starts again with none; and as many again for what a vocabulary learns.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 112 << 20
 #: Texts are encoded in runs of about this many characters, so that what one run adds to the table is bounded too.
-RUN_CHARACTERS = 1 << 19
+RUN_CHARACTERS = 1 << 20
 _UNIT_COST = 200
 _FACT_COST = 100
 _NEVER = 1 << 60
