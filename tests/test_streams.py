@@ -272,14 +272,12 @@ def test_a_stream_can_be_enriched_by_itself(spark, folder, past, listed, batch_r
 
 
 def test_a_small_batch_cuts_a_large_history_down(spark, json_files, batch_result, folder, monkeypatch):
-    """With a history taken for large, the batch is still joined without a search."""
-    real = lookup.fits_broadcast
+    """A batch is joined without a search for hot keys, whatever the history's size."""
 
     def search(*_):
         raise AssertionError("searched for hot keys")
 
     monkeypatch.setattr(lookup, "hot_keys", search)
-    monkeypatch.setattr(lookup, "fits_broadcast", lambda df: "pairCount" not in df.columns and real(df))
     out = folder()
     _ended(
         jobs.start_enrichment(
