@@ -195,7 +195,7 @@ def _judged(transactions: DataFrame, rules: RuleSet) -> tuple[DataFrame, Column]
     """The transactions, perhaps with further columns, and the condition that some rule holds, never NULL."""
     if rules.rule_count <= MOST_COMPILED:
         return transactions, F.coalesce(rules.to_column(transactions.schema), F.lit(False))
-    from txsieve.operators.rule_index import RuleIndex
+    from txsieve.operators.rule_index import RuleIndex  # which itself needs this module
 
     return RuleIndex(rules, transactions.schema).matched(transactions)
 
